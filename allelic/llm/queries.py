@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality_rules, warc
+import corpus_pipeline
+
+from . import bm25, bpe, language_id, mixing, ngram_join, pii, quality_pu, quality_rules, suffix_dedup, warc
 from .common import documents
 
 
@@ -26,6 +28,32 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN).drop("text")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language_id.fold(5) == 0)
+    model = language_id.fit(docs.filter("NOT held_out"))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", language_id.fold(3) == 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(language_id.fold(3) != 1)
+    model = quality_pu.fit(docs.filter("NOT held_out"), labels)
+    return quality_pu.score(docs, model).drop("text")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counts(pii.find(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -35,8 +63,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(docs).drop("text", "clean_text")
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return bm25.search(docs, docs.filter("doc_id % 50 = 0"))
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = """
