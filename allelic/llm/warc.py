@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import scratch, sliced, stored
 
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that reruns write equal records
-RECORD = "origin string, segment int, total long, kind string, uri string, refers string, digest string, block binary"
+SEGMENT = "segment int, total long, kind string, target string, refers_to string, digest string, block binary"
 
 
 def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
@@ -158,35 +158,9 @@ def parse(data: bytes) -> tuple:
     )
 
 
-def read_records(manifest: DataFrame) -> DataFrame:
-    """Every record of the archives in ``manifest`` (column ``archive``), as read."""
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
-    names = [c.split()[0] for c in RECORD.split(", ")]
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    def run(batches):
-        for part in batches:
-            for archive in part.column(0).to_pylist():
-                store, path = fs.FileSystem.from_uri(archive)
-                rows, size = [], 0
-                with store.open_input_stream(path, compression=None) as stream:
-                    for data in members(stream):
-                        rows.append(parse(data))
-                        size += len(data)
-                        if size > 4 << 20:
-                            yield batch(rows)
-                            rows, size = [], 0
-                if rows:
-                    yield batch(rows)
-
-    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("archive").repartition(tasks, "archive").mapInArrow(run, RECORD)
-
-
 def payload_of(segments: list[tuple]) -> tuple:
-    """(kind, uri, refers, header digest, payload bytes or None, payload length, digest, segments, complete)."""
+    """From (origin, segment, total, kind, uri, refers, digest, block) of each segment: kind, uri,
+    refers, digest in the header, payload, its length and digest, segments, complete."""
     segments = sorted(set(segments), key=lambda s: s[1])
     first = segments[0]
     block = b"".join(s[7] for s in segments)
@@ -206,17 +180,57 @@ def payload_of(segments: list[tuple]) -> tuple:
     return *first[3:7], body, len(body), digest, len(segments), whole and framed and digest == first[6]
 
 
+OUT = (
+    "origin string, record_type string, uri string, refers string, header_digest string, payload binary, "
+    "payload_bytes long, payload_digest string, segments int, complete boolean"
+)
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
+
+def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The archives in ``manifest``: a finished row for each record in one piece, and for every
+    segment of the others its number, total length and block, still to be put together."""
+
+    def run(batches):
+        for part in batches:
+            for archive in part.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(archive)
+                rows, size = [], 0
+                with store.open_input_stream(path, compression=None) as stream:
+                    for data in members(stream):
+                        found = parse(data)
+                        if found[1] == 0:
+                            made = (found[0], *payload_of([found]))
+                            found = (None,) * 7
+                        else:
+                            made = (found[0], *(None,) * 9)
+                            found = found[1:]
+                        if not with_payload:
+                            made = (*made[:5], None, *made[6:])
+                        rows.append((*made, *found))
+                        size += len(made[5] or b"") + len(found[6] or b"") + 200
+                        if size > 4 << 20:
+                            yield batch_of(rows, f"{OUT}, {SEGMENT}")
+                            rows, size = [], 0
+                if rows:
+                    yield batch_of(rows, f"{OUT}, {SEGMENT}")
+
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("archive").repartition(tasks, "archive").mapInArrow(run, f"{OUT}, {SEGMENT}")
+
+
 def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per original record: its payload put together from all its segments.
 
-    Records are dealt by origin id and sorted by segment number, so a task holds the segments of
-    one record at a time, whatever the number of records.
+    Rows are dealt by origin id and sorted by segment number, so a task holds the segments of one
+    record at a time, whatever the number of records.
     """
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
-    names = ["origin", "record_type", "uri", "refers", "header_digest", "payload", "payload_bytes", "payload_digest", "segments", "complete"]
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    width = len(OUT.split(", "))
 
     def run(batches):
         held, rows, size = [], [], 0
@@ -224,26 +238,29 @@ def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
         def close():
             nonlocal size
             made = payload_of(held)
-            size += made[5] if with_payload else 200
+            size += made[5]
             rows.append((held[0][0], *made[:4], made[4] if with_payload else None, *made[5:]))
+            held.clear()
 
         for part in sliced(batches, 64):
             for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if held and held[0][0] != row[0]:
                     close()
-                    held = []
-                held.append(row)
+                if row[width] is None:
+                    rows.append(row[:width])
+                    size += len(row[5] or b"") + 200
+                else:
+                    held.append((row[0], *row[width:]))
                 if size > 4 << 20:
-                    yield batch(rows)
+                    yield batch_of(rows, OUT)
                     rows, size = [], 0
         if held:
             close()
         if rows:
-            yield batch(rows)
+            yield batch_of(rows, OUT)
 
-    schema = "origin string, record_type string, uri string, refers string, header_digest string, payload binary, payload_bytes long, payload_digest string, segments int, complete boolean"
     tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return records.repartition(tasks, "origin").sortWithinPartitions("origin", "segment").mapInArrow(run, schema)
+    return records.repartition(tasks, "origin").sortWithinPartitions("origin", "segment").mapInArrow(run, OUT)
 
 
 def mark_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
