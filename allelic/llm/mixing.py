@@ -72,12 +72,15 @@ def mix(
     )
     sized = stored(sized, "mix")
     source = ["no_source", "source"]
-    plan = source_targets(sized, weights, max_repeats)
+    # Small tables of their own: read back, they tell Spark their size and carry no partitioning by
+    # source that would bring a hot source's ranges together again.
+    plan = stored(source_targets(sized, weights, max_repeats), "mix-plan")
     share = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(1 << 48)
     ranges = F.greatest(F.lit(1.0), F.ceil(F.col("docs") / F.lit(float(bucket_docs))).cast("double"))
     # One row per source: the plan joins by broadcast only while Spark's own size check allows it.
     placed = sized.join(plan, source).withColumn("bucket", F.floor(share * ranges).cast("long"))
     bucket = [*source, "bucket"]
+    placed = placed.repartition(*bucket)
     inside = W.partitionBy(*bucket).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     before_bucket = W.partitionBy(*source).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     offsets = (
@@ -86,6 +89,7 @@ def mix(
         .withColumn("offset", F.sum("bucket_size").over(before_bucket) - F.col("bucket_size"))
         .drop("bucket_size")
     )
+    offsets = stored(offsets, "mix-offsets")
     before = F.col("offset") + F.col("upto") - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     rest = F.col("budget") - epochs * F.col("source_size")
