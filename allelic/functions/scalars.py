@@ -12,7 +12,7 @@ def _col(c: str | Column) -> Column:
 def neg_log10(p: str | Column, eps: float = 0.0) -> Column:
     """-log10(p + eps); null where p + eps is not positive."""
     p = _col(p) + F.lit(float(eps))
-    return F.when(p > 0, -F.log10(p))
+    return F.when(p > 0, F.lit(0.0) - F.log10(p))
 
 
 def variant_key(chrom="chromosome", pos="position", ref="ref", alt="alt") -> Column:

@@ -495,7 +495,7 @@ def pipe_impact_map(gwas, effects):
     return impact.impact_map(gwas, effects, PARAMS)
 
 
-@query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, variant_id, context, CASE WHEN abs(fold_change) < 1e-9 THEN 0e0 ELSE round(fold_change, 9) END AS fold_change, round(-log10(p_value), 9) AS neg_log10_p, CASE WHEN is_sig AND fold_change > 0 THEN 'up' WHEN is_sig THEN 'down' ELSE 'none' END AS direction FROM sg WHERE var_label = 'candidate'")
+@query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, variant_id, context, CASE WHEN abs(fold_change) < 1e-9 THEN 0e0 ELSE round(fold_change, 9) END AS fold_change, CASE WHEN p_value >= 1 THEN 0e0 ELSE round(-log10(p_value), 9) END AS neg_log10_p, CASE WHEN is_sig AND fold_change > 0 THEN 'up' WHEN is_sig THEN 'down' ELSE 'none' END AS direction FROM sg WHERE var_label = 'candidate'")
 def call_volcano(gwas, effects):
     t = impact.volcano_table(calls(gwas, effects), "candidate", 0.05, 2.0)
     return t.withColumn("fold_change", rounded("fold_change")).withColumn("neg_log10_p", F.round("neg_log10_p", 9))
