@@ -44,6 +44,10 @@ MENTION = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
 CORE = r"^([^A-Za-z0-9]*+)([A-Za-z0-9](?:.*[A-Za-z0-9])?)"
 
 
+#: Two hashes name a row's id and text, whether null or not.
+KEY = ["row_key", "text_key"]
+
+
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 3
@@ -116,9 +120,9 @@ def located(df: DataFrame, name: str, pattern: str, gate: Column) -> DataFrame:
 
 
 def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, text_key, base spans and identifier-like mentions; the text itself is left behind."""
+    """doc_id, KEY, base spans and identifier-like mentions; the text itself is left behind."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
-    df = df.withColumn("text_key", F.xxhash64("__text"))
+    df = df.withColumn("row_key", F.xxhash64("doc_id", "__text")).withColumn("text_key", F.xxhash64("__text"))
     for kind in KINDS:
         df = located(df, f"__{kind}", PATTERNS[kind], GATES[kind](F.col("__text")))
     df = located(df, "__mention", MENTION, F.col("__text").rlike(f"[0-9]{{{settings.min_digits}}}"))
@@ -138,7 +142,7 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("text"), s["context"].alias("context"))
 
     mentions = F.filter(F.transform("__mention", trimmed), lambda s: F.length(digits(s["text"])) >= settings.min_digits)
-    return df.select("doc_id", "text_key", F.array_sort(F.concat(*(base_spans(i, k) for i, k in enumerate(KINDS)))).alias("base"), mentions.alias("mentions"))
+    return df.select("doc_id", *KEY, F.array_sort(F.concat(*(base_spans(i, k) for i, k in enumerate(KINDS)))).alias("base"), mentions.alias("mentions"))
 
 
 def patterns_of(words: Column) -> Column:
@@ -148,22 +152,22 @@ def patterns_of(words: Column) -> Column:
 
 
 def discover(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, text_key, kind, start, end of identifiers that bootstrapping adds to the base spans."""
-    base = scanned.select("doc_id", "text_key", F.explode("base").alias("s")).select(
-        "doc_id", "text_key", "s.start", "s.end", "s.kind", "s.text", "s.context"
+    """KEY, kind, start, end of identifiers that bootstrapping adds to the base spans."""
+    base = scanned.select(*KEY, F.explode("base").alias("s")).select(
+        *KEY, "s.start", "s.end", "s.kind", "s.text", "s.context"
     )
-    seen = scanned.select("doc_id", "text_key", F.explode("mentions").alias("s")).select(
-        "doc_id", "text_key", "s.start", "s.end", F.lit(None).cast("string").alias("kind"), "s.text", "s.context"
+    seen = scanned.select(*KEY, F.explode("mentions").alias("s")).select(
+        *KEY, "s.start", "s.end", F.lit(None).cast("string").alias("kind"), "s.text", "s.context"
     )
     # Mentions that overlap a base span are that span, not news; repeated rows count once.
-    near = scanned.select("doc_id", "text_key", F.size("base").alias("n")).filter("n > 0").select("doc_id", "text_key").distinct()
+    near = scanned.select(*KEY, F.size("base").alias("n")).filter("n > 0").select(*KEY).distinct()
     covered = (
-        seen.join(near, ["doc_id", "text_key"], "left_semi").distinct().alias("m")
-        .join(base.distinct().alias("b"), ["doc_id", "text_key"])
+        seen.join(near, KEY, "left_semi").distinct().alias("m")
+        .join(base.distinct().alias("b"), KEY)
         .filter("m.start < b.end AND b.start < m.end")
-        .select("doc_id", "text_key", "m.start")
+        .select(*KEY, "m.start")
     ).distinct()
-    fresh = seen.distinct().join(covered, ["doc_id", "text_key", "start"], "left_anti")
+    fresh = seen.distinct().join(covered, [*KEY, "start"], "left_anti")
     occurrences = stored(fresh.unionByName(base.distinct()).withColumn("pattern", F.explode(patterns_of(F.col("context")))).drop("context"), "pii-occurrences")
     edges = occurrences.groupBy("pattern", "text").agg(F.max("kind").alias("kind"))
     support = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
@@ -182,7 +186,7 @@ def discover(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
         occurrences.filter("kind IS NULL").drop("kind")
         .join(scores.filter(F.col("score") >= settings.threshold), "pattern")
         .join(sure, ["text", "kind"], "left_semi")
-        .groupBy("doc_id", "text_key", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        .groupBy(*KEY, "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     )
 
 
@@ -202,19 +206,19 @@ def joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), ``base`` and ``spans`` (base and found) of each document.
+    """doc_id, KEY, ``base`` and ``spans`` (base and found) of each document.
 
     Spans are structs start, rank, kind, end in code points, sorted; ``end`` is exclusive.
     """
     scanned = stored(scan(docs, settings), "pii-scan")
     ranks = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
     span = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
-    found = discover(scanned, settings).groupBy("doc_id", "text_key").agg(
+    found = discover(scanned, settings).groupBy(*KEY).agg(
         F.collect_list(F.struct("start", ranks[F.col("kind")].alias("rank"), "kind", "end")).alias("found")
     )
-    base = scanned.select("doc_id", "text_key", F.transform("base", span).alias("base"))
+    base = scanned.select("doc_id", *KEY, F.transform("base", span).alias("base"))
     spans = F.array_sort(F.concat("base", F.coalesce("found", F.array().cast(base.schema["base"].dataType))))
-    return base.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "base", spans.alias("spans"))
+    return base.join(found, KEY, "left").select("doc_id", *KEY, "base", spans.alias("spans"))
 
 
 def counts(found: DataFrame) -> DataFrame:
@@ -228,9 +232,10 @@ def counts(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; rows and columns stay."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = find(docs, settings).filter(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias("__spans"))
-    spans = spans.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key2")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", text)).withColumn("__key", F.xxhash64(text))
+    spans = find(docs, settings).filter(F.size("spans") > 0).groupBy(*KEY).agg(F.first("spans").alias("__spans"))
+    spans = spans.toDF("__row", "__key", "__spans")
     # Overlapping spans become one, named after the first.
     at = lambda s, text: F.struct(
         F.concat(s["out"], F.substring(F.col("text"), (s["to"] + 1).cast("int"), (text["start"] - s["to"]).cast("int")), F.lit("["), text["kind"], F.lit("]")).alias("out"),
@@ -242,5 +247,5 @@ def redact(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         lambda s, x: F.when(x["start"] >= s["to"], at(s, x)).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["to"], x["end"]).alias("to"))),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["to"] + 1).cast("int"), F.lit(2147483647))),
     )
-    both = keyed.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__key2")), "left")
+    both = keyed.join(spans, ["__row", "__key"], "left")
     return both.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(merged)).select(*docs.columns)
