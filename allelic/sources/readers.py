@@ -64,7 +64,7 @@ def read_contexts(spark: SparkSession, path: str, name_col: str = "celltype_assa
 
 def read_name_list(spark: SparkSession, path: str) -> DataFrame:
     """pos and name of a one-line list parted by ``,,`` (names may hold single commas)."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), ",,")).alias("pos", "name"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"[\r\n]+$", ""), ",,")).alias("pos", "name"))
 
 
 def read_matrix(spark: SparkSession, path: str, value_name: str, key: str = "row_id") -> DataFrame:
