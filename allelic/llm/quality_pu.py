@@ -5,7 +5,8 @@ p R+(positives) + max(0, R-(unlabelled) - p R-(positives)), minimised by Adam. A
 as statistics of its characters, words and lines and as hashed trigrams of its character
 classes, so scores follow form rather than topic or language.
 
-Defined cases: a null text counts as empty and is scored like any other; without positives or
+Defined cases: a null text counts as empty and is scored like any other; rows of null id are scored
+but never learned from; without positives or
 unlabelled rows every score is the prior; repeated rows get equal results; an empty table gives
 an empty table; input columns that bear the name of a result column are replaced.
 """
@@ -126,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     name the positives. All rows of ``docs`` are the unlabelled text.
     """
     marked = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id", "left")
-    size = rows.agg(
+    ids = docs.select("doc_id").join(marked, "doc_id", "left")
+    size = ids.agg(
         F.count("*").alias("n"), F.count("quality").alias("labelled"), F.coalesce(F.sum("quality"), F.lit(0)).alias("positive")
     ).first()
     prior = min(max(size.positive / max(size.labelled, 1), 0.02), 0.98)
@@ -138,9 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     draw = lambda salt: F.pmod(F.xxhash64(F.lit(settings.seed + salt), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     as_positive = (F.col("quality") == 1) & (draw(0) < settings.fit_positive / size.positive)
     as_unlabelled = draw(1) < settings.fit_unlabelled / size.n
-    sample = rows.select(
-        "text", F.coalesce(as_positive, F.lit(False)).alias("positive"), as_unlabelled.alias("unlabelled")
-    ).filter("positive OR unlabelled")
+    picked = ids.select(
+        "doc_id", F.coalesce(as_positive, F.lit(False)).alias("positive"), as_unlabelled.alias("unlabelled")
+    ).filter("positive OR unlabelled").distinct()
+    # Ids alone meet the labels. What is drawn of them is bounded by the settings, whatever the
+    # input, so the texts are picked by a broadcast of these ids and not shuffled.
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").drop("doc_id")
     wide = map_text(
         sample,
         lambda: lambda texts: [[features(t, settings.grams) for t in texts]],
