@@ -174,41 +174,47 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             )
 
     found = docs.select("text").mapInArrow(run, "node binary, n long, tokens array<long>")
-    return found.join(nodes, "node", "left_semi").groupBy("node", "n").agg(F.first("tokens").alias("tokens"))
+    return found.join(nodes.hint("merge"), "node", "left_semi").groupBy("node", "n").agg(F.first("tokens").alias("tokens"))
 
 
-def index(sets: DataFrame, settings: Settings) -> DataFrame:
-    """token, node, n, m and df: the adaptive prefix of each class (step 2)."""
+def prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
+    """node, n, m, held, weight, prefix and rest of each class that can have a link (step 2).
+
+    ``prefix`` has the shared shingles of the adaptive prefix as (df, token) in order, ``rest``
+    counts the shingles behind it, ``held`` all shingles that any other class has, and ``weight``
+    is their mean frequency: the original of many copies weighs most among them.
+    """
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    lists = tokens.join(frequent, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    lists = tokens.join(frequent, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     percent, most, verify = settings.percent, settings.max_match, settings.verify_cost
 
     def choose(batches):
         for batch in batches:
-            out = []
-            for node, n, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                order = sorted((x["df"], x["token"]) for x in shared)
-                lone = n - len(order)  # shingles of no other class come first
+            counts, sizes = batch.column(1).to_pylist(), batch.column(2).value_lengths().to_pylist()
+            df = batch.column(2).flatten().field("df").to_numpy(zero_copy_only=False)
+            out, at = [], 0
+            for n, held in zip(counts, sizes):
+                costs = np.concatenate([[0], np.cumsum(df[at : at + held] - 1)])
+                lone = n - held  # shingles of no other class come first
                 base = n - least_overlap(n, percent)
-                costs = np.concatenate([[0], np.cumsum([d - 1 for d, _ in order])])
-                best = None
+                best = (float("inf"), 0, 0)
                 for m in range(1, most + 1):
                     length = min(base + m, n) - lone
                     if length < m:
-                        if m == 1:
-                            best = None
                         break
-                    cost = costs[length] * (1 + verify / m)
-                    if best is None or cost < best[0]:
-                        best = (cost, m, length)
-                if best:
-                    out += [(t, node, n, best[1], d) for d, t in order[: best[2]]]
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["token", "node", "n", "m", "df"])
-
-    return lists.select("node", "n", "shared").mapInArrow(choose, "token long, node binary, n long, m int, df long")
+                    best = min(best, (costs[length] * (1 + verify / m), m, length))
+                out.append((best[1], best[2], held, costs[-1] / n))
+                at += held
+            columns = list(zip(*out)) or [[]] * 4
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["node", "n", "shared", "m", "length", "held", "weight"])
+
+    kind = lists.schema["shared"].dataType.simpleString()
+    chosen = lists.select("node", "n", "shared").mapInArrow(choose, f"node binary, n long, shared {kind}, m int, length int, held long, weight double")
+    return chosen.filter("length > 0").select(
+        "node", "n", "m", "held", "weight", F.slice("shared", F.lit(1), F.col("length")).alias("prefix"), (F.col("held") - F.col("length")).alias("rest")
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,32 +230,50 @@ def salt_of(node: Column, df: Column, hot: int) -> Column:
     return F.pmod(F.xxhash64(node), F.ceil(df / hot).cast("long"))
 
 
+def may_reach(n1, held1, n2, held2, percent: int) -> Column:
+    """Can two classes reach the similarity, by their sizes and the shingles that others have at all?"""
+    most = F.least(held1, held2)
+    return 100 * most >= percent * (F.col(n1) + F.col(n2) - most)
+
+
 def star_pairs(listed: DataFrame, round_no: int, settings: Settings) -> DataFrame:
-    """Each class with one drawn member of each of its lists, where that is in another component."""
+    """Each class with one member of each of its lists, where that is in another component.
+
+    The first round takes the member of largest weight, later ones draw one for each list.
+    """
     hot = settings.hot_list
+    drawn = F.xxhash64(F.lit(round_no), "token", "comp", "node")
+    by = F.struct(F.negate("weight"), "node") if round_no == 0 else F.struct(drawn, "node")
     hubs = listed.groupBy("token").agg(
-        F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), F.xxhash64(F.lit(round_no), F.col("comp"), F.col("node"))).alias("h"),
-        F.max("df").alias("df"),
-    )
+        F.min_by(F.struct(*(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "held", "comp"))), by).alias("h"), F.max("df").alias("df")
+    )
     hubs = hubs.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("df") / hot).cast("long") - 1)).alias("salt"), "h.*")
     pairs = listed.withColumn("salt", salt_of(F.col("node"), F.col("df"), hot)).join(hubs, ["token", "salt"])
-    fits = (100 * F.least("n", "hub_n") >= settings.percent * F.greatest("n", "hub_n")) & (F.col("comp") != F.col("hub_comp"))
-    return pairs.filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    fits = may_reach("n", "held", "hub_n", "hub_held", settings.percent) & (F.col("comp") != F.col("hub_comp"))
+    return pairs.filter(fits).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
 
 
-def cross_pairs(listed: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of classes in different components that share enough prefix shingles."""
+def cross_pairs(listed: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
+    """All pairs of classes in different components that share enough prefix shingles, each once.
+
+    A pair counts in the list of its first shared prefix shingle. Of the class whose prefix ends
+    first every prefix shingle that the other has lies in the other's prefix too, so the shared
+    prefix shingles and that class's rest bound the whole overlap.
+    """
     mixed = listed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    part = stored(listed.join(mixed, "token", "left_semi"), "ngram-mixed")
+    part = listed.select("token", "node", "comp").join(mixed, "token", "left_semi")
+    ordered = chosen.select("node", "n", "m", "held", "rest", F.col("prefix.token").alias("tokens"), F.element_at("prefix", -1).alias("last"))
+    part = stored(part.join(ordered, "node"), "ngram-mixed")
     x, y = part.alias("x"), part.alias("y")
-    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    sized = 100 * F.least("x.n", "y.n") >= settings.percent * F.greatest("x.n", "y.n")
-    return (
-        x.join(y, F.col("x.token") == F.col("y.token")).filter(fits & sized)
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.count("*").alias("shared"), F.least(F.first("x.m"), F.first("y.m")).alias("m"))
-        .filter("shared >= m").select("a", "b")
+    same = F.array_intersect("x.tokens", "y.tokens")
+    overlap = F.size(same) + F.when(F.col("x.last") < F.col("y.last"), F.col("x.rest")).otherwise(F.col("y.rest"))
+    fits = (
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+        & may_reach("x.n", "x.held", "y.n", "y.held", settings.percent)
+        & (F.get(same, F.lit(0)) == F.col("x.token")) & (F.size(same) >= F.least("x.m", "y.m"))
+        & (100 * overlap >= settings.percent * (F.col("x.n") + F.col("y.n") - overlap))
     )
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,11 +301,13 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     left = stored(survivors(docs, total, settings), "ngram-survivors")
     key = F.coalesce("doc_id", F.lit(-1).cast(docs.schema["doc_id"].dataType))
-    chosen = known.join(left, "node", "left_semi").groupBy("node").agg(F.min(key).alias("pick")).select("pick").distinct()
-    picked = docs.withColumn("pick", key).join(chosen, "pick", "left_semi")
+    picks = known.join(left, "node", "left_semi").groupBy("node").agg(F.min(key).alias("pick")).select("pick").distinct()
+    # The picked ids grow with the input, so they are never broadcast, at any size.
+    picked = docs.withColumn("pick", key).join(picks.hint("merge"), "pick", "left_semi")
     sets = stored(sets_of(picked, left), "ngram-sets")
-    lists = stored(index(sets, settings), "ngram-index")
-    listed = lists.withColumn("comp", F.col("node"))
+    chosen = stored(prefixes(sets, settings), "ngram-prefixes")
+    lists = chosen.select("node", "n", "m", "held", "weight", F.explode("prefix").alias("p")).select("*", "p.token", "p.df").drop("p")
+    listed = stored(lists.withColumn("comp", F.col("node")), "ngram-listed")
     edges, labels = None, None
     for round_no in range(settings.star_rounds):
         found = stored(verified(star_pairs(listed, round_no, settings), sets, settings.percent), "ngram-links")
@@ -291,7 +317,7 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         labels = components(edges)
         comp = F.coalesce(F.col("new"), F.col("node"))
         listed = stored(lists.join(labels.withColumnRenamed("comp", "new"), "node", "left").withColumn("comp", comp).drop("new"), "ngram-listed")
-    found = stored(verified(cross_pairs(listed, settings), sets, settings.percent), "ngram-links")
+    found = stored(verified(cross_pairs(listed, chosen, settings), sets, settings.percent), "ngram-links")
     if not found.isEmpty():
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
