@@ -41,7 +41,7 @@ class Settings:
     length: int = 400
     gram: int = 32
     piece: int = 4 << 20  # a longer text is cut into overlapping pieces of so many bytes
-    hot: int = 128  # different segments of a minimizer that may meet in one block
+    hot: int = 1024  # different segments of a minimizer that may meet in one block
     steps: tuple[int, ...] = (16, 1)  # window starts in a range, when dealt again
     block_bytes: int = 1_000_000
 
@@ -227,7 +227,7 @@ def all_segments(docs: DataFrame, settings: Settings) -> DataFrame:
 
 def narrowed(docs: DataFrame, rows: DataFrame, step: int, settings: Settings) -> DataFrame:
     """The segments in ``rows``, cut to ranges of ``step`` window starts."""
-    wanted = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.collect_set(F.struct("start", "windows", "place", "grp")).alias("cut"))
+    wanted = rows.groupBy(*KEY).agg(F.collect_set(F.struct("start", "windows", "place", "grp")).alias("cut"))
     held = docs.select(*KEY, "text").join(wanted, KEY)
 
     def run(batches):
@@ -264,7 +264,7 @@ def repeated_runs(docs: DataFrame, settings: Settings) -> DataFrame:
     level = stored(all_segments(docs, settings), "suffix-segments")
     covered, partial, wanted = [], [], []
     for step in (*settings.steps, None):
-        copies = level.groupBy("grp", "digest").agg(F.count("*").alias("copies"), F.max("windows").alias("length"), F.min(F.struct(*KEY, "start")).alias("one"))
+        copies = level.groupBy("grp", "digest").agg(F.count("*").alias("copies"), F.max("windows").alias("length"), F.min(F.struct(*KEY, "start", "place")).alias("one"))
         copies = stored(copies, "suffix-copies")
         groups = copies.groupBy("grp").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).filter("total > 1")
         groups = stored(groups, "suffix-groups")
@@ -272,13 +272,14 @@ def repeated_runs(docs: DataFrame, settings: Settings) -> DataFrame:
         several = F.col("kinds") > 1
         hot = F.col("kinds") > settings.hot if step else F.lit(False)
         # Strings of which there are two need no search; those of which there is one, in company, do.
-        verdicts = shared.select("grp", "digest", (F.col("copies") > 1).alias("all"), (several & hot & (F.col("copies") == 1)).alias("again"), (several & ~hot & (F.col("copies") == 1)).alias("search"), hot.alias("hot"))
+        verdicts = shared.select("grp", "digest", (F.col("copies") > 1).alias("all"), (several & ~hot & (F.col("copies") == 1)).alias("search"))
         known = stored(level.join(verdicts, ["grp", "digest"]), "suffix-known")
         covered.append(known.filter("all").select(*KEY, "start", (F.col("start") + F.col("windows") + length - 1).alias("end")))
         partial.append(known.filter("search").select(*KEY, "start", "grp", "digest"))
-        wanted.append(shared.filter(several & ~hot).select("grp", "digest", "length", "one.*"))
+        wanted.append(shared.filter(several & ~hot).select("grp", "digest", "length", "one.k1", "one.k2", "one.start"))
         if step:
-            deeper = known.filter("hot")
+            # One of equal segments stands for all: theirs are decided, others need their bytes.
+            deeper = shared.filter(hot).select("one.*", F.col("length").alias("windows"), "grp")
             if deeper.isEmpty():
                 break
             level = stored(narrowed(docs, deeper, step, settings), "suffix-segments")
