@@ -199,8 +199,9 @@ def prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
                 lone = n - held  # shingles of no other class come first
                 base = n - least_overlap(n, percent)
                 best = (float("inf"), 0, 0)
-                for m in range(1, most + 1):
-                    length = min(base + m, n) - lone
+                # Linked sets may share no more than their least overlap, so no more may be asked for.
+                for m in range(1, min(most, n - base) + 1):
+                    length = base + m - lone
                     if length < m:
                         break
                     best = min(best, (costs[length] * (1 + verify / m), m, length))

@@ -173,6 +173,17 @@ def test_join_of_made_copies(spark, settings):
     assert tuples(ngram_join.join(df, settings)) == sorted(brute.near_components(data), key=repr)
 
 
+@pytest.mark.parametrize("star_rounds", [0, 3])
+@pytest.mark.parametrize("size", [11, 12])
+def test_join_of_short_texts_without_lone_shingles(spark, size, star_rounds):
+    # Each text is a window on a ring of words: all its shingles occur elsewhere, equally often, and
+    # only windows next to each other are linked, by all shingles but one.
+    rings = [[f"{r}w{i}" for i in range(20 + 5 * r)] for r in range(4)]
+    data = list(enumerate(" ".join((ring * 2)[i : i + size]) for ring in rings for i in range(len(ring))))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert tuples(ngram_join.join(df, ngram_join.Settings(star_rounds=star_rounds))) == sorted(brute.near_components(data), key=repr)
+
+
 def test_join_odd_rows(odd):
     got = tuples(ngram_join.join(odd))
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 59996, 3), (3, 59996, 3), (4, 0, 4), (5, 11, 5), (None, 11, 5), (6, 1, 6), (6, 1, 6), (7, 1, 7), (8, 12, 5)], key=repr)
