@@ -119,13 +119,18 @@ def located(df: DataFrame, name: str, pattern: str, gate: Column) -> DataFrame:
     return df.withColumn(name, made).drop("__found", "__gaps", "__lengths", "__before")
 
 
+def mention_gate(min_digits: int) -> str:
+    """So many digits in one run of non-blank characters, next to each other or not."""
+    return rf"[0-9](?:[^{SPACE}0-9]*+[0-9]){{{max(min_digits - 1, 0)}}}"
+
+
 def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, KEY, base spans and identifier-like mentions; the text itself is left behind."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
     df = df.withColumn("row_key", F.xxhash64("doc_id", "__text")).withColumn("text_key", F.xxhash64("__text"))
     for kind in KINDS:
         df = located(df, f"__{kind}", PATTERNS[kind], GATES[kind](F.col("__text")))
-    df = located(df, "__mention", MENTION, F.col("__text").rlike(f"[0-9]{{{settings.min_digits}}}"))
+    df = located(df, "__mention", MENTION, F.col("__text").rlike(mention_gate(settings.min_digits)))
     def base_spans(rank: int, kind: str) -> Column:
         good = F.filter(f"__{kind}", lambda s: passes(kind, s["text"]))
         return F.transform(

@@ -353,6 +353,18 @@ def test_pii_bootstraps_unseen(spark):
     assert found[101] == ""  # the same number, but not where the pattern stands
 
 
+def test_pii_finds_short_digit_groups(spark):
+    known = [(i, f"please call customer line +1 (2{i:02}) 555-0{i:03} today") for i in range(20)]
+    unseen = [
+        (100, "please call customer line 123-456 today"),
+        (101, "please call customer line AB12-CD34 today"),
+        (102, "please call customer line 123-457 in 2024"),
+        (103, "please call customer line 12-3 or 4 today"),  # four digits, but not of one identifier
+    ]
+    found = {r.doc_id: r.spans for r in pii.counts(pii.find(spark.createDataFrame(known + unseen, "doc_id long, text string"))).collect()}
+    assert [found[i] for i in range(100, 104)] == ["phone:26:33", "phone:26:35", "phone:26:33", ""]
+
+
 def test_pii_odd_rows(odd):
     got = pii.find(odd).collect()
     assert len(got) == 11
