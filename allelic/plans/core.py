@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import bootstrap, contexts, evaluate, filters, impact, intervals, scoring, stratify, tracks
-from .registry import query
+from .registry import full, query
 
 # --- labels, shared by many queries ----------------------------------------------------------------
 
@@ -455,52 +457,57 @@ ic AS (SELECT locus_id, variant_id, var_label, CAST(sum(CASE WHEN is_sig THEN 1
 PARAMS = impact.Params(n_boots=BOOTS, fc_cut=2.0)
 
 
-def calls(gwas, effects):
-    return impact.call_effects(impact.fold_change(impact.test_effects(joined(gwas, effects), PARAMS)), PARAMS.p_cut, PARAMS.fc_cut)
+def calls(gwas, effects, params=PARAMS):
+    return impact.call_effects(impact.fold_change(impact.test_effects(joined(gwas, effects), params)), params.p_cut, params.fc_cut)
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, context_id, CAST(boot AS BIGINT) AS boot, round(bm, 6) AS boot_mean, round(bs, 6) AS boot_std FROM nul")
-def boot_null(gwas, effects):
-    null = bootstrap.bootstrap_null(joined(gwas, effects), BOOTS)
+def boot_null(gwas, effects, params=replace(PARAMS, kernel="columns")):
+    null = bootstrap.bootstrap_null(joined(gwas, effects), params.n_boots, kernel=params.kernel)
     return null.select("locus_id", "context_id", "boot", F.round("boot_mean", 6).alias("boot_mean"), F.round("boot_std", 6).alias("boot_std"))
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT variant_id, context_id, var_label, CAST(n_nonsig AS BIGINT) AS n_nonsig FROM cnt")
-def boot_counts(gwas, effects):
-    return impact.test_effects(joined(gwas, effects), PARAMS).select("variant_id", "context_id", "var_label", "n_nonsig")
+def boot_counts(gwas, effects, params=PARAMS):
+    return impact.test_effects(joined(gwas, effects), params).select("variant_id", "context_id", "var_label", "n_nonsig")
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT variant_id, context_id, var_label, p_value FROM pv")
-def boot_pvals(gwas, effects):
-    return impact.test_effects(joined(gwas, effects), PARAMS).select("variant_id", "context_id", "var_label", "p_value")
+def boot_pvals(gwas, effects, params=PARAMS):
+    return impact.test_effects(joined(gwas, effects), params).select("variant_id", "context_id", "var_label", "p_value")
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT variant_id, context_id, var_label, is_sig FROM sg")
-def call_sig(gwas, effects):
+def call_sig(gwas, effects, params=PARAMS):
     return calls(gwas, effects).select("variant_id", "context_id", "var_label", "is_sig")
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, variant_id, var_label, n_sig_effects, n_sig_effects > 0 AS impact_variant FROM ic")
-def agg_impact_calls(gwas, effects):
-    return impact.impact_calls(calls(gwas, effects))
+def agg_impact_calls(gwas, effects, params=PARAMS):
+    return impact.impact_calls(calls(gwas, effects, params))
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, CAST(sum(n_sig_effects) AS BIGINT) AS total_sig, CAST(sum(CASE WHEN n_sig_effects > 0 THEN 1 ELSE 0 END) AS BIGINT) AS variants_sig, round(avg(CASE WHEN n_sig_effects > 0 THEN n_sig_effects END), 6) AS mean_sig FROM ic GROUP BY locus_id")
-def agg_call_summary(gwas, effects):
-    return impact.summarise_calls(calls(gwas, effects)).withColumn("mean_sig", F.round("mean_sig", 6))
+def agg_call_summary(gwas, effects, params=PARAMS):
+    return impact.summarise_calls(calls(gwas, effects, params)).withColumn("mean_sig", F.round("mean_sig", 6))
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, variant_id, var_label, n_sig_effects, n_sig_effects > 0 AS impact_variant FROM ic")
-def pipe_impact_map(gwas, effects):
-    return impact.impact_map(gwas, effects, PARAMS)
+def pipe_impact_map(gwas, effects, params=PARAMS):
+    return impact.impact_map(gwas, effects, params)
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, variant_id, context, CASE WHEN abs(fold_change) < 1e-9 THEN 0e0 ELSE round(fold_change, 9) END AS fold_change, CASE WHEN p_value >= 1 THEN 0e0 ELSE round(-log10(p_value), 9) END AS neg_log10_p, CASE WHEN is_sig AND fold_change > 0 THEN 'up' WHEN is_sig THEN 'down' ELSE 'none' END AS direction FROM sg WHERE var_label = 'candidate'")
-def call_volcano(gwas, effects):
-    t = impact.volcano_table(calls(gwas, effects), "candidate", 0.05, 2.0)
+def call_volcano(gwas, effects, params=PARAMS):
+    t = impact.volcano_table(calls(gwas, effects, params), "candidate", 0.05, 2.0)
     return t.withColumn("fold_change", rounded("fold_change")).withColumn("neg_log10_p", F.round("neg_log10_p", 9))
 
 
+# The same jobs at the operators' own number of boots. DuckDB can't follow, so they have no SQL.
+for _query in (boot_null, boot_counts, boot_pvals, call_sig, agg_impact_calls, agg_call_summary, pipe_impact_map, call_volcano):
+    full(_query, "fx_gwas", "fx_effects", params=impact.Params(fc_cut=PARAMS.fc_cut))
+
+
 @query(
     "fx_gwas", "fx_gtf", more=LABELLED + ", sp AS (SELECT locus_id, min(chromosome) AS chrom, min(position) AS a, max(position) + 1 AS b FROM labels GROUP BY locus_id)",
     sql="""SELECT locus_id, 'variant' AS kind, CAST(variant_id AS VARCHAR) AS name, position AS x, round(-log10(p_value + 1e-30), 9) AS y, var_label AS color,

@@ -10,6 +10,7 @@ from ..fixtures import ctes, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FULL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}  # too large for DuckDB, so without SQL
 
 
 def query(*inputs: str, sql: str | None = None, more: str = ""):
@@ -25,3 +26,12 @@ def query(*inputs: str, sql: str | None = None, more: str = ""):
         return f
 
     return register
+
+
+def full(f: Callable[..., DataFrame], *inputs: str, **given) -> None:
+    """Registers ``f`` of the named inputs a second time, as NAME_full with the arguments ``given``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(*(load(spark, sf_dir, name) for name in inputs), **given)
+
+    FULL[f"{f.__name__}_full"] = run

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from allelic.fixtures import load
 from allelic.functions import scalars as fn
 from allelic.operators import bootstrap, contexts, evaluate, filters, genome, impact, inference, intervals, scoring, stratify, tracks
+from allelic.plans import core, registry
+from allelic.plans.queries import full_queries
 from allelic.sources import readers, sinks
 
 
@@ -102,6 +104,26 @@ def test_bootstrap_pvalues(spark):
     assert abs(calls[102].fold_change - (9.0 - np.mean(bg))) < 1e-9
 
 
+def test_full_bootstrap_queries(spark, sf_dir, monkeypatch):
+    # The registered job over one locus and context, drawn 10,000 times by brute force.
+    locus, context = load(spark, sf_dir, "fx_gwas").agg(F.min("locus_id")).first()[0], 4
+    few = {"fx_gwas": load(spark, sf_dir, "fx_gwas").filter(F.col("locus_id") == locus).collect()}
+    few["fx_effects"] = load(spark, sf_dir, "fx_effects").filter((F.col("locus_id") == locus) & (F.col("context_id") == context)).collect()
+    monkeypatch.setattr(registry, "load", lambda spark, _, name: spark.createDataFrame(few[name], load(spark, sf_dir, name).schema))
+    labelled = core.joined(*(registry.load(spark, sf_dir, name) for name in few))
+    group = labelled.collect()
+    assert len({r.var_label for r in group}) > 1
+    x = np.array([v for _, v in sorted((r.variant_id, abs(r.effect)) for r in group if r.var_label == "background")])
+    got = x[bootstrap.draw_numpy(np.arange(10_000)[:, None], np.arange(len(x))[None, :], context, locus) % len(x)]
+    crit = bootstrap.critical_values(labelled).filter(F.col("locus_id") == locus).first().critical
+    limit = got.mean(axis=1) + crit * np.maximum(got.std(axis=1), 0.01)
+    want = sorted((r.variant_id, r.var_label, 1.0 if r.var_label == "background" else (int((abs(r.effect) <= limit).sum()) + 1) / 10_001) for r in group)
+    made = full_queries()["boot_pvals_full"](spark, sf_dir)
+    assert sorted((r.variant_id, r.var_label, r.p_value) for r in made.collect()) == want
+    names = ("boot_null", "boot_counts", "boot_pvals", "call_sig", "agg_impact_calls", "agg_call_summary", "pipe_impact_map", "call_volcano")
+    assert set(full_queries()) == {f"{n}_full" for n in names}
+
+
 def test_std_floor(spark):
     null = bootstrap.bootstrap_null(labelled(spark, [1.0] * 10, [1.0]), 5).collect()
     assert all(r.boot_std == 0.01 and r.boot_mean == 1.0 for r in null)
