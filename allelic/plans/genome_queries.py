@@ -64,6 +64,12 @@ def fn_tokens(ref):
     return ref.select("doc_id", F.array_join(fn.dna_tokens(F.substring("seq", 1, 200)).cast("array<string>"), ",").alias("tokens"))
 
 
+# The tokens of the whole sequence, as a digest.
+@query("fx_reference", sql="SELECT doc_id, md5(array_to_string(string_split(translate(seq, 'ACGTN', '01234'), ''), ',')) AS tokens FROM fx_reference")
+def fn_tokens_full(ref):
+    return ref.select("doc_id", F.md5(F.array_join(fn.dna_tokens("seq").cast("array<string>"), ",").cast("binary")).alias("tokens"))
+
+
 @query("fx_seq_variants", "fx_reference", sql="SELECT s.row_id, md5(substr(r.seq, 1, CAST(s.position AS INTEGER)) || s.alt || substr(r.seq, CAST(s.position + 1 + length(s.ref) AS INTEGER))) AS spliced FROM fx_seq_variants s JOIN fx_reference r ON r.contig = s.chromosome")
 def fn_splice(variants, ref):
     both = variants.join(ref.select(F.col("contig").alias("chromosome"), "seq"), "chromosome")

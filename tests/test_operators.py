@@ -1,5 +1,6 @@
 """Hand-computed cases, quirks and invariants of the reference operators."""
 
+import hashlib
 from statistics import NormalDist
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from allelic.fixtures import load
 from allelic.functions import scalars as fn
 from allelic.operators import bootstrap, contexts, evaluate, filters, genome, impact, inference, intervals, scoring, stratify, tracks
-from allelic.plans import core, registry
+from allelic.plans import core, genome_queries, registry
 from allelic.plans.queries import full_queries
 from allelic.sources import readers, sinks
 
@@ -124,6 +125,13 @@ def test_full_bootstrap_queries(spark, sf_dir, monkeypatch):
     assert set(full_queries()) == {f"{n}_full" for n in names}
 
 
+def test_full_tokens_see_the_whole_sequence(spark):
+    seqs = ["ACGTN" * 60, "ACGTN" * 59 + "ACGTA"]
+    got = genome_queries.fn_tokens_full(spark.createDataFrame(list(enumerate(seqs)), "doc_id long, seq string"))
+    want = [(i, hashlib.md5(",".join(str("ACGTN".index(c)) for c in s).encode()).hexdigest()) for i, s in enumerate(seqs)]
+    assert rows(got, "doc_id", "tokens") == want and want[0][1] != want[1][1]
+
+
 def test_std_floor(spark):
     null = bootstrap.bootstrap_null(labelled(spark, [1.0] * 10, [1.0]), 5).collect()
     assert all(r.boot_std == 0.01 and r.boot_mean == 1.0 for r in null)
