@@ -315,6 +315,26 @@ def agg_matrix_unpivot(effects):
     return scoring.from_matrix(scoring.to_matrix(matrix_rows(effects), CELLS, ASSAYS), ASSAYS)
 
 
+# The same with every cell type and assay of the catalogue.
+ALL_ASSAYS = [*ASSAYS, "minus strand polyA plus RNA-seq", "plus strand polyA plus RNA-seq"]
+
+
+def catalogue(ctx):
+    """The cell types and assays of the contexts; a list of parameter size."""
+    return [sorted(r[0] for r in ctx.select(c).distinct().collect()) for c in ("celltype", "assay")]
+
+
+@query("fx_effects", "fx_contexts", more=MATRIX, sql="SELECT row_id, celltype, " + ", ".join(f"max(CASE WHEN assay = '{a}' THEN effect END) AS \"{a}\"" for a in ALL_ASSAYS) + " FROM m GROUP BY row_id, celltype")
+def agg_matrix_pivot_full(effects, ctx):
+    return scoring.to_matrix(matrix_rows(effects), *catalogue(ctx))
+
+
+@query("fx_effects", "fx_contexts", more=MATRIX, sql="SELECT row_id, celltype, assay, effect FROM m")
+def agg_matrix_unpivot_full(effects, ctx):
+    cells, assays = catalogue(ctx)
+    return scoring.from_matrix(scoring.to_matrix(matrix_rows(effects), cells, assays), assays)
+
+
 @query(
     "fx_effects", more=MATRIX + ", t AS (SELECT *, max(effect) OVER (PARTITION BY row_id, assay) AS top FROM m), s AS (SELECT *, effect / CASE WHEN top < 0.6 THEN 1e0 ELSE top END AS sc FROM t)",
     sql="SELECT row_id, celltype, assay, round(CASE WHEN contains(assay, 'RNA-seq') THEN sc * sc ELSE sc END, 10) AS normed FROM s",

@@ -132,6 +132,15 @@ def test_full_tokens_see_the_whole_sequence(spark):
     assert rows(got, "doc_id", "tokens") == want and want[0][1] != want[1][1]
 
 
+def test_full_matrix_returns_every_effect(spark):
+    names = [(c, a) for c in ("X", "Y", "Z", "U") for a in ("ATAC-seq", "minus strand polyA plus RNA-seq")]
+    ctx = spark.createDataFrame([(i, f"{c}---{a}", c, a) for i, (c, a) in enumerate(names)], "context_id long, context string, celltype string, assay string")
+    effects = spark.createDataFrame([(v, i, f"{c}---{a}", v + i / 10) for v in range(3) for i, (c, a) in enumerate(names)], "variant_id long, context_id long, context string, effect double")
+    want = sorted((v, c, a, v + i / 10) for v in range(3) for i, (c, a) in enumerate(names) if i != 7)
+    assert sorted(map(tuple, core.agg_matrix_unpivot_full(effects, ctx).select("row_id", "celltype", "assay", "effect").collect())) == want
+    assert core.agg_matrix_pivot_full(effects, ctx).count() == 12
+
+
 def test_std_floor(spark):
     null = bootstrap.bootstrap_null(labelled(spark, [1.0] * 10, [1.0]), 5).collect()
     assert all(r.boot_std == 0.01 and r.boot_mean == 1.0 for r in null)
