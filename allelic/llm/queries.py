@@ -133,5 +133,19 @@ FROM f
 """
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY doc_id, w),
+l AS (SELECT doc_id, len(ws) AS words FROM d WHERE len(ws) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(words) AS DOUBLE) / count(*) AS mean FROM l),
+f AS (SELECT w, ln(1 + (docs - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) AS idf FROM (SELECT w, count(*) AS df FROM p GROUP BY w), s),
+i AS (SELECT doc_id, w, n * CAST(2.2 AS DOUBLE) / (n + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * words / mean)) AS impact FROM p JOIN l USING (doc_id), s),
+q AS (SELECT doc_id AS query_id, w, idf FROM p JOIN f USING (w) WHERE doc_id % 50 = 0),
+r AS (SELECT query_id, i.doc_id, CAST(sum(CAST(round(idf * impact * 1099511627776) AS HUGEINT)) AS DOUBLE) AS scaled FROM q JOIN i USING (w) GROUP BY query_id, i.doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scaled DESC, doc_id) AS INTEGER) AS rank FROM r)
+SELECT query_id, rank, doc_id, round(scaled / 1099511627776, 6) AS score FROM k WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op8_mixing": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op10_topk_search": OP10_SQL, "op1_warc": OP1_SQL, "op8_mixing": OP8_SQL, "op9_quality_rules": OP9_SQL}
