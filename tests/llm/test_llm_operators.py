@@ -458,7 +458,7 @@ def test_search_equals_brute_force(docs, rows, settings):
 def test_search_skips_blocks():
     texts = [f"common rare{i}" for i in range(500)] + ["common needle needle"]
     shard = bm25.Shard(list(range(501)), texts, 2.0, bm25.Settings(k=1, block_docs=4, dense_terms=1))
-    q, ids, _ = shard.search([["common", "needle"]], [[0.1, 9.0]])
+    q, ids, _ = shard.search([["common", "needle"]], [[0.1, 9.0]], [None], [None])
     assert list(q) == [0] and list(ids) == [500] and shard.blocks_read < 5
 
 
