@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sliced, stored
+from .common import removed, sliced, stored
 from .shingles import shingle_sets, signature
 
 
@@ -46,13 +46,17 @@ class Settings:
     hot_list: int = 256  # lists longer than this are dealt to several tasks
 
 
+#: Size of the set of remainders that stands for a set of shingles in a first check of pairs.
+BITS = 2048
+
+
 def least_overlap(n, percent: int):
     """Fewest shared shingles of a set of ``n`` with any set that reaches the similarity."""
     return -(-n * percent // 100)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and node (a digest of the shingle set; null for none) of each row."""
+    """doc_id, n_shingles and digest (of the shingle set; null for none) of each row."""
 
     def run(batches):
         for part in sliced(batches):
@@ -60,15 +64,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             nodes = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary())],
-                names=["doc_id", "n_shingles", "node"],
+                names=["doc_id", "n_shingles", "digest"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary")
 
 
 def survivors(docs: DataFrame, total: int, settings: Settings) -> DataFrame:
-    """node of the classes that may have a link (step 1)."""
+    """digest of the classes that may have a link (step 1)."""
     blocks = max(16, total // (2 * settings.block_shingles))
     percent = settings.percent
 
@@ -145,7 +149,7 @@ def survivors(docs: DataFrame, total: int, settings: Settings) -> DataFrame:
             lone += np.bincount(np.frombuffer(x, np.uint16), minlength=len(sizes))
         smallest = least_overlap(sizes[:, 1], percent)  # a linked set has so many shingles at least
         keep = (sizes[:, 0] - lone) >= np.minimum(-(-smallest // 4), -(-sizes[:, 1] // 4))
-        return pd.DataFrame({"node": [nodes[16 * i : 16 * i + 16] for i in keep.nonzero()[0]]})
+        return pd.DataFrame({"digest": [nodes[16 * i : 16 * i + 16] for i in keep.nonzero()[0]]})
 
     return (
         docs.select("text")
@@ -153,13 +157,19 @@ def survivors(docs: DataFrame, total: int, settings: Settings) -> DataFrame:
         .groupBy("block")
         .applyInPandas(meet, "chunk long, a binary, b binary")
         .groupBy("chunk")
-        .applyInPandas(judge, "node binary")
+        .applyInPandas(judge, "digest binary")
         .distinct()
     )
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n and tokens (array of long) of the classes in ``nodes``, from any of their documents."""
+def sets_of(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest, n, tokens (array of long) and bits of the classes in ``digests``, from any of their
+    documents. ``bits`` marks the remainders of the shingles: a set of fixed size that bounds overlaps."""
+
+    def bits(tokens: np.ndarray) -> np.ndarray:
+        marks = np.zeros(BITS, np.uint8)
+        marks[tokens % np.uint64(BITS)] = 1
+        return np.packbits(marks).view(np.int64)
 
     def run(batches):
         for part in sliced(batches):
@@ -169,12 +179,14 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     pa.array([signature(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([bits(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["node", "n", "tokens"],
+                names=["digest", "n", "tokens", "bits"],
             )
 
-    found = docs.select("text").mapInArrow(run, "node binary, n long, tokens array<long>")
-    return found.join(nodes.hint("merge"), "node", "left_semi").groupBy("node", "n").agg(F.first("tokens").alias("tokens"))
+    found = docs.select("text").mapInArrow(run, "digest binary, n long, tokens array<long>, bits array<long>")
+    one = F.first(F.struct("tokens", "bits")).alias("one")
+    return found.join(digests.hint("merge"), "digest", "left_semi").groupBy("digest", "n").agg(one).select("digest", "n", "one.*")
 
 
 def prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
@@ -184,9 +196,10 @@ def prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
     counts the shingles behind it, ``held`` all shingles that any other class has, and ``weight``
     is their mean frequency: the original of many copies weighs most among them.
     """
-    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    lists = tokens.join(frequent, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    lists = tokens.join(frequent, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    lists = lists.join(sets.select("node", "n"), "node").select("node", "n", "shared")
     percent, most, verify = settings.percent, settings.max_match, settings.verify_cost
 
     def choose(batches):
@@ -212,19 +225,37 @@ def prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["node", "n", "shared", "m", "length", "held", "weight"])
 
     kind = lists.schema["shared"].dataType.simpleString()
-    chosen = lists.select("node", "n", "shared").mapInArrow(choose, f"node binary, n long, shared {kind}, m int, length int, held long, weight double")
+    chosen = lists.select("node", "n", "shared").mapInArrow(choose, f"node long, n long, shared {kind}, m int, length int, held long, weight double")
     return chosen.filter("length > 0").select(
         "node", "n", "m", "held", "weight", F.slice("shared", F.lit(1), F.col("length")).alias("prefix"), (F.col("held") - F.col("length")).alias("rest")
     )
 
 
+def close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that may reach the similarity, by the remainders of their shingles.
+
+    Each remainder that one set has and the other lacks is a shingle at least that they do not share.
+    """
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    most = F.least(F.col("na") - lacks("bitsa", "bitsb"), F.col("nb") - lacks("bitsb", "bitsa"))
+    return both.withColumn("most", most).filter(100 * F.col("most") >= percent * (F.col("na") + F.col("nb") - F.col("most"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, by their full sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    """The pairs (a, b) whose sets reach the similarity, by their full sets; a stored table."""
+    pairs = stored(close(pairs, sets, percent), "ngram-close")
+    if pairs.isEmpty():
+        return pairs
+    # Sets travel once to the pairs, as two rows of each.
+    sides = pairs.withColumn("node", F.explode(F.array("a", "b")))
+    both = sides.join(sets.select("node", "n", "tokens"), "node").groupBy("a", "b").agg(F.collect_list(F.struct("n", "tokens")).alias("s"))
+    shared = F.size(F.array_intersect(F.col("s")[0].tokens, F.col("s")[1].tokens))
+    linked = both.filter(100 * shared >= percent * (F.col("s")[0].n + F.col("s")[1].n - shared)).select("a", "b")
+    found = stored(linked, "ngram-links")
+    removed(pairs)
+    return found
 
 
 def salt_of(node: Column, df: Column, hot: int) -> Column:
@@ -280,18 +311,21 @@ def cross_pairs(listed: DataFrame, chosen: DataFrame, settings: Settings) -> Dat
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node of each node's component, by labels with shortcuts.
 
-    Labels are written to the shared folder in every round, until none changes.
+    Labels are written to the shared folder in every round, until none changes. Rows that meet by a
+    node of many neighbours are combined before they are dealt by node.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "ngram-edges")
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "ngram-labels")
     while True:
-        best = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))
-        best = labels.join(best, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        best = stored(best, "ngram-step")
-        jump = best.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        moved = stored(best.join(jump, "comp").select("node", "old", F.col("root").alias("comp")), "ngram-labels")
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("comp").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        step = stored(step, "ngram-step")
+        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        moved = stored(step.join(jump, "comp").select("node", "old", F.col("root").alias("comp")), "ngram-labels")
+        removed(step, labels)
         labels = moved.select("node", "comp")
         if moved.filter("comp <> old").isEmpty():
+            removed(both)
             return labels
 
 
@@ -302,30 +336,38 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     left = stored(survivors(docs, total, settings), "ngram-survivors")
     key = F.coalesce("doc_id", F.lit(-1).cast(docs.schema["doc_id"].dataType))
-    picks = known.join(left, "node", "left_semi").groupBy("node").agg(F.min(key).alias("pick")).select("pick").distinct()
+    # Copies are combined before classes meet anything, however many they are.
+    classes = known.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min(key).alias("pick"))
+    classes = stored(classes, "ngram-classes")
+    picks = classes.join(left, "digest", "left_semi").select("pick").distinct()
     # The picked ids grow with the input, so they are never broadcast, at any size.
     picked = docs.withColumn("pick", key).join(picks.hint("merge"), "pick", "left_semi")
-    sets = stored(sets_of(picked, left), "ngram-sets")
+    sets = stored(sets_of(picked, left).withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
+    removed(left)
     chosen = stored(prefixes(sets, settings), "ngram-prefixes")
     lists = chosen.select("node", "n", "m", "held", "weight", F.explode("prefix").alias("p")).select("*", "p.token", "p.df").drop("p")
     listed = stored(lists.withColumn("comp", F.col("node")), "ngram-listed")
     edges, labels = None, None
     for round_no in range(settings.star_rounds):
-        found = stored(verified(star_pairs(listed, round_no, settings), sets, settings.percent), "ngram-links")
+        found = verified(star_pairs(listed, round_no, settings), sets, settings.percent)
         if found.isEmpty():
             break
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         comp = F.coalesce(F.col("new"), F.col("node"))
+        removed(listed)
         listed = stored(lists.join(labels.withColumnRenamed("comp", "new"), "node", "left").withColumn("comp", comp).drop("new"), "ngram-listed")
-    found = stored(verified(cross_pairs(listed, chosen, settings), sets, settings.percent), "ngram-links")
+    found = verified(cross_pairs(listed, chosen, settings), sets, settings.percent)
     if not found.isEmpty():
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
     if labels is None:
-        placed = known.withColumn("comp", F.col("node"))
+        placed = classes.select("digest", F.col("first").alias("component_id"))
     else:
-        placed = known.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = stored(placed, "ngram-placed")
-    least = stored(placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "ngram-components")
-    return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        linked = labels.join(sets.select("node", "digest"), "node").select("digest", "comp")
+        linked = stored(classes.join(linked, "digest", "left"), "ngram-linked")
+        least = linked.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("least"))
+        placed = linked.join(least, "comp", "left").select("digest", F.coalesce("least", "first").alias("component_id"))
+    placed = stored(placed, "ngram-components")
+    removed(sets, chosen, listed)
+    return known.join(placed, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
