@@ -48,6 +48,8 @@ class Settings:
 
 #: Size of the set of remainders that stands for a set of shingles in a first check of pairs.
 BITS = 2048
+#: Tasks to which the classes of one component are dealt when they learn its smallest id.
+SALTS = 16
 
 
 def least_overlap(n, percent: int):
@@ -366,8 +368,12 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     else:
         linked = labels.join(sets.select("node", "digest"), "node").select("digest", "comp")
         linked = stored(classes.join(linked, "digest", "left"), "ngram-linked")
-        least = linked.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("least"))
-        placed = linked.join(least, "comp", "left").select("digest", F.coalesce("least", "first").alias("component_id"))
+        # Classes of no link meet nothing; those of one large component are dealt to several tasks.
+        alone, linked = linked.filter("comp IS NULL"), linked.filter("comp IS NOT NULL")
+        least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        linked = linked.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(least, ["comp", "salt"])
+        placed = alone.select("digest", F.col("first").alias("component_id")).unionByName(linked.select("digest", "component_id"))
     placed = stored(placed, "ngram-components")
     removed(sets, chosen, listed)
     return known.join(placed, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
