@@ -1,10 +1,12 @@
 """Personal data: base kinds by pattern, and bootstrapped contextual extraction of further ones.
 
 Base spans are leftmost matches of four patterns with a check each. They seed a graph of lexical
-patterns (the one or two words before an identifier) and instances (identifiers): a pattern's
-score is the share of its instances that are believed to be of a kind, an instance is believed
-as much as its best pattern, and a few rounds spread belief. Instances beyond a threshold, in
-the place of a pattern beyond it too, are reported as found.
+patterns (the one or two words before an identifier, or the word after it) and instances
+(identifiers): a pattern's score is the share of its instances that are believed to be of a kind,
+an instance is believed as much as its best pattern, and a few rounds spread belief. Instances
+beyond a threshold, in the place of a pattern beyond it too, are reported as found. Further seeds
+are identifiers of a telling shape (``Settings.shapes``): alone they are not reported, but where
+a pattern of high score stands beside them they are, and so is what else stands there.
 
 Only DataFrame functions. The patterns below match what the plain ones match; possessive
 quantifiers and looks behind keep them linear on long texts.
@@ -39,8 +41,8 @@ GATES = {
     "phone": lambda t: t.rlike(r"\+[0-9]"),
 }
 SPACE = r"\x20\x09-\x0D"
-#: A run of non-blank characters that holds a digit.
-MENTION = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+#: A run of non-blank characters that holds a digit or an at sign.
+MENTION = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 CORE = r"^([^A-Za-z0-9]*+)([A-Za-z0-9](?:.*[A-Za-z0-9])?)"
 
 
@@ -51,25 +53,26 @@ KEY = ["row_key", "text_key"]
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 3
-    min_digits: int = 4  # an identifier has so many digits at least
+    min_digits: int = 4  # an identifier has so many digits at least, or an at sign
+    shapes: tuple[tuple[str, str], ...] = (("secret", "^[0-9a-f]{32,}$"),)  # kind and pattern of further seeds
     min_support: int = 3  # different seeds that a pattern needs
     smoothing: float = 1.0
     threshold: float = 0.8
 
 
-def running(lengths: Column, chunk: int = 256) -> Column:
+def let(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once; plain reuse in a lambda computes it each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(lengths: Column, chunk: int = 128) -> Column:
     """For each element the sum of those before it, by chunks so that long arrays stay cheap."""
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    total = lambda x: F.aggregate(x, zero, add)
-    n = F.size(lengths)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda c: F.slice(lengths, c * chunk + 1, F.lit(chunk)))
-    sums = F.transform(chunks, total)
-    made = F.transform(
-        chunks,
-        lambda c, k: F.transform(c, lambda _, i: total(F.slice(sums, F.lit(1), k)) + total(F.slice(c, F.lit(1), i))),
-    )
-    return F.when(n > 0, F.flatten(made)).otherwise(F.array().cast("array<bigint>"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    before = lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i)))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / chunk).cast("int")), lambda c: F.slice(x, c * chunk + 1, F.lit(chunk)))
+    add = lambda offsets, x: F.transform(before(x), lambda v: v + offsets)
+    made = let(lengths, lambda x: let(cut(x), lambda parts: let(before(F.transform(parts, total)), lambda sums: F.transform(parts, lambda c, k: let(c, lambda y: add(F.get(sums, k), y))))))
+    return F.when(F.size(lengths) > 0, F.flatten(made)).otherwise(F.array().cast("array<bigint>"))
 
 
 def digits(text: Column) -> Column:
@@ -93,11 +96,16 @@ def passes(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def context(gap: Column) -> Column:
-    """The last two words of the text before, in lower case, without marks at their ends."""
-    tail = F.lower(F.substring(gap, -60, 60))
-    words = F.filter(F.split(tail, rf"[{SPACE}]+"), lambda w: w != "")
-    return F.transform(F.slice(F.concat(F.array(F.lit(""), F.lit("")), words), -2, 2), lambda w: F.regexp_replace(w, r"^[.,;!?()]+|[.,;!?()]+$", ""))
+def bare(word: Column) -> Column:
+    return F.regexp_replace(word, r"^[.,;!?()]+|[.,;!?()]+$", "")
+
+
+def context(gap: Column, after: Column) -> Column:
+    """The last two words of the text before and the first of the text after, in lower case,
+    without marks at their ends; the word after follows at once or behind one blank."""
+    words = F.filter(F.split(F.lower(F.substring(gap, -60, 60)), rf"[{SPACE}]+"), lambda w: w != "")
+    last = F.transform(F.slice(F.concat(F.array(F.lit(""), F.lit("")), words), -2, 2), bare)
+    return F.concat(last, F.array(bare(F.regexp_extract(F.lower(F.substring(after, 1, 60)), rf"^[{SPACE}]*+([^{SPACE}]*+)", 1))))
 
 
 def located(df: DataFrame, name: str, pattern: str, gate: Column) -> DataFrame:
@@ -113,7 +121,7 @@ def located(df: DataFrame, name: str, pattern: str, gate: Column) -> DataFrame:
             m.alias("text"),
             (F.get("__before", i) + F.length(F.get("__gaps", i))).alias("start"),
             (F.get("__before", i) + F.get("__lengths", i)).alias("end"),
-            context(F.get("__gaps", i)).alias("context"),
+            context(F.get("__gaps", i), F.get("__gaps", i + 1)).alias("context"),
         ),
     )
     return df.withColumn(name, made).drop("__found", "__gaps", "__lengths", "__before")
@@ -130,7 +138,8 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     df = df.withColumn("row_key", F.xxhash64("doc_id", "__text")).withColumn("text_key", F.xxhash64("__text"))
     for kind in KINDS:
         df = located(df, f"__{kind}", PATTERNS[kind], GATES[kind](F.col("__text")))
-    df = located(df, "__mention", MENTION, F.col("__text").rlike(mention_gate(settings.min_digits)))
+    df = located(df, "__mention", MENTION, F.col("__text").contains("@") | F.col("__text").rlike(mention_gate(settings.min_digits)))
+
     def base_spans(rank: int, kind: str) -> Column:
         good = F.filter(f"__{kind}", lambda s: passes(kind, s["text"]))
         return F.transform(
@@ -146,14 +155,16 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         core = F.regexp_extract(s["text"], CORE, 2)
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("text"), s["context"].alias("context"))
 
-    mentions = F.filter(F.transform("__mention", trimmed), lambda s: F.length(digits(s["text"])) >= settings.min_digits)
+    mentions = F.filter(F.transform("__mention", trimmed), lambda s: s["text"].contains("@") | (F.length(digits(s["text"])) >= settings.min_digits))
     return df.select("doc_id", *KEY, F.array_sort(F.concat(*(base_spans(i, k) for i, k in enumerate(KINDS)))).alias("base"), mentions.alias("mentions"))
 
 
 def patterns_of(words: Column) -> Column:
-    """The one-word and the two-word pattern of a context."""
-    one, both = F.get(words, F.lit(1)), F.concat_ws(" ", words)
-    return F.filter(F.array_distinct(F.array(one, both)), lambda p: F.trim(p) != "")
+    """The patterns of a context: one word before, two words before, the word after."""
+    word = lambda i: F.get(words, F.lit(i))
+    made = F.array(F.concat(word(1), F.lit(" _")), F.concat(word(0), F.lit(" "), word(1), F.lit(" _")), F.concat(F.lit("_ "), word(2)))
+    # A pattern has a letter or digit, or a mark such as = or : that is no mere end of a sentence.
+    return F.filter(F.array_distinct(F.transform(made, F.trim)), lambda p: F.length(F.regexp_replace(p, "[_ |]", "")) > 0)
 
 
 def discover(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -161,8 +172,9 @@ def discover(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
     base = scanned.select(*KEY, F.explode("base").alias("s")).select(
         *KEY, "s.start", "s.end", "s.kind", "s.text", "s.context"
     )
+    shape = F.coalesce(*(F.when(F.col("s.text").rlike(p), k) for k, p in settings.shapes), F.lit(None).cast("string"))
     seen = scanned.select(*KEY, F.explode("mentions").alias("s")).select(
-        *KEY, "s.start", "s.end", F.lit(None).cast("string").alias("kind"), "s.text", "s.context"
+        *KEY, "s.start", "s.end", shape.alias("kind"), "s.text", "s.context"
     )
     # Mentions that overlap a base span are that span, not news; repeated rows count once.
     near = scanned.select(*KEY, F.size("base").alias("n")).filter("n > 0").select(*KEY).distinct()
@@ -172,9 +184,10 @@ def discover(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .filter("m.start < b.end AND b.start < m.end")
         .select(*KEY, "m.start")
     ).distinct()
-    fresh = seen.distinct().join(covered, [*KEY, "start"], "left_anti")
-    occurrences = stored(fresh.unionByName(base.distinct()).withColumn("pattern", F.explode(patterns_of(F.col("context")))).drop("context"), "pii-occurrences")
-    edges = occurrences.groupBy("pattern", "text").agg(F.max("kind").alias("kind"))
+    fresh = seen.distinct().join(covered, [*KEY, "start"], "left_anti").withColumn("new", F.lit(True))
+    both = fresh.unionByName(base.distinct().withColumn("new", F.lit(False)))
+    occurrences = stored(both.withColumn("pattern", F.explode(patterns_of(F.col("context")))).drop("context"), "pii-occurrences")
+    edges = stored(occurrences.groupBy("pattern", "text").agg(F.max("kind").alias("kind")), "pii-edges")
     support = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
     belief = edges.filter("kind IS NOT NULL").select("text", "kind", F.lit(1.0).alias("belief")).distinct()
     seeds = belief
@@ -184,11 +197,11 @@ def discover(scanned: DataFrame, settings: Settings = Settings()) -> DataFrame:
             edges.filter("kind IS NULL").select("pattern", "text").join(scores, "pattern")
             .groupBy("text", "kind").agg(F.max("score").alias("belief"))
         )
-        belief = seeds.unionByName(spread)
+        belief = stored(seeds.unionByName(spread), "pii-belief")
     scores = score_patterns(edges, support, belief, settings)
-    sure = belief.filter(F.col("belief") >= settings.threshold)
+    sure = belief.filter(F.col("belief") >= settings.threshold).select("text", "kind").distinct()
     return (
-        occurrences.filter("kind IS NULL").drop("kind")
+        occurrences.filter("new").drop("kind")
         .join(scores.filter(F.col("score") >= settings.threshold), "pattern")
         .join(sure, ["text", "kind"], "left_semi")
         .groupBy(*KEY, "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
@@ -216,7 +229,7 @@ def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Spans are structs start, rank, kind, end in code points, sorted; ``end`` is exclusive.
     """
     scanned = stored(scan(docs, settings), "pii-scan")
-    ranks = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
+    ranks = F.create_map(*(F.lit(x) for i, k in enumerate(dict.fromkeys([*KINDS, *(k for k, _ in settings.shapes)])) for x in (k, i)))
     span = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
     found = discover(scanned, settings).groupBy(*KEY).agg(
         F.collect_list(F.struct("start", ranks[F.col("kind")].alias("rank"), "kind", "end")).alias("found")

@@ -82,6 +82,75 @@ def personal(text):
     return [(a, b, kind) for a, _, b, kind in sorted(out)]
 
 
+def bootstrapped(rows, rounds=3, min_digits=4, support=3, threshold=0.8, shape="^[0-9a-f]{32,}$"):
+    """{doc_id: {(start, end, kind)}} that contexts add to the base spans; rows are distinct."""
+    blank = r"\x20\x09-\x0D"
+
+    def patterns(text, start, end):
+        trim = lambda w: re.sub(r"^[.,;!?()]+|[.,;!?()]+$", "", w)
+        two = [trim(w) for w in (["", ""] + re.findall(f"[^{blank}]+", text[max(start - 60, 0) : start].lower()))[-2:]]
+        after = trim(re.match(f"[{blank}]*([^{blank}]*)", text[end : end + 60].lower())[1])
+        made = {f"{two[1]} _".strip(), f"{two[0]} {two[1]} _".strip(), f"_ {after}".strip()}
+        return {p for p in made if re.sub(r"[_ |]", "", p)}
+
+    occurrences = []  # doc, start, end, kind, text, new, patterns
+    for doc, text in rows:
+        base = personal(text)
+        at = {}
+        for kind, pattern in PII.items():
+            ends = [(0, 0)] + [m.span() for m in re.finditer(pattern, text)]
+            at |= {(kind, b): a[1] for a, b in zip(ends, ends[1:])}
+        for start, end, kind in base:
+            gap = text[at[kind, (start, end)] : start]
+            nexts = [m.start() for m in re.finditer(PII[kind], text) if m.start() >= end]
+            held = patterns(gap + text[start : nexts[0] if nexts else None], len(gap), len(gap) + end - start)
+            occurrences.append((doc, start, end, kind, text[start:end], False, held))
+        spans = [m.span() for m in re.finditer(f"[^{blank}]+", text) if re.search("[0-9@]", m[0])]
+        for i, (a, b) in enumerate(spans):
+            m = re.match(r"([^A-Za-z0-9]*)([A-Za-z0-9](?:.*[A-Za-z0-9])?)?", text[a:b])
+            core, start = m[2] or "", a + len(m[1])
+            end = start + len(core)
+            if not ("@" in core or len(re.sub("[^0-9]", "", core)) >= min_digits) or any(start < y and x < end for x, y, _ in base):
+                continue
+            low, high = spans[i - 1][1] if i else 0, spans[i + 1][0] if i + 1 < len(spans) else len(text)
+            held = patterns(text[low:high], a - low, b - low)
+            occurrences.append((doc, start, end, "secret" if re.search(shape, core) else None, core, True, held))
+    edges = {}
+    for _, _, _, kind, text, _, held in occurrences:
+        for p in held:
+            edges[p, text] = max(filter(None, (edges.get((p, text)), kind)), default=None)
+    seeds = {(t, k): 1.0 for (_, t), k in edges.items() if k}
+    of, instances = {}, Counter(p for p, _ in edges)
+    for p, t in edges:
+        of.setdefault(t, []).append(p)
+
+    def scored(belief):
+        total, count = Counter(), Counter()
+        for (t, k), b in belief:
+            for p in of[t]:
+                total[p, k] += b
+                count[p, k] += b == 1.0
+        return {(p, k): total[p, k] / (instances[p] + 1) for p, k in total if count[p, k] >= support}
+
+    belief = list(seeds.items())
+    for _ in range(rounds):
+        scores, spread = scored(belief), {}
+        for (p, t), kind in edges.items():
+            if not kind:
+                for (q, k), score in scores.items():
+                    if q == p:
+                        spread[t, k] = max(spread.get((t, k), 0), score)
+        belief = [*seeds.items(), *spread.items()]
+    scores = {x: s for x, s in scored(belief).items() if s >= threshold}
+    sure = {x for x, b in belief if b >= threshold}
+    found = {}
+    for doc, start, end, _, text, new, held in occurrences:
+        fits = [(s, k) for (p, k), s in scores.items() if new and p in held and (text, k) in sure]
+        if fits:
+            found.setdefault(doc, set()).add((start, end, max(fits)[1]))
+    return found
+
+
 def bm25(rows, queries, k=10, k1=1.2, b=0.75):
     docs = [(d, Counter(WORDS((t or "").lower()))) for d, t in rows]
     docs = [(d, c) for d, c in docs if c]

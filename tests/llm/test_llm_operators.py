@@ -1,4 +1,5 @@
 import hashlib
+import time
 import io
 import json
 import random
@@ -353,6 +354,33 @@ def test_pii_bootstraps_unseen(spark):
     assert found[101] == ""  # the same number, but not where the pattern stands
 
 
+def test_pii_contexts_equal_brute_force(spark, docs):
+    """Left and right contexts, tokens by their shape, mail addresses without digits, and chance neighbours."""
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)]
+    data = [(20_000 + i, f'set token = "{h}" here') for i, h in enumerate(hexes)]
+    data += [(20_100 + i, f"reach me{i}@mail.example.com anytime or 10.0.{i}.7 (office) now") for i in range(9)]
+    data += [
+        (20_200, 'set token = "1234-ABCD-zz" here'), (20_201, f"commit {hexes[0]} merged"), (20_202, "reach bob@localhost anytime"),
+        (20_203, "see 192-168-0-1 (office) now"), (20_204, "in 2024 and 12345"), (20_205, "a@b"), (20_206, f'"{hexes[1]}"'),
+    ]
+    df = docs.filter("doc_id % 5 = 0").select("doc_id", "text").union(spark.createDataFrame(data, "doc_id long, text string"))
+    want = brute.bootstrapped([(r.doc_id, r.text) for r in df.collect()])
+    got = {}
+    for r in pii.find(df).collect():
+        if new := {(s.start, s.end, s.kind) for s in r.spans} - {(s.start, s.end, s.kind) for s in r.base}:
+            got[r.doc_id] = new
+    assert got == want
+    assert {20_000, 20_200, 20_202, 20_203} <= set(got) and not {20_201, 20_204, 20_205, 20_206} & set(got)
+
+
+def test_pii_time_grows_with_mentions(spark):
+    df = spark.createDataFrame([(1, " ".join(["x1234"] * 64_000))], "doc_id long, text string")
+    pii.scan(df.limit(0)).count()
+    began = time.time()
+    assert pii.scan(df).select(F.size("mentions")).first()[0] == 64_000
+    assert time.time() - began < 60
+
+
 def test_pii_finds_short_digit_groups(spark):
     known = [(i, f"please call customer line +1 (2{i:02}) 555-0{i:03} today") for i in range(20)]
     unseen = [
