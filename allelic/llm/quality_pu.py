@@ -1,7 +1,10 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives and unlabelled web text train a linear model; with class prior p the risk is
-p R+(positives) + max(0, R-(unlabelled) - p R-(positives)), minimised by Adam. A text is seen
+p R+(positives) + max(0, R-(unlabelled) - p R-(positives)), minimised by Adam. The prior is
+estimated from positives and unlabelled text alone: of a first model, fitted without a fifth of
+both, the share of held-back unlabelled texts above a threshold over that of held-back positives
+bounds the prior from above, and the least bound is taken. Labels of 0 are never read. A text is seen
 as statistics of its characters, words and lines and as hashed trigrams of its character
 classes, so scores follow form rather than topic or language.
 
@@ -14,7 +17,7 @@ an empty table; input columns that bear the name of a result column are replaced
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,7 @@ class Settings:
     fit_positive: int = 4000
     fit_unlabelled: int = 6000
     rounds: int = 400
+    first_rounds: int = 120  # of the model that estimates the prior
     rate: float = 0.02
     decay: float = 1e-4
     seed: int = 11
@@ -41,6 +45,8 @@ class Settings:
 # The character classes whose trigrams are counted.
 CLASSES = [" \t", "\n", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!", "?", "#*$%&", "|<>", "-_/\\", "\"'()[]{}", ":;=+@"]
 STATS = 18
+#: Where nothing can be estimated.
+DEFAULT_PRIOR = 0.5
 
 
 def _class_table() -> np.ndarray:
@@ -120,24 +126,38 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, setting
     return Model(mean, scale, w, b, prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); give training rows alone.
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, settings: Settings) -> float:
+    """Share of positives among the unlabelled, as the least bound by any threshold (see above).
 
-    The prior is the share of positives among the labelled rows; beyond it, labels serve only to
-    name the positives. All rows of ``docs`` are the unlabelled text.
+    A threshold is a score of a held-back positive; both shares are widened by the deviation that
+    samples of their size show.
     """
-    marked = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    back = lambda x: np.arange(len(x)) % 5 == 4
+    hp, hu = back(positive), back(unlabelled)
+    if not hp.any() or not hu.any():
+        return DEFAULT_PRIOR
+    first = minimise(positive[~hp], unlabelled[~hu], DEFAULT_PRIOR, replace(settings, rounds=settings.first_rounds))
+    p, u = np.sort(first.score(positive[hp])), np.sort(first.score(unlabelled[hu]))
+    above = lambda x: 1 - np.searchsorted(x, p) / len(x)
+    slack = lambda n: np.sqrt(np.log(4 / 0.1) / (2 * n))
+    share = above(p)
+    worst = (above(u) + slack(len(u)) + slack(len(p))) / share
+    best = np.argmin(worst)
+    return float(np.clip(above(u)[best] / share[best], 0.02, 0.98))
+
+
+def fit(docs: DataFrame, positives: DataFrame, settings: Settings = Settings()) -> Model:
+    """Learns from ``docs`` (doc_id, text), which are the unlabelled text, and ``positives`` (doc_id),
+    the trusted ones among them; give training rows alone."""
+    marked = positives.select("doc_id").distinct().withColumn("trusted", F.lit(1))
     ids = docs.select("doc_id").join(marked, "doc_id", "left")
-    size = ids.agg(
-        F.count("*").alias("n"), F.count("quality").alias("labelled"), F.coalesce(F.sum("quality"), F.lit(0)).alias("positive")
-    ).first()
-    prior = min(max(size.positive / max(size.labelled, 1), 0.02), 0.98)
+    size = ids.agg(F.count("*").alias("n"), F.count("trusted").alias("positive")).first()
     dims = STATS + settings.grams
-    nothing = Model(np.zeros(dims), np.ones(dims), np.zeros(dims), float(np.log(prior / (1 - prior))), prior)
+    nothing = Model(np.zeros(dims), np.ones(dims), np.zeros(dims), float(np.log(DEFAULT_PRIOR / (1 - DEFAULT_PRIOR))), DEFAULT_PRIOR)
     if not size.positive:
         return nothing
     draw = lambda salt: F.pmod(F.xxhash64(F.lit(settings.seed + salt), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    as_positive = (F.col("quality") == 1) & (draw(0) < settings.fit_positive / size.positive)
+    as_positive = (F.col("trusted") == 1) & (draw(0) < settings.fit_positive / size.positive)
     as_unlabelled = draw(1) < settings.fit_unlabelled / size.n
     picked = ids.select(
         "doc_id", F.coalesce(as_positive, F.lit(False)).alias("positive"), as_unlabelled.alias("unlabelled")
@@ -157,11 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         x, positive, unlabelled = x[order], rows.positive.to_numpy()[order], rows.unlabelled.to_numpy()[order]
         if not positive.any() or not unlabelled.any():
             return pd.DataFrame({"kind": [], "x": []})
-        m = minimise(x[positive], x[unlabelled], prior, settings)
-        return pd.DataFrame({"kind": [0, 1, 2, 3], "x": [m.mean, m.scale, m.weights, np.array([m.bias])]})
+        m = minimise(x[positive], x[unlabelled], class_prior(x[positive], x[unlabelled], settings), settings)
+        return pd.DataFrame({"kind": [0, 1, 2, 3], "x": [m.mean, m.scale, m.weights, np.array([m.bias, m.prior])]})
 
     parts = {r.kind: np.array(r.x) for r in wide.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(learn, "kind int, x array<double>").collect()}
-    return Model(parts[0], parts[1], parts[2], float(parts[3][0]), prior) if parts else nothing
+    return Model(parts[0], parts[1], parts[2], *map(float, parts[3])) if parts else nothing
 
 
 def score(docs: DataFrame, model: Model, grams: int = Settings.grams, text_col: str = "text") -> DataFrame:

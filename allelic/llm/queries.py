@@ -34,8 +34,9 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    docs = docs.withColumn("held_out", language_id.fold(5) == 0)
-    model = language_id.fit(docs.filter("NOT held_out"))
+    # A null id belongs to no fold: it is not held out, and nothing is learned from it.
+    docs = docs.withColumn("held_out", F.coalesce(language_id.fold(5) == 0, F.lit(False)))
+    model = language_id.fit(docs.filter(language_id.fold(5) != 0))
     return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
@@ -44,9 +45,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", language_id.fold(3) == 1)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(language_id.fold(3) != 1)
-    model = quality_pu.fit(docs.filter("NOT held_out"), labels)
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", F.coalesce(language_id.fold(3) == 1, F.lit(False)))
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(language_id.fold(3) != 1).filter("quality = 1")
+    model = quality_pu.fit(docs.filter(language_id.fold(3) != 1), trusted)
     return quality_pu.score(docs, model).drop("text")
 
 

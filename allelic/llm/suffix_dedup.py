@@ -7,6 +7,7 @@ same text or another one.
    hashed 32-grams, so equal windows meet whatever surrounds them. Neighbouring windows of one
    minimizer form a segment. A minimizer that occurs once ends there; segments with equal bytes
    are gathered into one with a count, and a count of two says that all their windows repeat.
+   Bytes are compared by a 64-bit digest, and only among segments of one 64-bit minimizer.
 2. Split. A minimizer with very many different segments is dealt again by narrower ranges of
    window starts and the bytes that all windows of a range share, down to single windows, so a
    passage that a third of all texts hold never meets in one task.
@@ -16,7 +17,8 @@ same text or another one.
    Neighbours that no interval has parted by then share a string of that length.
 4. Cover. The repeated windows of each text become runs, and the rest of its bytes is kept.
 
-Defined cases: a null text counts as empty; texts shorter than ``length`` keep every byte; rows
+Defined cases: a null text counts as empty; very long texts are cut into overlapping pieces; rows
+of null id are texts like others; of equal strings all go, none is kept as first; texts shorter than ``length`` keep every byte; rows
 that share an id are separate texts, and rows equal in id and text get equal results; an empty
 table gives an empty table; input columns other than id and text play no part.
 """
@@ -298,7 +300,6 @@ def repeated_runs(docs: DataFrame, settings: Settings) -> DataFrame:
                     strings.append(data[x["start"] : x["start"] + x["length"] + length - 1])
             yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(digest, pa.int64()), pa.array(strings, pa.binary())], names=["grp", "digest", "bytes"])
 
-    texts = docs.select(*KEY, "text").dropDuplicates(KEY) if False else docs.select(*KEY, "text")
     strings = docs.select(*KEY, "text").join(needed, KEY).select("text", "cut").mapInArrow(cut_out, "grp long, digest long, bytes binary")
     runs = stored(expand_blocks(strings, max(8, size // settings.block_bytes), length), "suffix-runs")
     searched = union(partial).join(runs, ["grp", "digest"]).select(

@@ -273,11 +273,13 @@ def mark_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
         F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("uri"),
     )
     keys = own.select("page_id", "digest", "bytes").filter(F.col("bytes") >= least)
-    holders = keys.groupBy("digest").agg(F.max("page_id").alias("holder"), F.min("page_id").alias("low")).filter("holder <> low")
+    # Of equal payloads of null ids alone none can be referred to, so all of them stay.
+    holders = keys.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).filter("n > 1 AND holder IS NOT NULL")
     revisits = (
         keys.join(holders, "digest")
-        .filter("page_id <> holder")
-        .groupBy("page_id", "digest")
+        .filter("page_id IS DISTINCT FROM holder")
+        .groupBy(F.col("page_id").alias("id"), F.col("digest").alias("payload"))
         .agg(F.concat(F.lit("page:"), F.max("holder").cast("string")).alias("refers"))
     )
-    return own.join(revisits, ["page_id", "digest"], "left").select("page_id", "uri", "html", "digest", "refers")
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("payload"))
+    return own.join(revisits, same, "left").select("page_id", "uri", "html", "digest", "refers")

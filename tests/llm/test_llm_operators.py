@@ -53,6 +53,20 @@ def tuples(df, *columns):
 # --- WARC ---------------------------------------------------------------------------------------
 
 
+def test_warc_null_ids_and_clashes(spark):
+    """Null ids revisit the largest id; of null ids alone all stay; longest texts and clashing columns play no part."""
+    same, other, long = "x" * 1000, "y" * 1000, "z" * 3_000_000
+    data = [(None, same), (None, same), (5, same), (4, same), (None, other), (None, other), (7, long), (8, long), (9, "x" * 999), (10, "x" * 999), (None, None)]
+    pages = spark.createDataFrame(data, "page_id long, html string").select("*", *(F.lit("clash").alias(c) for c in ("id", "payload", "digest", "holder", "uri")))
+    got = Counter((r.page_id, len(r.html or ""), r.refers) for r in warc.mark_revisits(pages).collect())
+    assert got == Counter({
+        (None, 1000, "page:5"): 2, (5, 1000, None): 1, (4, 1000, "page:5"): 1, (None, 1000, None): 2, (7, 3_000_000, "page:8"): 1,
+        (8, 3_000_000, None): 1, (9, 999, None): 1, (10, 999, None): 1, (None, 0, None): 1,
+    })
+    back = warc.reassemble(warc.read_records(warc.write_archives(warc.mark_revisits(pages)), with_payload=False), with_payload=False)
+    assert Counter(r.payload_bytes for r in back.collect()) == Counter(len(h or "") for _, h in data)
+
+
 def test_warc_round_trip(spark):
     big = "<p>Größe</p>" * 9000
     data = [(1, big), (2, "x" * 1000), (3, "x" * 1000), (4, "y" * 999), (5, "y" * 999), (6, None), (7, ""), (3, "x" * 1000), (8, "a\r\n0\r\n\r\nb\0" * 500)]
@@ -307,6 +321,22 @@ def test_quality_odd_rows(spark, odd):
     assert quality_pu.score(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_quality_prior_from_positives_and_unlabelled(prior):
+    draw = np.random.default_rng(5)
+    made = lambda n, good: np.where(good[:n, None], 1.5, -1.5) + draw.normal(size=(n, 4))
+    positive, unlabelled = made(1500, np.ones(1500, bool)), made(2500, draw.random(2500) < prior)
+    assert abs(quality_pu.class_prior(positive, unlabelled, quality_pu.Settings()) - prior) < 0.1
+
+
+def test_quality_reads_no_negative_labels(spark, tmp_path):
+    """The query's scores stay when labels of 0 are removed."""
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").write.parquet(f"{tmp_path}/labels.parquet")
+    assert tuples(queries.op6_quality_pu(spark, f"file://{tmp_path}")) == tuples(queries.op6_quality_pu(spark, sf))
+
+
 def test_non_negative_risk_learns():
     rng = np.random.default_rng(1)
     positive = rng.normal(1, 1, (400, 5))

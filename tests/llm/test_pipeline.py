@@ -33,9 +33,16 @@ def test_stages_follow_each_other(spark, sf_dir):
 
 def test_stages_take_odd_tables(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").limit(40)
     data = [(None, None, None, None, None), (1, "", None, None, 0), (2, "some words here", "en", "a", 15), (2, "some words here", "en", "a", 15)]
-    for rows in (data, []):
-        docs = spark.createDataFrame(rows, schema).withColumn("score", F.lit(1))
-        for _, stage in pipeline.STAGES:
+    odd = spark.createDataFrame(data, schema)
+    for docs in (odd, odd.limit(0), known.select(*COLUMNS).unionByName(odd)):
+        docs, count = docs.withColumn("score", F.lit(1)), docs.count()
+        for name, stage in pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
-        assert docs.count() >= 0
+            if name == "language_id":  # null texts and those without a letter go
+                assert docs.filter("text IS NULL OR text = ''").count() == 0
+            if name == "ngram_join":
+                assert docs.count() == docs.select("doc_id", "text").distinct().count() <= count
+        assert docs.columns[:2] == ["doc_id", "n_tokens"]
+        assert (docs.count() > 0) == (count > 4)
