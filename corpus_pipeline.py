@@ -1,8 +1,9 @@
 """A training-data pipeline over ``documents``: each stage calls one of the operators in
 ``allelic.llm``, is written as Parquet, and is read again as the next stage's input.
 
-Every stage but the last returns the columns of ``documents``. Rows of null text or id pass
-through every stage by the operators' own rules; an empty table gives empty stages.
+Every stage but the last returns the columns of ``documents``. Texts that are null or hold no
+letter are rejected by the first stage; rows of null id pass through every stage, and those of
+equal text stay apart in the second; an empty table gives empty stages.
 """
 
 from __future__ import annotations
