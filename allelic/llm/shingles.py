@@ -8,6 +8,7 @@ import numpy as np
 
 # A text is lower-cased in A-Z, cut at blanks, and every run of SIZE words is one shingle.
 SIZE = 5
+GROUP_BYTES = 1 << 20  # texts hashed at once; bounds the arrays alive, but for a longer single text
 _rng = np.random.default_rng(20240229)  # fixed: hashes must agree between tasks and runs
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES[65:91] = _BYTES[97:123]
@@ -39,7 +40,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """For each text its distinct shingles, sorted; a text of fewer words is one shingle, an empty one none."""
-    data = [(t or "").encode() for t in texts]
+    sets, group, size = [], [], 0
+    for text in texts:
+        data = (text or "").encode()
+        if group and size + len(data) > GROUP_BYTES:
+            sets += _sets(group)
+            group, size = [], 0
+        group.append(data)
+        size += len(data)
+    return sets + _sets(group) if group else sets
+
+
+def _sets(data: list[bytes]) -> list[np.ndarray]:
     buffer = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     firsts = np.cumsum([0] + [len(d) + 1 for d in data])
     blank = _BLANK[buffer]
