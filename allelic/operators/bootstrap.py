@@ -83,15 +83,15 @@ def count_nonsig(labelled: DataFrame, null: DataFrame, critical: DataFrame, n_bo
     a running sum, so no effect meets every boot. Background rows count every boot.
     """
     thresholds = null.join(critical.select("locus_id", "critical"), "locus_id").select(
-        *KEYS, (F.col("boot_mean") + F.col("critical") * F.col("boot_std")).alias("value"), F.lit(1).alias("is_threshold")
+        *KEYS, (F.col("boot_mean") + F.col("critical") * F.col("boot_std")).alias("__value"), F.lit(1).alias("__is_threshold")
     )
-    rows = labelled.withColumn("value", F.abs("effect")).withColumn("is_threshold", F.lit(0))
+    rows = labelled.withColumn("__value", F.abs("effect")).withColumn("__is_threshold", F.lit(0))
     both = rows.unionByName(thresholds, allowMissingColumns=True)
     # An effect equal to a threshold sorts before it: it does not exceed that boot.
-    below = F.sum("is_threshold").over(W.partitionBy(*KEYS).orderBy("value", "is_threshold").rowsBetween(W.unboundedPreceding, 0))
-    counted = both.withColumn("below", below).filter("is_threshold = 0")
-    count = F.when(F.col("var_label") == "background", F.lit(n_boots)).when(F.col("effect").isNotNull(), n_boots - F.col("below"))
-    return counted.withColumn("n_nonsig", count.cast("long")).drop("below", "value", "is_threshold")
+    below = F.sum("__is_threshold").over(W.partitionBy(*KEYS).orderBy("__value", "__is_threshold").rowsBetween(W.unboundedPreceding, 0))
+    counted = both.withColumn("__below", below).filter("__is_threshold = 0")
+    count = F.when(F.col("var_label") == "background", F.lit(n_boots)).when(F.col("effect").isNotNull(), n_boots - F.col("__below"))
+    return counted.withColumn("n_nonsig", count.cast("long")).drop("__below", "__value", "__is_threshold")
 
 
 def boot_pvalues(counted: DataFrame, n_boots: int, pseudo: float = 1.0) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -39,10 +41,10 @@ def background_t(labelled: DataFrame) -> DataFrame:
     """t of each absolute effect against its background, degrees of freedom, ratio to the background mean."""
     x = F.abs("effect")
     bg = labelled.filter(F.col("var_label") == "background").groupBy("locus_id", "context_id").agg(
-        F.avg(x).alias("m"), (F.stddev_samp(x) / F.sqrt(F.count("effect"))).alias("sem"), (F.count("effect") - 1).alias("dof")
+        F.avg(x).alias("__m"), (F.stddev_samp(x) / F.sqrt(F.count("effect"))).alias("__sem"), (F.count("effect") - 1).alias("dof")
     )
     rest = labelled.filter(F.col("var_label") != "background").join(bg, ["locus_id", "context_id"])
-    return rest.withColumn("t", (x - F.col("m")) / F.nullif(F.col("sem"), F.lit(0.0))).withColumn("ratio", x / F.nullif(F.col("m"), F.lit(0.0))).drop("m", "sem")
+    return rest.withColumn("t", (x - F.col("__m")) / F.nullif(F.col("__sem"), F.lit(0.0))).withColumn("ratio", x / F.nullif(F.col("__m"), F.lit(0.0))).drop("__m", "__sem")
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -83,19 +85,27 @@ def two_sided_t(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return np.clip(np.where(direct, low, high), 0, 1)
 
 
-def background_ttest(labelled: DataFrame, n_tests: int | None = None) -> DataFrame:
-    """``background_t`` with the two-sided p-value, Bonferroni-corrected on request (capped at 1)."""
+def background_ttest(labelled: DataFrame, n_tests: int | str | None = None) -> DataFrame:
+    """``background_t`` with the two-sided p-value, Bonferroni-corrected on request (capped at 1)
+    for ``n_tests`` tests, or for as many as there are tested effects with ``n_tests='rows'``."""
 
     @F.pandas_udf("double")
     def p_of(t: pd.Series, dof: pd.Series) -> pd.Series:
         return pd.Series(two_sided_t(t.to_numpy(), dof.to_numpy()))
 
     df = background_t(labelled).withColumn("p", p_of("t", F.col("dof").cast("double")))
+    if n_tests == "rows":
+        n_tests = max(labelled.filter(F.col("var_label") != "background").count(), 1)
     return df.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * n_tests)) if n_tests else df
 
 
+def effects_below(tested: DataFrame, p_cut: float = 0.01, p: str = "p_adj") -> DataFrame:
+    """locus_id, variant_id and n_below, the effects of each variant with ``p`` below the cut."""
+    return tested.groupBy("locus_id", "variant_id").agg(F.sum(F.coalesce(F.col(p) < p_cut, F.lit(False)).cast("long")).alias("n_below"))
+
+
 def mean_features(features: DataFrame) -> DataFrame:
     """row_id and the mean of its feature arrays."""
-    cells = features.select("row_id", F.posexplode("features").alias("i", "x"))
-    means = cells.groupBy("row_id", "i").agg(F.avg("x").alias("x"))
-    return means.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean_features"))
+    vector = array_to_vector(F.col("features").cast("array<double>"))
+    means = features.filter("features IS NOT NULL").groupBy("row_id").agg(Summarizer.mean(vector).alias("mean"))
+    return means.select("row_id", vector_to_array("mean").alias("mean_features"))

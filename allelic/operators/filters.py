@@ -18,10 +18,10 @@ def locus_window(gwas: DataFrame, centers: DataFrame, up: int, down: int) -> Dat
     """
     width = max(up + down, 1)
     bins = F.sequence(F.floor((F.col("center") - up) / width), F.floor((F.col("center") + down) / width))
-    around = centers.select(F.col("locus_id").alias("center_id"), F.col("chrom").alias("chromosome"), "center", F.explode(bins).alias("bin"))
-    placed = gwas.withColumn("bin", F.floor(F.col("position") / width))
+    around = centers.select(F.col("locus_id").alias("center_id"), F.col("chrom").alias("chromosome"), "center", F.explode(bins).alias("__bin"))
+    placed = gwas.withColumn("__bin", F.floor(F.col("position") / width))
     inside = (F.col("position") > F.col("center") - up) & (F.col("position") < F.col("center") + down)
-    return placed.join(around, ["chromosome", "bin"]).filter(inside).drop("bin")
+    return placed.join(around, ["chromosome", "__bin"]).filter(inside).drop("__bin")
 
 
 def selected(df: DataFrame, label: str = "var_label") -> DataFrame:

@@ -58,25 +58,25 @@ def window_text(variants: DataFrame, reference: DataFrame, contigs: DataFrame, w
     v = variants.select(
         "row_id", F.col("chromosome").alias("contig"), (F.col("position") - index_base).alias("pos0"), F.upper("ref").alias("ref"),
         F.upper("alt").alias("alt"), (center - index_base - window // 2).alias("window_start"),
-    ).join(contigs.select("contig", "length"), "contig")
+    ).join(contigs.select("contig", "length"), "contig", "left")
     v = v.withColumn("from", F.greatest(F.col("window_start"), F.lit(0))).withColumn("to", F.least(F.col("window_start") + window, F.col("length")))
     text = _pieces(v.select("row_id", "contig", "from", "to"), reference, chunk)
     pad = lambda n: F.repeat(F.lit("N"), F.greatest(F.lit(0), F.least(n, F.lit(window))).cast("int"))
     body = F.coalesce("text", F.lit(""))
     left = F.least(F.greatest(-F.col("window_start"), F.lit(0)), F.lit(window))
     whole = F.concat(pad(left), body, pad(F.lit(window) - left - F.length(body)))
-    return v.join(text, "row_id", "left").select("row_id", F.col("contig").alias("chrom"), "ref", "alt", "pos0", "window_start", whole.alias("seq"))
+    return v.join(text, "row_id", "left").select("row_id", F.col("contig").alias("chrom"), "ref", "alt", "pos0", "window_start", F.when(F.col("length").isNotNull(), whole).alias("seq"))
 
 
 def build_windows(variants: DataFrame, reference: DataFrame, contigs: DataFrame, window: int = 196_608, index_base: int = 0, correct_ref: bool = False, chunk: int = CHUNK) -> DataFrame:
     """row_id, chrom, window_start (0-based), ref_seq, alt_seq and status of each variant.
 
     ``status`` is ok, mismatch (REF differs from the genome; with ``correct_ref`` REF is written in
-    and the status is corrected) or outside (REF does not lie in the window). The sequences are
+    and the status is corrected) or outside (REF does not lie in the window, or the contig is unknown). The sequences are
     null unless the status is ok or corrected.
     """
     v = window_text(variants, reference, contigs, window, index_base, chunk).withColumn("at", F.col("pos0") - F.col("window_start"))
-    inside = (F.col("at") >= 0) & (F.col("at") + F.length("ref") <= window)
+    inside = F.coalesce(F.col("seq").isNotNull() & (F.col("at") >= 0) & (F.col("at") + F.length("ref") <= window), F.lit(False))
     same = F.substring("seq", (F.col("at") + 1).cast("int"), F.length("ref")) == F.col("ref")
     status = F.when(~inside, "outside").when(same, "ok").otherwise("corrected" if correct_ref else "mismatch")
     usable = inside & (same | F.lit(correct_ref))

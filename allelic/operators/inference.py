@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -53,10 +54,20 @@ def infer_effects(variants: DataFrame, reference: DataFrame, contigs: DataFrame,
     return scoring.score_effects(predict(bins, contexts, predictor), scoring_mode, ("row_id", "context_id", "context"))
 
 
-def infer_tracks(signals: DataFrame, scoring_mode: str = "signed_sum_abs") -> dict[str, DataFrame]:
-    """Effects, normalised tracks and their difference for predicted signals."""
+def infer_tracks(signals: DataFrame, scoring_mode: str = "signed_sum_abs", windows: DataFrame | None = None, features: DataFrame | None = None, regions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every table of an inference over predicted ``signals``: effects (within ``regions`` where they
+    are given), raw tracks, normalised tracks and their difference, and, where they are given, the
+    sequences (``windows`` of ``build_windows``), the ``features`` of bins and the effect ``regions``."""
     normed = tracks.normalise_tracks(signals)
-    return {"effects": scoring.score_effects(signals, scoring_mode), "normed": normed, "diff": tracks.diff_tracks(normed)}
+    scored = signals if regions is None else tracks.restrict_to_region(signals, regions)
+    made = {"effects": scoring.score_effects(scored, scoring_mode), "tracks": signals, "normed": normed, "diff": tracks.diff_tracks(normed)}
+    if windows is not None:
+        made["sequences"] = windows.select("row_id", "chrom", "window_start", "ref_seq", "alt_seq", "status")
+    given = {"features": features, "regions": regions}
+    return made | {k: v for k, v in given.items() if v is not None}
+
+
+_erf = np.vectorize(math.erf, otypes=[float])
 
 
 def head_predictor(weights: dict, activation: str = "gelu", layer_norm: bool = False, relu_out: bool = True, stage: str = "output"):
@@ -68,7 +79,7 @@ def head_predictor(weights: dict, activation: str = "gelu", layer_norm: bool = F
     """
     acts = {
         "relu": lambda x: np.maximum(x, 0),
-        "gelu": lambda x: 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3))),
+        "gelu": lambda x: 0.5 * x * (1 + _erf(x / np.sqrt(2))),
     }
     act = acts[activation]
 

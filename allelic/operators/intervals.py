@@ -17,13 +17,13 @@ def overlap_join(intervals: DataFrame, windows: DataFrame, width: int = BIN) ->
 
     def binned(df: DataFrame, start: str, end: str) -> DataFrame:
         first = F.floor(F.col(start) / width)
-        return df.withColumn("bin", F.explode(F.sequence(first, F.greatest(first, F.floor((F.col(end) - 1) / width)))))
+        return df.withColumn("__bin", F.explode(F.sequence(first, F.greatest(first, F.floor((F.col(end) - 1) / width)))))
 
     win = windows.select("win_id", "chrom", "win_start", "win_end")
-    met = binned(intervals, "start0", "end0").join(binned(win, "win_start", "win_end"), ["chrom", "bin"])
+    met = binned(intervals, "start0", "end0").join(binned(win, "win_start", "win_end"), ["chrom", "__bin"])
     overlaps = (F.col("start0") < F.col("win_end")) & (F.col("end0") > F.col("win_start"))
-    first = F.col("bin") == F.floor(F.greatest("start0", "win_start") / width)
-    return met.filter(overlaps & first).drop("bin")
+    first = F.col("__bin") == F.floor(F.greatest("start0", "win_start") / width)
+    return met.filter(overlaps & first).drop("__bin")
 
 
 def annotation_lanes(intervals: DataFrame, by: str = "win_id") -> DataFrame:
@@ -31,15 +31,15 @@ def annotation_lanes(intervals: DataFrame, by: str = "win_id") -> DataFrame:
     order = W.partitionBy(by).orderBy("start0", "end0", "gene_name", "gene_id")
     last = F.lag("gene_name").over(order)
     new = (last.isNull() | (last != F.col("gene_name")) | (F.col("feature") == "gene")).cast("int")
-    return intervals.withColumn("new", new).withColumn("lane", F.sum("new").over(order).cast("long")).drop("new")
+    return intervals.withColumn("__new", new).withColumn("lane", F.sum("__new").over(order).cast("long")).drop("__new")
 
 
 def order_points(df: DataFrame, by: str = "frequency", label: str = "var_label", value: str = "p_value", reverse: bool = False) -> DataFrame:
     """Adds ``point_order`` within each locus: by frequency of the label, or by the value."""
     if by == "frequency":
-        counts = df.groupBy("locus_id", label).agg(F.count("*").alias("freq"))
+        counts = df.groupBy("locus_id", label).agg(F.count("*").alias("__freq"))
         df = df.join(counts, ["locus_id", label])
-        keys = [F.asc("freq") if reverse else F.desc("freq"), F.asc(label), F.asc("variant_id")]
+        keys = [F.asc("__freq") if reverse else F.desc("__freq"), F.asc(label), F.asc("variant_id")]
     else:
         keys = [F.desc(value) if reverse else F.asc(value), F.asc("variant_id"), F.asc(label)]
-    return df.withColumn("point_order", F.row_number().over(W.partitionBy("locus_id").orderBy(*keys))).drop("freq")
+    return df.withColumn("point_order", F.row_number().over(W.partitionBy("locus_id").orderBy(*keys))).drop("__freq")

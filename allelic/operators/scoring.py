@@ -41,20 +41,20 @@ def from_matrix(matrix: DataFrame, assays: list[str]) -> DataFrame:
 def normalise_effects(effects: DataFrame, small_max: float = 0.6, squared: str = "RNA-seq") -> DataFrame:
     """Adds ``normed``: the effect over its assay's maximum within the row unless that is small,
     squared for assays whose name holds ``squared``."""
-    top = effects.groupBy("row_id", "assay").agg(F.max("effect").alias("top"))
-    scaled = F.col("effect") / F.when(F.col("top") < small_max, F.lit(1.0)).otherwise(F.col("top"))
+    top = effects.groupBy("row_id", "assay").agg(F.max("effect").alias("__top"))
+    scaled = F.col("effect") / F.when(F.col("__top") < small_max, F.lit(1.0)).otherwise(F.col("__top"))
     square = F.col("assay").contains(squared)
-    return effects.join(top, ["row_id", "assay"]).withColumn("normed", F.when(square, scaled * scaled).otherwise(scaled)).drop("top")
+    return effects.join(top, ["row_id", "assay"]).withColumn("normed", F.when(square, scaled * scaled).otherwise(scaled)).drop("__top")
 
 
 def order_effects(effects: DataFrame, top_assays: int = 5) -> DataFrame:
     """Adds assay_rank and celltype_rank: by mean absolute effect, cell types over the top assays."""
     size = F.round(F.avg(F.abs("effect")), 9)
-    assay = effects.groupBy("row_id", "assay").agg(size.alias("m"))
-    assay = assay.withColumn("assay_rank", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("m"), "assay"))).drop("m")
+    assay = effects.groupBy("row_id", "assay").agg(size.alias("__m"))
+    assay = assay.withColumn("assay_rank", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("__m"), "assay"))).drop("__m")
     ranked = effects.join(assay, ["row_id", "assay"])
-    cell = ranked.filter(F.col("assay_rank") <= top_assays).groupBy("row_id", "celltype").agg(size.alias("m"))
-    cell = cell.withColumn("celltype_rank", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("m"), "celltype"))).drop("m")
+    cell = ranked.filter(F.col("assay_rank") <= top_assays).groupBy("row_id", "celltype").agg(size.alias("__m"))
+    cell = cell.withColumn("celltype_rank", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("__m"), "celltype"))).drop("__m")
     return ranked.join(cell, ["row_id", "celltype"], "left")
 
 

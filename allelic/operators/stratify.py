@@ -24,11 +24,11 @@ class Cuts:
 def mark_candidates(gwas: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """Adds ``is_candidate``: p below the cut, or the smallest p of a locus that has no such variant."""
     significant = F.coalesce(F.col("p_value") < cuts.p_cut, F.lit(False))
-    loci = gwas.groupBy("locus_id").agg(F.max(significant).alias("any_sig"))
+    loci = gwas.groupBy("locus_id").agg(F.max(significant).alias("__any_sig"))
     df = gwas.join(loci, "locus_id")
     # Ranks are read only where nothing is significant; other loci sort by one constant key each row.
-    rank = F.row_number().over(W.partitionBy("locus_id", "any_sig", F.when(F.col("any_sig"), F.col("variant_id"))).orderBy("p_value", "variant_id"))
-    return df.withColumn("is_candidate", F.when(F.col("any_sig"), significant).otherwise(rank <= cuts.n_top)).drop("any_sig")
+    rank = F.row_number().over(W.partitionBy("locus_id", "__any_sig", F.when(F.col("__any_sig"), F.col("variant_id"))).orderBy("p_value", "variant_id"))
+    return df.withColumn("is_candidate", F.when(F.col("__any_sig"), significant).otherwise(rank <= cuts.n_top)).drop("__any_sig")
 
 
 def signal_range(marked: DataFrame) -> DataFrame:
@@ -40,9 +40,9 @@ def signal_range(marked: DataFrame) -> DataFrame:
 def mark_rare(marked: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """Adds ``is_rare``: frequency beyond the cut at either end, inside the candidate range."""
     af = F.col("allele_freq")
-    inside = F.col("position").between(F.col("range_start"), F.col("range_end"))
-    df = marked.join(signal_range(marked), "locus_id")
-    return df.withColumn("is_rare", ((af < cuts.af_cut) | (af > 1 - cuts.af_cut)) & inside).drop("range_start", "range_end")
+    inside = F.col("position").between(F.col("__low"), F.col("__high"))
+    df = marked.join(signal_range(marked).toDF("locus_id", "__low", "__high"), "locus_id")
+    return df.withColumn("is_rare", ((af < cuts.af_cut) | (af > 1 - cuts.af_cut)) & inside).drop("__low", "__high")
 
 
 def mark_background(marked: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
@@ -54,11 +54,11 @@ def mark_background(marked: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     af = F.col("allele_freq")
     open_ = (F.col("p_value") > cuts.lowsig) & ~F.col("is_rare")
     common = open_ & (af > cuts.af_cut) & (af < 1 - cuts.af_cut)
-    df = marked.withColumn("open", open_).withColumn("common", common)
-    df = df.join(df.groupBy("locus_id").agg((F.sum(F.col("common").cast("int")) < cuts.min_bg).alias("short")), "locus_id")
-    ranked = W.partitionBy("locus_id", "open", F.when(~(F.col("short") & F.col("open")), F.col("variant_id"))).orderBy(F.desc("allele_freq"), "variant_id")
-    fallback = F.col("open") & (F.row_number().over(ranked) <= cuts.min_bg)
-    return df.withColumn("is_background", F.when(F.col("short"), fallback).otherwise(F.col("common"))).drop("open", "common", "short")
+    df = marked.withColumn("__open", open_).withColumn("__common", common)
+    df = df.join(df.groupBy("locus_id").agg((F.sum(F.col("__common").cast("int")) < cuts.min_bg).alias("__short")), "locus_id")
+    ranked = W.partitionBy("locus_id", "__open", F.when(~(F.col("__short") & F.col("__open")), F.col("variant_id"))).orderBy(F.desc("allele_freq"), "variant_id")
+    fallback = F.col("__open") & (F.row_number().over(ranked) <= cuts.min_bg)
+    return df.withColumn("is_background", F.when(F.col("__short"), fallback).otherwise(F.col("__common"))).drop("__open", "__common", "__short")
 
 
 def stratify(gwas: DataFrame, cuts: Cuts = Cuts(), overlap: str = "keep") -> DataFrame:
@@ -80,8 +80,8 @@ def stratify(gwas: DataFrame, cuts: Cuts = Cuts(), overlap: str = "keep") -> Dat
 def stratify_simple(gwas: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """Two classes of SNVs: candidates by p, background inside their range."""
     df = gwas.withColumn("is_candidate", F.coalesce(F.col("p_value") < cuts.p_cut, F.lit(False)))
-    df = df.join(signal_range(df), "locus_id").filter((F.length("ref") == 1) & (F.length("alt") == 1))
-    inside = F.col("position").between(F.col("range_start"), F.col("range_end"))
+    df = df.join(signal_range(df).toDF("locus_id", "__low", "__high"), "locus_id").filter((F.length("ref") == 1) & (F.length("alt") == 1))
+    inside = F.col("position").between(F.col("__low"), F.col("__high"))
     label = F.when(F.col("is_candidate"), "candidate").when((F.col("p_value") > cuts.lowsig) & inside, "background")
     return df.withColumn("var_label", label).filter("var_label IS NOT NULL").select(*gwas.columns, "var_label")
 

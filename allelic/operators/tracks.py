@@ -55,16 +55,16 @@ def summarise_track(signals: DataFrame, how: str, value: str = "ref_signal", cut
 def normalise_tracks(signals: DataFrame, squared: str = "RNA-seq") -> DataFrame:
     """ref_normed and alt_normed by the REF maximum of (row_id, context), and context_rank by mean REF."""
     keys = ["row_id", "context"]
-    stats = signals.groupBy(*keys).agg(F.max("ref_signal").alias("top"), F.round(F.avg("ref_signal"), 9).alias("m"))
-    stats = stats.withColumn("context_rank", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("m"), "context"))).drop("m")
+    stats = signals.groupBy(*keys).agg(F.max("ref_signal").alias("__top"), F.round(F.avg("ref_signal"), 9).alias("__m"))
+    stats = stats.withColumn("context_rank", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("__m"), "context"))).drop("__m")
     square = F.col("context").contains(squared)
 
     def normed(c: str):
-        x = F.col(c) / F.nullif(F.col("top"), F.lit(0.0))
+        x = F.col(c) / F.nullif(F.col("__top"), F.lit(0.0))
         return F.when(square, x * x).otherwise(x)
 
     df = signals.join(stats, keys)
-    return df.withColumn("ref_normed", normed("ref_signal")).withColumn("alt_normed", normed("alt_signal")).drop("top")
+    return df.withColumn("ref_normed", normed("ref_signal")).withColumn("alt_normed", normed("alt_signal")).drop("__top")
 
 
 def diff_tracks(normed: DataFrame, keep_rna_squared: bool = False, rooted: str = "RNA") -> DataFrame:

@@ -10,11 +10,20 @@ from pyspark.sql import SparkSession
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; in local mode a temporary folder where that is unset, else an error:
+    on a cluster no folder of one machine will do."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _own[context.applicationId]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a local temporary folder where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
-        _own[app] = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -313,3 +313,55 @@ def test_matrix_round_trip(spark, tmp_path):
     assert rows(back) == rows(df)
     sinks.write_bedgraph(spark.createDataFrame([("chr1", 5, 0.5)], "chromosome string, position long, score double"), "score", f"{tmp_path}/b")
     assert spark.read.text(f"{tmp_path}/b").first()[0] == "chr1\t5\t6\t0.5"
+
+
+# --- clashing columns, unknown contigs and the remaining operators -----------------------------------
+
+
+def test_columns_of_the_caller_stay(spark):
+    clash = ["any_sig", "range_start", "open", "common", "short", "bin", "new", "freq", "top", "m", "value", "below", "is_threshold"]
+    gwas = spark.createDataFrame(
+        [(i, i % 2, "chr1", 100 * i, "A", "C", 0.3, 0.5 + i / 100) for i in range(40)] + [(99, 0, "chr1", 50, "A", "C", None, None)],
+        "variant_id long, locus_id long, chromosome string, position long, ref string, alt string, allele_freq double, p_value double",
+    ).select("*", *(F.lit(c).alias(c) for c in clash))
+    for made in (stratify.stratify(gwas), stratify.stratify_simple(gwas), intervals.order_points(stratify.stratify(gwas))):
+        assert set(clash) <= set(made.columns) and all(r[c] == c for r in made.limit(3).collect() for c in clash)
+    assert stratify.stratify(gwas.limit(0)).count() == 0
+    centers = spark.createDataFrame([(0, "chr1", 500)], "locus_id long, chrom string, center long")
+    near = filters.locus_window(gwas, centers, 200, 200).collect()
+    assert sorted(r.variant_id for r in near) == [4, 5, 6] and all(r.bin == "bin" for r in near)
+    spans = gwas.select(F.col("chromosome").alias("chrom"), F.col("position").alias("start0"), (F.col("position") + 10).alias("end0"), "bin")
+    windows = spark.createDataFrame([(1, "chr1", 0, 101)], "win_id long, chrom string, win_start long, win_end long")
+    assert [r.bin for r in intervals.overlap_join(spans, windows).collect()] == ["bin"] * 3
+
+
+def test_unknown_contigs_get_a_status(spark):
+    contigs = spark.createDataFrame([("c1", "ACGTACGT" * 8, 64)], "contig string, seq string, length long")
+    reference = genome.chunked(contigs, 16)
+    rows = [(1, "c1", 4, "A", "G"), (2, "nowhere", 4, "A", "G"), (3, None, 4, "A", "G"), (4, "c1", None, "A", "G"), (5, "c1", 5, "A", "G")]
+    variants = spark.createDataFrame(rows, "row_id long, chromosome string, position long, ref string, alt string")
+    for correct in (False, True):
+        made = {r.row_id: (r.status, r.ref_seq is None) for r in genome.build_windows(variants, reference, contigs, 16, correct_ref=correct, chunk=16).collect()}
+        assert made[1] == ("ok", False) and made[2] == made[3] == made[4] == ("outside", True)
+        assert made[5] == (("corrected", False) if correct else ("mismatch", True))
+
+
+def test_effects_below_a_corrected_p(spark):
+    rows = [(1, v, 1, "background", float(v % 5)) for v in range(30)] + [(1, 100, c, "candidate", 60.0) for c in (1, 1)] + [(1, 101, 1, "candidate", 2.0)]
+    labelled = spark.createDataFrame(rows, "locus_id long, variant_id long, context_id long, var_label string, effect double")
+    tested = evaluate.background_ttest(labelled, "rows")
+    assert {r.variant_id: r.n_below for r in evaluate.effects_below(tested).collect()} == {100: 2, 101: 0}
+
+
+def test_shared_folder_off_local_mode():
+    from types import SimpleNamespace
+
+    from allelic.sources import scratch
+
+    conf = lambda found: SimpleNamespace(get=lambda key: found)
+    session = lambda master, found=None: SimpleNamespace(sparkContext=SimpleNamespace(master=master, applicationId="a", getConf=lambda: conf(found)))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(session("local-cluster[2,1,1024]"))
+    assert scratch.shared_dir(session("yarn", "hdfs://x/tmp/")) == "hdfs://x/tmp" and scratch.shared_dir(session("local[4]")).startswith("file://")
