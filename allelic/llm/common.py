@@ -14,6 +14,7 @@ from ..sources.scratch import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handled at once inside a Python task; bounds the Python objects alive.
 SLICE_ROWS = 256
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +22,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Meanwhile Arrow batches hold few rows, as texts may be long.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(*tables: DataFrame) -> None:

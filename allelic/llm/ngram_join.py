@@ -38,7 +38,7 @@ from .shingles import shingle_sets, signature
 @dataclass(frozen=True)
 class Settings:
     percent: int = 75  # least similarity
-    chunk_shingles: int = 1_000_000  # held at once by a counting task
+    chunk_shingles: int = 500_000  # held at once by a counting task
     block_shingles: int = 1_000_000  # about so many meet in one block
     max_match: int = 8  # largest m of the index
     verify_cost: int = 64  # of a candidate, in entries of a list
@@ -117,7 +117,7 @@ def survivors(docs: DataFrame, total: int, settings: Settings) -> DataFrame:
                 n = len(found)
                 if n and (node := signature(found)) not in sets:
                     prefix = found[: n - least_overlap(n, percent) + -(-n // 4)]
-                    sets[node] = (prefix, n)
+                    sets[node] = (prefix.copy(), n)  # a view would hold the whole set
                     held += len(prefix)
                     if held >= settings.chunk_shingles or len(sets) == 65534:
                         yield from emit()
