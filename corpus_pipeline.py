@@ -12,13 +12,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from allelic.llm import bpe, language_id, mixing, ngram_join, pii
-from allelic.llm.common import stored
+from allelic.llm.common import BATCH_KEY, BATCH_ROWS, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long, so Python tasks take few at once; holds for the session from here on."""
+    spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go; the others keep their columns."""
+    small_batches(spark)
     model = language_id.fit(docs.filter(language_id.fold(5) != 0))
     return language_id.predict(docs.select(*COLUMNS), model).filter("NOT rejected").select(*COLUMNS)
 
@@ -46,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the token ids and of the text decoded from them."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
 
