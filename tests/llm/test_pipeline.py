@@ -45,4 +45,4 @@ def test_stages_take_odd_tables(spark, sf_dir):
             if name == "ngram_join":
                 assert docs.count() == docs.select("doc_id", "text").distinct().count() <= count
         assert docs.columns[:2] == ["doc_id", "n_tokens"]
-        assert (docs.count() > 0) == (count > 4)
+        assert (docs.count() > 0) == (count > 0)
