@@ -499,7 +499,7 @@ def boot_pvals(gwas, effects, params=PARAMS):
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT variant_id, context_id, var_label, is_sig FROM sg")
 def call_sig(gwas, effects, params=PARAMS):
-    return calls(gwas, effects).select("variant_id", "context_id", "var_label", "is_sig")
+    return calls(gwas, effects, params).select("variant_id", "context_id", "var_label", "is_sig")
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, variant_id, var_label, n_sig_effects, n_sig_effects > 0 AS impact_variant FROM ic")
