@@ -56,6 +56,11 @@ def sink_bedgraph_rows(gwas):
     return bedgraph_rows(gwas.filter("p_value > 0").withColumn("y", F.round(fn.neg_log10("p_value"), 9)), "y")
 
 
+@query("fx_gwas", sql="SELECT variant_id, concat_ws('_', chromosome, position, ref, alt) AS variant_key FROM fx_gwas")
+def prj_variant_key(gwas):
+    return gwas.select("variant_id", fn.variant_key().alias("variant_key"))
+
+
 @query("fx_gwas", sql="SELECT * FROM fx_gwas WHERE length(ref) = 1 AND length(alt) = 1")
 def flt_snv(gwas):
     return filters.snv_only(gwas)
@@ -120,6 +125,11 @@ def val_center(eqtl):
     return filters.validate_center(far).select("variant_id", "center_status")
 
 
+@query("fx_windows", "fx_signals", sql="SELECT locus_id AS row_id, chrom FROM fx_windows w WHERE NOT EXISTS (SELECT 1 FROM fx_signals s WHERE s.row_id = w.locus_id AND s.chrom = w.chrom)")
+def val_same_chrom(windows, signals):
+    return filters.validate_same_chrom(windows.select(F.col("locus_id").alias("row_id"), "chrom"), signals)
+
+
 @query("fx_signals", sql="SELECT row_id, context_id, concat_ws('_', chrom, bin_start, bin_end) AS bin_key, CAST(floor((bin_start + bin_end) / 2) AS BIGINT) AS mid FROM fx_signals")
 def prj_bin_mid(signals):
     return signals.select("row_id", "context_id", fn.bin_key().alias("bin_key"), fn.bin_mid().alias("mid"))
@@ -452,6 +462,11 @@ def call_fold_change(gwas, effects):
     return impact.fold_change(joined(gwas, effects)).select("variant_id", "context_id", "var_label", rounded("fold_change"))
 
 
+@query("fx_gwas", "fx_effects", more=STATS, sql="SELECT variant_id, context_id, var_label, CASE WHEN abs(effect - m) < 1e-9 THEN 0e0 ELSE round(effect - m, 9) END AS fold_change FROM le LEFT JOIN st USING (locus_id, context_id)")
+def call_fold_change_absolute(gwas, effects):
+    return impact.fold_change(joined(gwas, effects), absolute=True).select("variant_id", "context_id", "var_label", rounded("fold_change"))
+
+
 @query(
     "fx_gwas", "fx_effects", more=STATS,
     sql="""SELECT le.locus_id, variant_id, context_id, var_label, round((abs(effect) - m) / nullif(ss / sqrt(n), 0), 5) AS t, n - 1 AS dof, round(abs(effect) / nullif(m, 0), 10) AS ratio
@@ -550,6 +565,11 @@ def agg_eval_stratified(pred):
     return evaluate.evaluate(pred).withColumn("mse", F.round("mse", 6))
 
 
+@query("fx_predictions", sql="SELECT round(avg((pred - truth) * (pred - truth)), 6) AS mse FROM fx_predictions")
+def agg_eval_overall(pred):
+    return evaluate.evaluate(pred, by="overall").withColumn("mse", F.round("mse", 6))
+
+
 _W = "w AS (SELECT DISTINCT celltype, assay, CAST(ascii(celltype) + ascii(assay) AS DOUBLE) / 100000 AS weight FROM fx_predictions)"
 
 

@@ -110,12 +110,56 @@ def source(sql: str, *inputs: str):
 
 
 @source("SELECT locus_id, CAST(variant_id AS VARCHAR) AS variant_id, chromosome, position, ref, alt, allele_freq, p_value, CAST(locus_id % 7 AS VARCHAR) AS batch FROM fx_gwas", "fx_gwas")
-def src_gwas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_gwas(spark: SparkSession, sf_dir: str, chromosome: str | None = None) -> DataFrame:
     path = scratch(spark, "gwas")
     columns = {"variant_id": "rsid", "chromosome": "chr", "position": "base_pair_location", "ref": "other_allele", "alt": "effect_allele", "allele_freq": "effect_allele_frequency", "p_value": "p"}
     df = load(spark, sf_dir, "fx_gwas").withColumnsRenamed(columns).withColumn("batch", F.col("locus_id") % 7)
     sinks.write_table(df, path, "tsv")
-    return readers.read_gwas(spark, path, columns, locus_col="locus_id")
+    return readers.read_gwas(spark, path, columns, locus_col="locus_id", chromosome=chromosome)
+
+
+@source("SELECT locus_id, CAST(variant_id AS VARCHAR) AS variant_id, chromosome, position, ref, alt, allele_freq, p_value, CAST(locus_id % 7 AS VARCHAR) AS batch FROM fx_gwas WHERE chromosome = 'chr3'", "fx_gwas")
+def src_gwas_chrom_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src_gwas(spark, sf_dir, "chr3")
+
+
+@source("SELECT context, celltype, assay, allocation FROM fx_contexts", "fx_contexts")
+def src_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "contexts")
+    sinks.write_table(load(spark, sf_dir, "fx_contexts").select(F.col("context").alias("celltype_assay"), "allocation"), path, "tsv")
+    return readers.read_contexts(spark, path)
+
+
+@source("SELECT CAST(row_number() OVER (ORDER BY context_id) - 1 AS INTEGER) AS pos, context AS name FROM fx_contexts", "fx_contexts")
+def src_name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "names")
+    # The catalogue is of parameter size, and its file is one line.
+    names = F.transform(F.array_sort(F.collect_list(F.struct("context_id", "context"))), lambda c: c["context"])
+    load(spark, sf_dir, "fx_contexts").agg(F.array_join(names, ",,").alias("line")).write.text(path)
+    return readers.read_name_list(spark, path)
+
+
+@source("SELECT chrom, bin_start, bin_end, context, round(ref_signal, 6) AS signal FROM fx_signals", "fx_signals")
+def src_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "fx_signals").withColumn("bin", fn.bin_key())
+    path = sinks.write_matrix(df, scratch(spark, "tracks"), "ref_signals", "ref_signal", row="bin")
+    return readers.read_signals(spark, path).withColumn("signal", F.round("signal", 6))
+
+
+@source("SELECT chrom, start_pos - 1 AS start0, end_pos AS end0, feature AS c3, strand AS c4 FROM fx_gtf", "fx_gtf")
+def src_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "bed")
+    rows = load(spark, sf_dir, "fx_gtf").select("chrom", F.col("start_pos") - 1, "end_pos", "feature", "strand")
+    rows.write.csv(path, sep="\t")
+    return readers.read_bed(spark, path)
+
+
+@source("SELECT chromosome AS chrom, position AS start0, position + 1 AS end0, round(-log10(p_value), 9) AS score FROM fx_gwas WHERE p_value > 0", "fx_gwas")
+def sink_bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "bedgraph")
+    scored = load(spark, sf_dir, "fx_gwas").filter("p_value > 0").withColumn("y", F.round(fn.neg_log10("p_value"), 9))
+    sinks.write_bedgraph(scored, "y", path)
+    return readers.read_bed(spark, path).withColumn("c3", F.col("c3").cast("double")).withColumnRenamed("c3", "score")
 
 
 @source("SELECT row_id, chromosome, position, ref, alt, position + 5 AS seq_pos FROM fx_seq_variants", "fx_seq_variants")

@@ -29,13 +29,17 @@ def matrix_lines(df: DataFrame, value: str, row: str = "row_id", column: str = "
 
 
 def write_matrix(df: DataFrame, prefix: str, name: str, value: str, row: str = "row_id", column: str = "context", columns: list[str] | None = None) -> str:
-    """Writes ``prefix.name`` as text, its first line the header, and returns the path."""
-    spark = df.sparkSession
+    """Writes ``prefix.name`` as text and returns the path.
+
+    The header is the first line of every file, as readers of a folder drop the first line of each;
+    rows stay where they were gathered, so each file is sorted and the files are not.
+    """
     names = columns or [r[0] for r in df.select(column).distinct().orderBy(column).collect()]  # the header: one name a column
-    header = spark.createDataFrame([(0, "\t".join([row, *names]))], "ord int, line string")
-    lines = matrix_lines(df, value, row, column, names).select(F.lit(1).alias("ord"), "line")
+    lines = matrix_lines(df, value, row, column, names).sortWithinPartitions(row).select(F.col("line").alias("\t".join([row, *names])))
     path = f"{prefix}.{name}"
-    header.unionByName(lines).repartitionByRange("ord", "line").sortWithinPartitions("ord", "line").select("line").write.mode("overwrite").text(path)
+    # A line is the only column of a CSV file whose separator and quote no text holds.
+    plain = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.mode("overwrite").options(header=True, **plain).csv(path)
     return path
 
 

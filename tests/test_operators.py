@@ -365,3 +365,16 @@ def test_shared_folder_off_local_mode():
     with pytest.raises(RuntimeError):
         scratch.shared_dir(session("local-cluster[2,1,1024]"))
     assert scratch.shared_dir(session("yarn", "hdfs://x/tmp/")) == "hdfs://x/tmp" and scratch.shared_dir(session("local[4]")).startswith("file://")
+
+
+def test_matrix_of_many_files_is_read_whole(spark, tmp_path):
+    data = [(i, c, None if (i, c) == (3, "b c") else i / 4) for i in range(200) for c in ("a", 'b "c"', "b c")]
+    df = spark.createDataFrame(data, "row_id long, context string, x double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = sinks.write_matrix(df, f"file://{tmp_path}/m", "x", "x")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "m.x").glob("part-*"))) > 1
+    assert spark.read.csv(path, sep="\t", header=True, quote="").count() == 200
+    assert rows(readers.read_matrix(spark, path, "x").filter("context = 'a'"), "row_id", "x") == sorted(((i, i / 4) for i in range(200)), key=repr)
