@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import bm25, bpe, language_id, mixing, ngram_join, pii, quality_pu, quality_rules, suffix_dedup, warc
+from . import bm25, bpe, collocations, fingerprint, language_id, merkle, mixing, ngram_join, pii, quality_pu, quality_rules, suffix_dedup, warc
 from .common import documents
 
 
@@ -69,6 +69,27 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, docs.filter("doc_id % 50 = 0"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    leaf = lambda n_chars: merkle.row_digest("doc_id", "source", "lang", n_chars, "text")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    rows = docs.select("doc_id", "lang", leaf("n_chars").alias("leaf"), F.when(changed, leaf(F.col("n_chars") + 1)).alias("tampered"))
+    found = merkle.manifest(rows, "lang", "doc_id")
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.as_hex(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_edits(documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found | {"pipeline": corpus_pipeline.run}
@@ -148,5 +169,62 @@ SELECT query_id, rank, doc_id, round(scaled / 1099511627776, 6) AS score FROM k
 """
 
 
+_ENCODED = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+_LEAF = lambda n: "sha256(" + " || ".join(map(_ENCODED, ("doc_id", "source", "lang", n, "text"))) + ")"
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+OP11_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_LEAF("n_chars + 1")} END AS tampered FROM documents),
+v AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM l),
+n1 AS (SELECT lang, 0 AS lev, idx, n AS cnt, leaf AS digest FROM v
+  UNION ALL SELECT lang, lev + 1, idx // 2, (cnt + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM n1 WHERE cnt > 1 GROUP BY lang, lev, idx // 2, cnt),
+sub AS MATERIALIZED (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM n1 WHERE cnt = 1),
+n2 AS (SELECT 0 AS lev, idx, n AS cnt, subroot AS digest FROM sub
+  UNION ALL SELECT lev + 1, idx // 2, (cnt + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM n2 WHERE cnt > 1 GROUP BY lev, idx // 2, cnt),
+f1 AS (SELECT rid, lang, 0 AS lev, idx, n AS cnt, coalesce(tampered, leaf) AS cur, '' AS proof FROM v
+  UNION ALL SELECT f.rid, f.lang, f.lev + 1, f.idx // 2, (f.cnt + 1) // 2, sha256(CASE WHEN f.idx % 2 = 1 THEN s.digest || f.cur ELSE f.cur || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
+  FROM f1 f LEFT JOIN n1 s ON s.lang IS NOT DISTINCT FROM f.lang AND s.lev = f.lev AND s.idx = f.idx + 1 - 2 * (f.idx % 2) WHERE f.cnt > 1),
+f2 AS (SELECT rid, 0 AS lev, sub.idx, sub.n AS cnt, cur, proof FROM f1 JOIN sub ON sub.lang IS NOT DISTINCT FROM f1.lang WHERE f1.cnt = 1
+  UNION ALL SELECT f.rid, f.lev + 1, f.idx // 2, (f.cnt + 1) // 2, sha256(CASE WHEN f.idx % 2 = 1 THEN s.digest || f.cur ELSE f.cur || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
+  FROM f2 f LEFT JOIN n2 s ON s.lev = f.lev AND s.idx = f.idx + 1 - 2 * (f.idx % 2) WHERE f.cnt > 1),
+top AS (SELECT digest AS root FROM n2 WHERE cnt = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM v JOIN f2 USING (rid) JOIN sub ON sub.lang IS NOT DISTINCT FROM v.lang, top WHERE f2.cnt = 1
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text) - 1 AS p, count(*) OVER () AS c FROM documents),
+e AS (SELECT a.doc_id, a.text, b.text AS next_text, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited FROM d a JOIN d b ON b.p = (a.p + 1) % a.c),
+w AS (SELECT text, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT text FROM d UNION SELECT edited FROM e)),
+h AS (SELECT text, CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: left(md5(array_to_string(ws[i : i + 4], ' ')), 16)) WHEN len(ws) > 0 THEN [left(md5(array_to_string(ws, ' ')), 16)] ELSE [] END AS hs FROM w),
+s AS (SELECT text, CASE WHEN len(hs) = 0 OR len(list_filter(hs, lambda x: x < '4000000000000000')) > 0 THEN list_sort(list_distinct(list_filter(hs, lambda x: x < '4000000000000000'))) ELSE [list_min(hs)] END AS sk FROM h)
+SELECT doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, coalesce(array_to_string(a.sk, ''), '') AS fingerprint, coalesce(array_to_string(b.sk, ''), '') AS edited_fingerprint,
+  CASE WHEN len(a.sk) + len(b.sk) = 0 THEN 1e0 ELSE len(list_intersect(a.sk, b.sk)) / CAST(len(a.sk) + len(b.sk) - len(list_intersect(a.sk, b.sk)) AS DOUBLE) END AS near_edited,
+  CASE WHEN len(a.sk) + len(c.sk) = 0 THEN 1e0 ELSE len(list_intersect(a.sk, c.sk)) / CAST(len(a.sk) + len(c.sk) - len(list_intersect(a.sk, c.sk)) AS DOUBLE) END AS near_next
+FROM e JOIN s a ON a.text = e.text JOIN s b ON b.text = e.edited JOIN s c ON c.text = e.next_text
+"""
+
+OP13_SQL = rf"""
+WITH p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, ws[i : i + k - 1] AS g FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p) q, range(1, 5) r(k) WHERE i + k - 1 <= len(ws)),
+f AS MATERIALIZED (SELECT lang, g, count(*) AS n FROM g GROUP BY lang, g HAVING count(*) >= 30),
+c AS (SELECT * FROM f WHERE len(g) > 1),
+x AS (SELECT c.lang, c.g, c.n AS a, k, l.n AS l, r.n AS r, CAST(2000000 AS HUGEINT) * c.n // (CAST(l.n AS HUGEINT) + r.n) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1 :]),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, g[i : i + k - 1] AS g, max(n) AS m FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM c) q, range(2, 4) r(k) WHERE i + k - 1 <= len(g) AND k < len(g) GROUP BY ALL),
+z AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, g) WHERE m IS NULL OR CAST(100 AS HUGEINT) * m < CAST(80 AS HUGEINT) * a),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM z JOIN t USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk_search": OP10_SQL, "op1_warc": OP1_SQL, "op8_mixing": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {
+        "op1_warc": OP1_SQL, "op8_mixing": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_topk_search": OP10_SQL,
+        "op11_merkle": OP11_SQL, "op12_fingerprint": OP12_SQL, "op13_collocations": OP13_SQL,
+    }
