@@ -8,7 +8,7 @@ Only DataFrame functions. Defined cases: a text of fewer than five words is one
 whose hashes lies below the threshold the least hash is retained, so only texts without a word
 (null, empty, blank) have an empty sketch; two empty sketches are alike (1), an empty one and another are
 not (0); very long texts are sketched whole, in time linear in their words; repeated rows are
-separate documents, ordered by id, then text; null ids come last; a lone document is its own next one; an
+separate documents; of equal ids the order is by a 64-bit hash of the text, then text; null ids come last; a lone document is its own next one; an
 empty table gives an empty table; columns other than id and text play no part.
 """
 
@@ -16,9 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .ranks import numbered
+from .common import stored
 
 SIZE, SCALE, DIGITS = 5, 4, 16
 BLANKS = " \t\n\x0b\f\r"
@@ -92,30 +92,55 @@ def unpacked(text: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0))
 
 
-def against_edits(docs: DataFrame, scale: float = SCALE) -> DataFrame:
+def _block(key: Column, firsts: list[tuple]) -> Column:
+    """The last of the ascending keys ``firsts`` that is at most ``key``, by number, found by halving."""
+    held = F.array(*(F.struct(*map(F.lit, f)) for f in firsts)).cast("array<struct<last:boolean,turned:bigint,hash:bigint>>")
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when((at + step < len(firsts)) & (F.get(held, F.least(at + step, F.lit(len(firsts) - 1))) <= key), at + step).otherwise(at)
+
+    steps = [1 << j for j in reversed(range(len(firsts).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+
+def against_edits(docs: DataFrame, scale: float = SCALE, block_bytes: int = 16 << 20) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document.
 
     Documents follow one another by descending id, the first after the last. The edited text is the
     first half of a document and as many code points, or all, of the next one as the second half has.
-    The order comes from ranges of ids; each row then meets the next by its position, so every
-    key has one row on either side.
+
+    Keys alone are sorted by ranges first; the first key of each range is a bound of a block of about
+    ``block_bytes`` of text, so there are as many bounds as tasks. Texts then travel once, to their
+    block, and each block also gets the first row of the next one.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("whole"))
-    base = numbered(base, ["whole"], [F.desc_nulls_last("doc_id")], [F.asc("text")], {"sketch": sketch("text", scale)})
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("turned"), F.xxhash64(text).alias("hash"))
+    rows = docs.select("doc_id", text.alias("text"), key.alias("key"))
+    keys = stored(rows.select("key.*", F.octet_length("text").alias("bytes")), "fingerprint-keys")
+    size = keys.agg(F.sum("bytes")).first()[0] or 0
+    blocks = max(-(-size // block_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["last", "turned", "hash"]
+    ranges = keys.repartitionByRange(blocks, *order).groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct(*order)).alias("first"))
+    firsts = sorted({tuple(r["first"]) for r in ranges.collect()}) or [(False, 0, 0)]
+    number = _block(F.col("key"), firsts)
+    rows = rows.withColumn("block", number)
+    # A block ends with a copy of the row that follows it; rows of equal keys follow by text.
+    heads = docs.sparkSession.createDataFrame([(*f, (i or len(firsts)) - 1) for i, f in enumerate(firsts)], "last boolean, turned long, hash long, before int")
+    heads = rows.join(F.broadcast(heads.select(F.struct(*order).alias("key"), "before")), "key").groupBy("before").agg(F.min("text").alias("text"))
+    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), F.col("before").alias("block"))
+    dealt = rows.withColumn("own", F.lit(True)).unionByName(heads.withColumn("own", F.lit(False))).repartition("block")
+    dealt = dealt.withColumn("sketch", sketch("text", scale))
+    follow = W.partitionBy("block").orderBy(F.desc("own"), "key", "text")
+    met = dealt.withColumn("next_text", F.lead("text").over(follow)).withColumn("next_sketch", F.lead("sketch").over(follow)).filter("own")
     half = F.floor(F.length("text") / 2).cast("int")
-    own = base.select(
-        "doc_id", "position", "sketch", F.length("text").alias("n_chars"), half.alias("half"), F.substring("text", F.lit(1), F.length("text") - half).alias("head")
-    )
-    before = F.when(F.col("position") == 0, F.col("rows") - 1).otherwise(F.col("position") - 1)
-    after = base.select(before.alias("position"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    met = own.join(after, "position").withColumn("edited", F.concat("head", F.substring("next_text", F.lit(1), F.col("half"))))
+    met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
 
     def compare(s: Column) -> Column:
         return F.struct(packed(s).alias("fingerprint"), likeness(F.col("sketch"), s).alias("near"))
 
     met = met.withColumn("of_edited", _let(sketch("edited", scale), compare))
     return met.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         packed("sketch").alias("fingerprint"), F.col("of_edited.fingerprint").alias("edited_fingerprint"),
         F.col("of_edited.near").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
     )
