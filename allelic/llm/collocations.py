@@ -20,20 +20,25 @@ batches of bounded size; an empty table gives an empty table; columns other than
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import removed, sliced, stored
+from .common import sliced, stored
 
 LONGEST = 4
-#: Windows counted in a task before it sends them on; bounds its memory.
-HELD = 1 << 18
+#: Bytes of text whose windows a task counts at once, and windows whose phrases it adds up at once; bounds its memory.
+HELD_BYTES, HELD_ROWS = 1 << 20, 1 << 16
+BATCH = 4096  # rows of an Arrow batch, of texts as of windows
 SPLIT = 64  # parts of a language that are ranked before the language as a whole
 #: A-Z to lower case, tab to space, and what ends a piece to a newline.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
+SPACE, END = 32, 10
 WINDOWS = "lang string, window string, n long"
 COUNTS = "lang string, phrase string, size int, n long, partial boolean"
 PARTS = "lang string, phrase string, n long, parts array<long>, longer long"
@@ -46,36 +51,72 @@ class Settings:
     first: int = 2000  # rows returned for each language
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """The words of each piece that has any, as UTF-8."""
-    split = (p.split() for p in (text or "").encode().translate(FOLD).split(b"\n"))
-    return [p for p in split if p]
+def windows_of(text: bytes, own: int | None = None) -> pa.Array:
+    """The window of every word that starts in the first ``own`` bytes: the word and up to three after it
+    in its piece, each followed by a space, so that all windows that begin with a phrase sort side by side."""
+    data = np.frombuffer(text.translate(FOLD) + b"\n", np.uint8)
+    blank = (data == SPACE) | (data == END)
+    kept = ~blank
+    kept[1:] |= ~blank[:-1]  # a word with the blank after it
+    piece = np.cumsum(data == END, dtype=np.int32)
+    starts = (~blank & np.concatenate([[True], blank[:-1]])).nonzero()[0]
+    piece = piece[starts]
+    packed = data[kept]
+    packed[packed == END] = SPACE
+    # Starts of words among the bytes kept, and the end of the last.
+    at = np.append((np.cumsum(kept) - 1)[starts], len(packed))
+    size = np.ones(len(starts), np.int64)
+    for d in range(1, LONGEST):
+        size[:-d] += piece[d:] == piece[:-d]
+    n = len(starts) if own is None else np.searchsorted(starts, own)
+    lengths = at[np.arange(n) + size[:n]] - at[:n]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    places = np.repeat((at[:n] - offsets[:-1]).astype(np.int32), lengths)
+    places += np.arange(offsets[-1], dtype=np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed[places]))
 
 
 def count_windows(batches):
-    """Windows of (text, lang) rows with their counts, each flush sorted by itself."""
-    counts: Counter = Counter()
-
-    def flush():
-        rows = sorted(counts.items())
-        counts.clear()
-        for at in range(0, len(rows), 1 << 14):
-            part = rows[at : at + (1 << 14)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())],
-                names=["lang", "window", "n"],
-            )
-
-    for batch in sliced(batches, 16):
+    """Windows of (text, lang) rows with their counts within about a megabyte of a language's text;
+    a longer text is cut."""
+    held, sizes = defaultdict(list), Counter()
+
+    def flush(lang):
+        for part in cut(b"\n".join(held.pop(lang))):
+            found = windows_of(*part).value_counts()
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(found)), found.field(0), found.field(1)], names=["lang", "window", "n"])
+        sizes.pop(lang)
+
+    for batch in sliced(batches, 64):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for words in pieces(text):
-                # The space at the end keeps all windows that begin with a phrase side by side.
-                for at in range(0, len(words), HELD):
-                    end = min(at + HELD, len(words))
-                    counts.update((lang, b" ".join(words[i : i + LONGEST]) + b" ") for i in range(at, end))
-                    if len(counts) >= HELD:
-                        yield from flush()
-    yield from flush()
+            if text:
+                held[lang].append(text.encode())
+                sizes[lang] += len(held[lang][-1])
+                if sizes[lang] >= HELD_BYTES:
+                    yield from flush(lang)
+        if len(held) > 64 or sum(sizes.values()) > 4 * HELD_BYTES:  # many languages
+            for lang in list(held):
+                yield from flush(lang)
+    for lang in list(held):
+        yield from flush(lang)
+
+
+def cut(data: bytes, held: int = HELD_BYTES):
+    """``data`` in parts of bounded size, each with the number of bytes of its own: after them come, of
+    the same piece, up to three words of the next part, which complete its last windows."""
+    at = 0
+    while len(data) - at > 2 * held:
+        found = _WORD_END.search(data, at + held)
+        if not found:
+            break
+        end = found.start()
+        yield data[at : _NEXT_WORDS.match(data, end).end()], end - at
+        at = end
+    yield data[at:], None
+
+
+_WORD_END = re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
+_NEXT_WORDS = re.compile(rb"(?:[\x20\x09]+[^\x20\x09.,;:!?\x0a-\x0d]+){0,3}")
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -86,51 +127,70 @@ _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa
 _PARTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("parts", pa.list_(pa.int64())), ("longer", pa.int64())])
 
 
+def _in_groups(batches, least: int):
+    """Batches put together to at least ``least`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def phrase_counts(least: int):
     """A pass over sorted windows: every phrase of at least ``least`` occurrences, those that touch
-    the border of a part whatever their count (``partial``), and under size 0 the words of each language."""
+    the border of a part whatever their count (``partial``), and under size 0 the words of each language.
 
-    def run(batches):
-        held, words, counts, fresh, lang, total = [], [], [], [], None, 0
-        touched = True  # phrases opened by the part's first row may have begun in an earlier part
-
-        def close(depth, partial):
-            while len(words) > depth:
-                n, first = counts.pop(), fresh.pop()
-                if partial or first or n >= least:
-                    held.append((lang, " ".join(words), len(words), n, partial or first))
-                words.pop()
+    A phrase of k words is a run of windows with equal first k words; the run open at the end of a
+    group of rows is carried into the next, one for each k.
+    """
 
-        for batch in batches:
-            for name, window, n in zip(*(c.to_pylist() for c in batch.columns)):
-                new = window.split(" ")[:-1]
-                if name != lang:
-                    if lang is not None:
-                        close(0, False)
-                        held.append((lang, "", 0, total, True))
-                    lang, total, same = name, 0, 0
-                else:
-                    same = 0
-                    for a, b in zip(words, new):
-                        if a != b:
-                            break
-                        same += 1
-                    close(same, False)
-                total += n
-                for i in range(same):
-                    counts[i] += n
-                for word in new[same:]:
-                    words.append(word)
-                    counts.append(n)
-                    fresh.append(touched)
-                touched = False
-            if len(held) >= 1 << 14:
-                yield _batch(held, _COUNTS)
-                held.clear()
-        if lang is not None:
-            close(0, True)
-            held.append((lang, "", 0, total, True))
-        yield _batch(held, _COUNTS)
+    def run(batches):
+        open_: list = [None] * (LONGEST + 1)  # for each k: lang, phrase, count, whether it is the part's first
+        for table in _in_groups(batches, HELD_ROWS):
+            rows = table.num_rows
+            langs, windows = (table.column(i).chunk(0) for i in range(2))
+            n = table.column(2).to_numpy()
+            # Words as numbers that are equal within these rows exactly if the words are.
+            split = pc.split_pattern(windows, " ")
+            numbers = split.flatten().dictionary_encode().indices.to_numpy()
+            first = split.offsets.to_numpy()[:-1] - split.offsets.to_numpy()[0]
+            size = np.diff(split.offsets.to_numpy()) - 1
+            same = np.zeros(rows, bool)
+            codes = langs.dictionary_encode().indices.to_numpy()
+            same[1:] = codes[1:] == codes[:-1]
+            found = []
+            for k in range(LONGEST + 1):
+                has = size >= k
+                if k:
+                    word = np.where(has, numbers[np.minimum(first + k - 1, len(numbers) - 1)], -1)
+                    same[1:] &= word[1:] == word[:-1]
+                    same[1:] &= has[1:] & has[:-1]
+                starts = (has & ~same).nonzero()[0]
+                if not len(starts):
+                    continue
+                sums = np.add.reduceat(np.where(has, n, 0), starts)
+                phrase = lambda i: " ".join(windows[int(i)].as_py().split(" ")[:k])  # noqa: B023, E731
+                name = lambda i: langs[int(i)].as_py()  # noqa: B023, E731
+                before, last = open_[k], len(starts) - 1
+                partial = before is None
+                if before:
+                    if before[:2] == (name(starts[0]), phrase(starts[0])):
+                        sums[0] += before[2]
+                        partial = before[3]
+                    elif before[2] >= least or before[3]:
+                        found.append((*before[:2], k, *before[2:]))
+                # Languages (k = 0) are few, and summed over all parts in any case.
+                take = sums[:last] >= (least if k else 0)
+                take[:1] |= partial
+                for i in take.nonzero()[0]:
+                    found.append((name(starts[i]), phrase(starts[i]), k, int(sums[i]), not k or (partial and i == 0)))
+                open_[k] = (name(starts[last]), phrase(starts[last]), int(sums[last]), not k or (partial and not last))
+            yield _batch(found, _COUNTS)
+        yield _batch([(*o[:2], k, o[2], True) for k, o in enumerate(open_) if o], _COUNTS)
 
     return run
 
@@ -138,10 +198,9 @@ def phrase_counts(least: int):
 def count_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """lang, phrase, size and n of all phrases of up to four words that are frequent; size 0 counts a language's words."""
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    windows = stored(texts.mapInArrow(count_windows, WINDOWS), "windows")
-    sorted_ = windows.repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
-    found = stored(sorted_.mapInArrow(phrase_counts(settings.least), COUNTS), "phrases")
-    removed(windows)
+    # Windows are made twice, for the bounds of ranges and to be dealt: less work than to write and read them.
+    dealt = texts.mapInArrow(count_windows, WINDOWS).repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
+    found = stored(dealt.mapInArrow(phrase_counts(settings.least), COUNTS), "phrases", BATCH)
     # At most four phrases at either border of a part, and one row a language.
     split = found.filter("partial").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     return found.filter("NOT partial").drop("partial").unionByName(split.filter((F.col("n") >= settings.least) | (F.col("size") == 0)))

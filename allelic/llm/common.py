@@ -21,15 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Meanwhile Arrow batches hold few rows, as texts may be long.
+    Meanwhile Arrow batches hold few rows, ``batch_rows``, as texts may be long.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     before = spark.conf.get(BATCH_KEY)
-    spark.conf.set(BATCH_KEY, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    spark.conf.set(BATCH_KEY, min(int(before), batch_rows) if int(before) > 0 else batch_rows)
     try:
         df.write.parquet(path)
     finally:
