@@ -15,7 +15,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = warc.write_archives(warc.mark_revisits(pages))
     back = warc.reassemble(warc.read_records(manifest, with_payload=False), with_payload=False)
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return back.select(
         page("uri").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page("refers").alias("refers_to"), "segments", "complete",

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from allelic.llm import collocations, fingerprint, merkle, queries, ranks
@@ -128,7 +129,7 @@ def like(a, b):
 def test_fingerprints_of_odd_rows(spark, odd, monkeypatch):
     given(monkeypatch, odd)
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
-    rows.sort(key=lambda r: r[1])
+    rows.sort(key=lambda r: (int.from_bytes(xxhash.xxh64_digest(r[1].encode(), 42), "big", signed=True), r[1]))
     rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
     want = []
     for (doc, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
@@ -159,6 +160,13 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert 0.006 < got.over < 0.014 and 0.47 < got.like < 0.53
 
 
+def test_blocks_of_few_rows(spark):
+    """Any number of blocks gives the same rows."""
+    docs = spark.createDataFrame([(i // 3 if i % 7 else None, f"text {i % 11} of {i} and more words {i * i}") for i in range(200)], "doc_id long, text string")
+    got = [sorted(map(tuple, fingerprint.against_edits(docs.repartition(3), block_bytes=b).collect()), key=repr) for b in (1 << 30, 64, 500)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 200
+
+
 def test_fingerprints_are_native(spark, odd):
     plan = fingerprint.against_edits(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Python|ArrowEval|MapInArrow|MapInPandas", plan)
@@ -187,12 +195,25 @@ def mined(docs, least, inside=80, first=2000):
     return [(lang, i, p.decode(), -a, left, right, total[lang], -s) for lang, all_ in rows.items() for i, (s, a, p, left, right) in enumerate(sorted(all_)[:first], 1)]
 
 
+@pytest.mark.parametrize("held", [1, 3, 7, 50])
+def test_windows_of_cut_texts(held):
+    """Texts cut anywhere have the windows of the whole text."""
+    data = "  One two\tTHREE  four,five. six\x0bseven eight nine ten eleven twelve;; a ! é ß\n\n b c".encode() * 3
+    want = Counter()
+    for piece in re.split(r"[.,;:!?\x0A-\x0D]", data.decode().translate({c: c + 32 for c in range(65, 91)})):
+        words = re.findall(r"[^\x20\x09]+", piece)
+        want.update(" ".join(words[i : i + 4]) + " " for i in range(len(words)))
+    got = Counter()
+    for part in collocations.cut(data, held):
+        got.update(collocations.windows_of(*part).to_pylist())
+    assert got == want
+
+
 @pytest.mark.parametrize("parts", [1, 23])
-def test_collocations_of_odd_rows(spark, odd, parts, monkeypatch):
+def test_collocations_of_odd_rows(spark, odd, parts):
     """Few rows over many parts put most phrases across a border."""
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    monkeypatch.setattr(collocations, "HELD", 1000)
     try:
         settings = collocations.Settings(least=2, first=100)
         got = [tuple(r) for r in collocations.mine(odd.repartition(5), settings).collect()]
@@ -216,3 +237,15 @@ def test_scores_beyond_64_bits(spark):
     frame = spark.createDataFrame([(n, n + 1, n - 1)], "a long, l long, r long")
     got = frame.select(F.expr("(CAST(2000000 AS DECIMAL(7, 0)) * CAST(a AS DECIMAL(20, 0))) div (CAST(l AS DECIMAL(20, 0)) + CAST(r AS DECIMAL(20, 0)))")).first()[0]
     assert got == 2_000_000 * n // (2 * n)
+
+
+# --- WARC query -------------------------------------------------------------------------------------
+
+
+def test_warc_query_of_odd_pages(spark, tmp_path):
+    """Null ids and payloads through the query itself: a null id revisits the largest id of its payload."""
+    same = "x" * 1200
+    data = [(None, "u", same), (3, None, same), (5, "u", same), (None, "u", None), (8, "u", "")]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in queries.op1_warc(spark, str(tmp_path)).collect()}
+    assert got == {(None, 1200, "revisit", 5), (3, 1200, "revisit", 5), (5, 1200, "response", None), (None, 0, "response", None), (8, 0, "response", None)}
