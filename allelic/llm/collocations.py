@@ -27,19 +27,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import sliced, stored
+from .ranks import numbered
 
 LONGEST = 4
 #: Bytes of text whose windows a task counts at once, and windows whose phrases it adds up at once; bounds its memory.
 HELD_BYTES, HELD_ROWS = 1 << 20, 1 << 16
 BATCH = 4096  # rows of an Arrow batch, of texts as of windows
-SPLIT = 64  # parts of a language that are ranked before the language as a whole
 #: A-Z to lower case, tab to space, and what ends a piece to a newline.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 SPACE, END = 32, 10
-WINDOWS = "lang string, window string, n long"
+WINDOWS = "key string, n long"  # language, newline, window: one column, so that the sort's prefix reaches the words
 COUNTS = "lang string, phrase string, size int, n long, partial boolean"
 PARTS = "lang string, phrase string, n long, parts array<long>, longer long"
 
@@ -84,7 +84,7 @@ def count_windows(batches):
     def flush(lang):
         for part in cut(b"\n".join(held.pop(lang))):
             found = windows_of(*part).value_counts()
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(found)), found.field(0), found.field(1)], names=["lang", "window", "n"])
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, found.field(0), "\n"), found.field(1)], names=["key", "n"])
         sizes.pop(lang)
 
     for batch in sliced(batches, 64):
@@ -152,8 +152,10 @@ def phrase_counts(least: int):
         open_: list = [None] * (LONGEST + 1)  # for each k: lang, phrase, count, whether it is the part's first
         for table in _in_groups(batches, HELD_ROWS):
             rows = table.num_rows
-            langs, windows = (table.column(i).chunk(0) for i in range(2))
-            n = table.column(2).to_numpy()
+            # A window has no newline, a language may.
+            keys = pc.split_pattern(table.column(0).chunk(0), "\n", max_splits=1, reverse=True).flatten()
+            langs, windows = keys[::2], keys[1::2]
+            n = table.column(1).to_numpy()
             # Words as numbers that are equal within these rows exactly if the words are.
             split = pc.split_pattern(windows, " ")
             numbers = split.flatten().dictionary_encode().indices.to_numpy()
@@ -199,7 +201,7 @@ def count_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     """lang, phrase, size and n of all phrases of up to four words that are frequent; size 0 counts a language's words."""
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     # Windows are made twice, for the bounds of ranges and to be dealt: less work than to write and read them.
-    dealt = texts.mapInArrow(count_windows, WINDOWS).repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
+    dealt = texts.mapInArrow(count_windows, WINDOWS).repartitionByRange("key").sortWithinPartitions("key")
     found = stored(dealt.mapInArrow(phrase_counts(settings.least), COUNTS), "phrases", BATCH)
     # At most four phrases at either border of a part, and one row a language.
     split = found.filter("partial").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
@@ -287,10 +289,7 @@ def mine(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     scored = met.withColumn("cut", F.array_min("cuts")).select(
         "lang", "phrase", "a", "cut.l", "cut.r", F.col("cut.score").cast("long").alias("score")
     )
-    # A language may hold most phrases: its parts are ranked first and only their best go on.
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.hash("phrase"), F.lit(SPLIT))
-    best = scored.withColumn("__part", part).withColumn("rank", F.row_number().over(W.partitionBy("lang", "__part").orderBy(*order)))
-    best = stored(best.filter(F.col("rank") <= settings.first).drop("__part", "rank"), "best")
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= settings.first)
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    # Numbered by ranges: a language may hold most phrases.
+    scored = stored(scored, "scored")
+    ranked = numbered(scored, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")]).filter(F.col("position") < settings.first)
+    return ranked.join(totals, "lang").select("lang", (F.col("position") + 1).alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
