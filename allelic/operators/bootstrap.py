@@ -1,71 +1,100 @@
 """Bootstrap p-values of variant effects against the background of their locus.
 
-Draws are a pure function of (locus, context, boot, i, seed) in 64-bit integers, so results do
-not depend on partitions, order or retries.
+Draws are a pure function of (locus, context, boot, i, seed), so results do not depend on
+partitions, order or retries: a counter is mixed by multiplying, shifting and exclusive or in 32
+bits, and the high half of the product with n is the index. Boots never become rows on the way
+to p-values: a task draws the thresholds of a locus and context once, keeps them as a sorted array, and
+counts those below each effect by binary search.
+
+Defined cases: a null effect has a null count; background rows count every boot, and so does a
+group without any background; rows whose locus or context is null form groups without background.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.scalars import critical_value_sql
+from ..sources.scratch import stored
 
-M = 2147483647  # modulus of the mixer
 KEYS = ("locus_id", "context_id")
+DRAWN = 1 << 20  # draws made at once in a task; bounds its arrays
+GROUP_ROWS = 1 << 18  # effects of one locus and context that a task takes; more are dealt to several
 
+# Two odd multipliers of a 32-bit mixer, and an odd step between counters.
+MIX_1, MIX_2, STEP, MASK = 0x21F0AAAD, 0x735A2D97, 0x1E3779B1, 0xFFFFFFFF
 
-def draw(boot: Column, i: Column, context: Column, locus: Column, seed: int = 0) -> Column:
-    """An integer below M; no product exceeds 63 bits."""
-    h0 = (boot * 1000003 + i * 10007 + context * 101 + locus * 7 + 12345 + seed) % M
-    h1 = (h0 * 48271) % M
-    h2 = (h1 * h1 + h0) % M
-    h3 = (h2 * 16807) % M
-    return (((h3 * h3 + h1) % M) * 69621) % M
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers whose bits all depend on all of the input's."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX_1)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX_2)
+    return x ^ (x >> np.uint32(15))
 
-def draw_numpy(boot, i, context: int, locus: int, seed: int = 0) -> np.ndarray:
-    h0 = (boot * 1000003 + i * 10007 + context * 101 + locus * 7 + 12345 + seed) % M
-    h1 = (h0 * 48271) % M
-    h2 = (h1 * h1 + h0) % M
-    h3 = (h2 * 16807) % M
-    return (((h3 * h3 + h1) % M) * 69621) % M
+
+def mix_sql(x: str, out: str) -> str:
+    """The same as columns of a SELECT that may use columns to their left; the last is named ``out``."""
+    return (
+        f"xor({x}, ({x}) >> 16) AS {out}_1, ({out}_1 * {MIX_1}) & {MASK} AS {out}_2, xor({out}_2, {out}_2 >> 15) AS {out}_3, "
+        f"({out}_3 * {MIX_2}) & {MASK} AS {out}_4, xor({out}_4, {out}_4 >> 15) AS {out}"
+    )
+
+
+def group_key(context: int, locus: int, seed: int = 0) -> np.ndarray:
+    key = np.zeros(1, np.uint32)
+    for value in (seed, context, locus):
+        key = mix(key ^ np.uint32(value & MASK))
+        key = mix(key ^ np.uint32((value >> 32) & MASK))
+    return key
+
+
+def draws(boots: np.ndarray, n: int, context: int, locus: int, seed: int = 0) -> np.ndarray:
+    """Indices below ``n``: one row for each boot, ``n`` draws in it."""
+    keys = mix(group_key(context, locus, seed) ^ boots.astype(np.uint32))
+    x = mix(keys[:, None] + np.arange(n, dtype=np.uint32) * np.uint32(STEP))
+    return (x.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)
+
+
+def moments(xs: np.ndarray, n_boots: int, context: int, locus: int, seed: int = 0):
+    """First boot, means and population deviations, some boots at a time."""
+    some = max(1, DRAWN // len(xs))
+    for at in range(0, n_boots, some):
+        got = xs[draws(np.arange(at, min(at + some, n_boots)), len(xs), context, locus, seed)]
+        mean = got.mean(axis=1)
+        got -= mean[:, None]
+        yield at, mean, np.sqrt(np.einsum("ij,ij->i", got, got) / len(xs))
 
 
 def background_arrays(labelled: DataFrame) -> DataFrame:
-    """locus_id, context_id and the absolute background effects in the order of variant ids."""
-    bg = labelled.filter((F.col("var_label") == "background") & F.col("effect").isNotNull())
-    pairs = F.array_sort(F.collect_list(F.struct("variant_id", F.abs("effect").alias("x"))))
-    return bg.groupBy(*KEYS).agg(F.transform(pairs, lambda p: p["x"]).alias("xs"))
+    """locus_id, context_id, their number of rows (``n``) and the absolute background effects in the
+    order of variant ids (``xs``): as many as a locus has background variants."""
+    is_bg = (F.col("var_label") == "background") & F.col("effect").isNotNull()
+    pairs = F.array_sort(F.collect_list(F.when(is_bg, F.struct("variant_id", F.abs("effect").alias("x")))))
+    return labelled.groupBy(*KEYS).agg(F.count("*").alias("n"), F.transform(pairs, lambda p: p["x"]).alias("xs"))
 
 
-def bootstrap_null(labelled: DataFrame, n_boots: int = 10_000, min_std: float = 0.01, seed: int = 0, kernel: str = "columns") -> DataFrame:
-    """locus_id, context_id, boot, boot_mean and boot_std (population, at least ``min_std``).
+def _array(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.to_numpy(zero_copy_only=False) if column[row].is_valid else np.zeros(0)
 
-    ``kernel='columns'`` stays in the JVM; ``'numpy'`` draws in Arrow batches, for many boots.
-    """
-    arrays = background_arrays(labelled)
-    if kernel == "numpy":
-
-        def run(batches):
-            for pdf in batches:
-                for locus, context, xs in zip(pdf["locus_id"], pdf["context_id"], pdf["xs"]):
-                    x, i = np.asarray(xs), np.arange(len(xs), dtype=np.int64)
-                    for at in range(0, n_boots, 256):
-                        boots = np.arange(at, min(at + 256, n_boots), dtype=np.int64)
-                        got = x[draw_numpy(boots[:, None], i[None, :], context, locus, seed) % len(x)]
-                        yield pd.DataFrame({"locus_id": locus, "context_id": context, "boot": boots, "boot_mean": got.mean(axis=1), "boot_std": np.maximum(got.std(axis=1), min_std)})
-
-        return arrays.mapInPandas(run, "locus_id long, context_id long, boot long, boot_mean double, boot_std double")
-    boots = arrays.withColumn("boot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boots - 1).cast("long"))))
-    n = F.size("xs")
-    index = lambda i: (draw(F.col("boot"), i, F.col("context_id"), F.col("locus_id"), seed) % n).cast("int")
-    drawn = boots.withColumn("got", F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.get("xs", index(i))))
-    total = lambda f: F.aggregate("got", F.lit(0.0), lambda a, x: a + f(x))
-    drawn = drawn.withColumn("boot_mean", total(lambda x: x) / n)
-    spread = F.sqrt(total(lambda x: (x - F.col("boot_mean")) * (x - F.col("boot_mean"))) / n)
-    return drawn.select(*KEYS, "boot", "boot_mean", F.greatest(spread, F.lit(float(min_std))).alias("boot_std"))
+
+def bootstrap_null(labelled: DataFrame, n_boots: int = 10_000, min_std: float = 0.01, seed: int = 0) -> DataFrame:
+    """locus_id, context_id, boot, boot_mean and boot_std (population, at least ``min_std``), one row a boot."""
+    names = [*KEYS, "boot", "boot_mean", "boot_std"]
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                locus, context, xs = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), _array(batch.column(2), row)
+                for at, mean, std in moments(xs, n_boots, context, locus, seed):
+                    boots = pa.array(np.arange(at, at + len(mean)))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(locus, len(mean)), pa.repeat(context, len(mean)), boots, pa.array(mean), pa.array(np.maximum(std, min_std))], names=names)
+
+    groups = background_arrays(labelled).filter("size(xs) > 0 AND locus_id IS NOT NULL AND context_id IS NOT NULL").select(*KEYS, "xs")
+    tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(tasks, *KEYS).mapInArrow(run, "locus_id long, context_id long, boot long, boot_mean double, boot_std double")
 
 
 def critical_values(labelled: DataFrame, p_cut: float = 0.05) -> DataFrame:
@@ -75,23 +104,61 @@ def critical_values(labelled: DataFrame, p_cut: float = 0.05) -> DataFrame:
     return counts.withColumn("critical", F.expr(critical_value_sql(p_cut, "n_tests")))
 
 
-def count_nonsig(labelled: DataFrame, null: DataFrame, critical: DataFrame, n_boots: int) -> DataFrame:
+def count_nonsig(labelled: DataFrame, n_boots: int = 10_000, min_std: float = 0.01, p_cut: float = 0.05, seed: int = 0, group_rows: int = GROUP_ROWS, source: DataFrame | None = None) -> DataFrame:
     """``labelled`` with n_nonsig: the boots whose threshold the absolute effect does not exceed.
 
-    abs(effect) is not significant in a boot if it is at most mean + critical x std. Effects and
-    thresholds of a group are ranked together once; the thresholds below an effect are counted by
-    a running sum, so no effect meets every boot. Background rows count every boot.
+    abs(effect) is not significant in a boot if it is at most mean + critical x std. The rows of a
+    locus and context come to their task behind their background, and stream past its thresholds; a
+    group of more than ``group_rows`` rows is dealt to several tasks, which draw the same thresholds.
+    Backgrounds and numbers of tests come from ``source``, by default ``labelled`` itself: a stored table
+    of the same rows, as it is read twice.
     """
-    thresholds = null.join(critical.select("locus_id", "critical"), "locus_id").select(
-        *KEYS, (F.col("boot_mean") + F.col("critical") * F.col("boot_std")).alias("__value"), F.lit(1).alias("__is_threshold")
-    )
-    rows = labelled.withColumn("__value", F.abs("effect")).withColumn("__is_threshold", F.lit(0))
-    both = rows.unionByName(thresholds, allowMissingColumns=True)
-    # An effect equal to a threshold sorts before it: it does not exceed that boot.
-    below = F.sum("__is_threshold").over(W.partitionBy(*KEYS).orderBy("__value", "__is_threshold").rowsBetween(W.unboundedPreceding, 0))
-    counted = both.withColumn("__below", below).filter("__is_threshold = 0")
-    count = F.when(F.col("var_label") == "background", F.lit(n_boots)).when(F.col("effect").isNotNull(), n_boots - F.col("__below"))
-    return counted.withColumn("n_nonsig", count.cast("long")).drop("__below", "__value", "__is_threshold")
+    source = labelled if source is None else source
+    groups = background_arrays(source).join(critical_values(source, p_cut).select("locus_id", "critical"), "locus_id", "left")
+    groups = stored(groups.withColumn("parts", F.ceil(F.col("n") / group_rows).cast("int")), "background")
+    # Only hot groups: at most one for each group_rows rows.
+    hot = groups.filter("parts > 1").select(*(F.col(k).alias(f"__{k}") for k in KEYS), "parts")
+    of = (F.col("locus_id") == F.col("__locus_id")) & (F.col("context_id") == F.col("__context_id"))
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("variant_id"), F.col("parts"))).otherwise(0).cast("int")
+    rows = labelled.join(hot, of, "left").select(*labelled.columns, part.alias("__part"), F.lit(1).alias("__kind"))
+    rows = rows.withColumn("__xs", F.lit(None).cast("array<double>")).withColumn("__critical", F.lit(None).cast("double"))
+    heads = groups.select(
+        *(F.col(c) if c in KEYS else F.lit(None).cast(labelled.schema[c].dataType).alias(c) for c in labelled.columns),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"), F.lit(0).alias("__kind"), F.col("xs").alias("__xs"), F.col("critical").alias("__critical"),
+    )
+    order = [*KEYS, "__part"]
+    # A number of tasks: few bytes may stand for many draws.
+    tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.unionByName(heads).repartition(tasks, *order).sortWithinPartitions(*order, "__kind")
+    names = labelled.columns
+    at = {c: i for i, c in enumerate(dealt.columns)}
+
+    def thresholds(batch, row):
+        locus, context, critical = (batch.column(at[c])[row].as_py() for c in (*KEYS, "__critical"))
+        xs = _array(batch.column(at["__xs"]), row)
+        if not len(xs) or critical is None or locus is None or context is None:
+            return np.zeros(0)
+        return np.sort(np.concatenate([mean + critical * np.maximum(std, min_std) for _, mean, std in moments(xs, n_boots, context, locus, seed)]))
+
+    def run(batches):
+        limits = np.zeros(0)
+        for batch in batches:
+            heads = (batch.column(at["__kind"]).to_numpy() == 0).nonzero()[0]
+            size = np.abs(batch.column(at["effect"]).to_numpy(zero_copy_only=False).astype(float))
+            below = np.zeros(batch.num_rows, np.int64)
+            edges = [0, *heads, batch.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                if start in heads:
+                    limits = thresholds(batch, int(start))
+                # An effect equal to a threshold does not exceed that boot.
+                below[start:end] = np.searchsorted(limits, size[start:end], "left")
+            is_bg = pc.fill_null(pc.equal(batch.column(at["var_label"]), "background"), False)
+            count = pc.if_else(is_bg, pa.scalar(n_boots), pa.array(n_boots - below))
+            count = pc.if_else(pc.or_(is_bg, batch.column(at["effect"]).is_valid()), count, pa.scalar(None, pa.int64()))
+            made = pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in names), count], names=[*names, "n_nonsig"])
+            yield made.filter(pc.equal(batch.column(at["__kind"]), 1))
+
+    return dealt.mapInArrow(run, T.StructType([*labelled.schema.fields, T.StructField("n_nonsig", T.LongType())]))
 
 
 def boot_pvalues(counted: DataFrame, n_boots: int, pseudo: float = 1.0) -> DataFrame:

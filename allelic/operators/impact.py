@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import gtf_attribute, neg_log10, tss
+from ..sources.scratch import stored
 from . import bootstrap, intervals, scoring, stratify
 from .filters import selected
 
@@ -57,21 +58,29 @@ class Params:
     p_cut: float = 0.05
     fc_cut: float = 0.0
     absolute: bool = False
-    kernel: str = "numpy"
 
 
 def test_effects(labelled: DataFrame, params: Params = Params()) -> DataFrame:
     """``labelled`` with n_nonsig and p_value of every effect."""
-    null = bootstrap.bootstrap_null(labelled, params.n_boots, params.min_std, params.seed, params.kernel)
-    critical = bootstrap.critical_values(labelled, params.p_cut)
-    return bootstrap.boot_pvalues(bootstrap.count_nonsig(labelled, null, critical, params.n_boots), params.n_boots)
+    counted = bootstrap.count_nonsig(stored(labelled, "labelled"), params.n_boots, params.min_std, params.p_cut, params.seed)
+    return bootstrap.boot_pvalues(counted, params.n_boots)
+
+
+def test_calls(labelled: DataFrame, params: Params = Params()) -> DataFrame:
+    """Every effect with p_value, fold_change and is_sig, from one stored table of labelled effects.
+
+    Means of the background are one row for each locus and context, joined before the rows are dealt."""
+    labelled = stored(labelled, "labelled")
+    counted = bootstrap.count_nonsig(fold_change(labelled, params.absolute), params.n_boots, params.min_std, params.p_cut, params.seed, source=labelled)
+    return call_effects(bootstrap.boot_pvalues(counted, params.n_boots), params.p_cut, params.fc_cut)
 
 
 def impact_map(gwas: DataFrame, effects: DataFrame, params: Params = Params()) -> DataFrame:
-    """From summary statistics and effects of all loci to impact calls, in one job."""
+    """From summary statistics and effects of all loci to impact calls, in one job: labels and effects
+    are put together once, drawn and called in the same tasks, and added up with partial sums."""
     labels = selected(stratify.stratify(gwas, params.cuts))
-    calls = fold_change(test_effects(scoring.label_effects(labels, effects), params), params.absolute)
-    return impact_calls(call_effects(calls, params.p_cut, params.fc_cut))
+    labelled = scoring.label_effects(labels, effects).select("locus_id", "context_id", "variant_id", "var_label", "effect")
+    return impact_calls(test_calls(labelled, params))
 
 
 def volcano_table(calls: DataFrame, label: str, p_cut: float = 0.05, fc_cut: float = 0.0) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -477,13 +475,20 @@ def agg_ttest(gwas, effects):
     return t.select("locus_id", "variant_id", "context_id", "var_label", F.round("t", 5).alias("t"), "dof", F.round("ratio", 10).alias("ratio"))
 
 
-BOOTS = 20
-_M = bootstrap.M
+BOOTS = 120  # the least p-value is 1 / 121
+# The draws' key of a locus and context, for seed 0: both halves of three numbers are mixed in.
+_PARTS = ["0", "0", "context_id & 4294967295", "context_id >> 32", "locus_id & 4294967295", "locus_id >> 32"]
+# Each step is a CTE of its own, as DuckDB writes a column's expression out wherever it is used.
+_STEPS = ["arr", *(f"g{i}" for i in range(6))]
+_GROUP_KEY = ", ".join(
+    f"{_STEPS[i + 1]} AS (SELECT locus_id, context_id, xs, {bootstrap.mix_sql(f'xor(CAST({f'k{i - 1}' if i else 0} AS BIGINT), {p})', f'k{i}')} FROM {_STEPS[i]})" for i, p in enumerate(_PARTS)
+)
 BOOT = f"""{JOINED}, {CRITICAL}, arr AS (SELECT locus_id, context_id, list(abs(effect) ORDER BY variant_id, abs(effect)) AS xs FROM le WHERE var_label = 'background' AND effect IS NOT NULL GROUP BY locus_id, context_id),
-d0 AS (SELECT locus_id, context_id, boot, i, xs, (boot * 1000003 + i * 10007 + context_id * 101 + locus_id * 7 + 12345) % {_M} AS h0 FROM (SELECT *, unnest(range(len(xs))) AS i FROM arr CROSS JOIN range({BOOTS}) r(boot))),
-d1 AS (SELECT *, (h0 * 48271) % {_M} AS h1 FROM d0), d2 AS (SELECT *, (h1 * h1 + h0) % {_M} AS h2 FROM d1), d3 AS (SELECT *, (h2 * 16807) % {_M} AS h3 FROM d2),
-d4 AS (SELECT *, (((h3 * h3 + h1) % {_M}) * 69621) % {_M} AS h5 FROM d3),
-nul AS (SELECT locus_id, context_id, boot, avg(x) AS bm, greatest(stddev_pop(x), 0.01) AS bs FROM (SELECT locus_id, context_id, boot, xs[CAST(h5 % len(xs) AS BIGINT) + 1] AS x FROM d4) GROUP BY locus_id, context_id, boot),
+{_GROUP_KEY},
+bk AS (SELECT locus_id, context_id, boot, xs, {bootstrap.mix_sql("xor(k5, boot)", "bkey")} FROM g5 CROSS JOIN range({BOOTS}) r(boot)),
+d0 AS (SELECT locus_id, context_id, boot, xs, (bkey + (i * {bootstrap.STEP} & {bootstrap.MASK})) & {bootstrap.MASK} AS x FROM (SELECT locus_id, context_id, boot, xs, bkey, unnest(range(len(xs))) AS i FROM bk)),
+dr AS (SELECT locus_id, context_id, boot, xs, {bootstrap.mix_sql("x", "y")} FROM d0),
+nul AS (SELECT locus_id, context_id, boot, avg(x) AS bm, greatest(stddev_pop(x), 0.01) AS bs FROM (SELECT locus_id, context_id, boot, xs[(y * len(xs) >> 32) + 1] AS x FROM dr) GROUP BY locus_id, context_id, boot),
 cnt AS (SELECT le.variant_id, le.locus_id, le.context_id, le.context, le.effect, le.var_label, CASE WHEN var_label = 'background' THEN {BOOTS} ELSE (SELECT count(*) FROM nul n WHERE n.locus_id = le.locus_id AND n.context_id = le.context_id AND abs(le.effect) <= n.bm + cr.critical * n.bs) END AS n_nonsig FROM le LEFT JOIN cr USING (locus_id)),
 pv AS (SELECT *, (n_nonsig + 1e0) / ({BOOTS} + 1e0) AS p_value FROM cnt),
 fc AS (SELECT pv.*, effect - ms AS fold_change FROM pv LEFT JOIN (SELECT locus_id, context_id, avg(effect) AS ms FROM le WHERE var_label = 'background' GROUP BY locus_id, context_id) USING (locus_id, context_id)),
@@ -493,12 +498,12 @@ PARAMS = impact.Params(n_boots=BOOTS, fc_cut=2.0)
 
 
 def calls(gwas, effects, params=PARAMS):
-    return impact.call_effects(impact.fold_change(impact.test_effects(joined(gwas, effects), params)), params.p_cut, params.fc_cut)
+    return impact.test_calls(joined(gwas, effects), params)
 
 
 @query("fx_gwas", "fx_effects", more=BOOT, sql="SELECT locus_id, context_id, CAST(boot AS BIGINT) AS boot, round(bm, 6) AS boot_mean, round(bs, 6) AS boot_std FROM nul")
-def boot_null(gwas, effects, params=replace(PARAMS, kernel="columns")):
-    null = bootstrap.bootstrap_null(joined(gwas, effects), params.n_boots, kernel=params.kernel)
+def boot_null(gwas, effects, params=PARAMS):
+    null = bootstrap.bootstrap_null(joined(gwas, effects), params.n_boots)
     return null.select("locus_id", "context_id", "boot", F.round("boot_mean", 6).alias("boot_mean"), F.round("boot_std", 6).alias("boot_std"))
 
 

@@ -69,10 +69,27 @@ def test_normal_quantile(spark):
         assert abs(r.x - NormalDist().inv_cdf(p)) < 1e-6 * max(1, abs(r.x))
 
 
-def test_draws_agree(spark):
-    df = spark.range(500).select("id", bootstrap.draw(F.lit(7), F.col("id"), F.lit(3), F.lit(11)).alias("d"))
-    want = bootstrap.draw_numpy(np.int64(7), np.arange(500), 3, 11)
-    assert [r.d for r in df.orderBy("id").collect()] == list(want)
+def test_draws_agree_with_plain_integers():
+    def mix(x):
+        x = ((x ^ x >> 16) * bootstrap.MIX_1) & bootstrap.MASK
+        x = ((x ^ x >> 15) * bootstrap.MIX_2) & bootstrap.MASK
+        return x ^ x >> 15
+
+    def draw(boot, i, n, context, locus, seed):
+        key = 0
+        for v in (seed, context, locus):
+            key = mix(mix(key ^ v & bootstrap.MASK) ^ (v >> 32) & bootstrap.MASK)
+        return mix((mix(key ^ boot) + i * bootstrap.STEP) & bootstrap.MASK) * n >> 32
+
+    for n, context, locus, seed in ((1, 0, 0, 0), (100, 3, 11, 0), (777, 2**40 + 5, -9, 4)):
+        got = bootstrap.draws(np.arange(50), n, context, locus, seed)
+        assert got.tolist() == [[draw(b, i, n, context, locus, seed) for i in range(n)] for b in range(50)]
+
+
+def test_draws_are_even():
+    counts = np.bincount(np.concatenate([bootstrap.draws(np.arange(2000), 97, c, 5).ravel() for c in range(5)]).astype(int), minlength=97)
+    expected = counts.sum() / 97
+    assert ((counts - expected) ** 2 / expected).sum() < 150  # 96 degrees of freedom
 
 
 def labelled(spark, background, others):
@@ -80,12 +97,23 @@ def labelled(spark, background, others):
     return spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, context string, effect double")
 
 
-def test_kernels_and_partitions_agree(spark):
+def test_partitions_and_hot_groups_agree(spark):
+    """Results do not depend on partitions, and a group dealt to several tasks counts as a whole one."""
     rng = np.random.default_rng(0)
-    df = labelled(spark, rng.normal(0, 1, 60).tolist(), [0.0, 5.0])
-    want = {r.boot: (round(r.boot_mean, 9), round(r.boot_std, 9)) for r in bootstrap.bootstrap_null(df, 50).collect()}
-    for other in (bootstrap.bootstrap_null(df, 50, kernel="numpy"), bootstrap.bootstrap_null(df.repartition(8), 50)):
-        assert {r.boot: (round(r.boot_mean, 9), round(r.boot_std, 9)) for r in other.collect()} == want
+    df = labelled(spark, rng.normal(0, 1, 60).tolist(), [0.0, None, 5.0, 2.2, 1.9, *rng.normal(0, 2, 80).tolist()])
+    want = {r.boot: (r.boot_mean, r.boot_std) for r in bootstrap.bootstrap_null(df, 50).collect()}
+    assert {r.boot: (r.boot_mean, r.boot_std) for r in bootstrap.bootstrap_null(df.repartition(8), 50).collect()} == want
+    counts = [rows(bootstrap.count_nonsig(df.repartition(5), 50, group_rows=g), "variant_id", "n_nonsig") for g in (1 << 18, 20, 3)]
+    assert counts[0] == counts[1] == counts[2] and len(counts[0]) == 145
+    dealt = bootstrap.count_nonsig(df, 50, group_rows=20).withColumn("task", F.spark_partition_id())
+    assert dealt.select("task").distinct().count() > 1
+
+
+def test_groups_without_background_or_keys(spark):
+    data = [(1, 1, "candidate", 0, 5.0), (2, None, "candidate", 0, 1.0), (3, None, "background", 0, 1.0), (4, 1, "rare", None, None), (5, 1, None, 0, 1.0)]
+    df = spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, effect double").withColumn("n", F.lit("clash")).withColumn("xs", F.lit("clash"))
+    assert rows(bootstrap.count_nonsig(df, 10), "variant_id", "n_nonsig") == [(1, 10), (2, 10), (3, 10), (4, None), (5, 10)]
+    assert bootstrap.count_nonsig(df.limit(0), 10).count() == 0
 
 
 def test_bootstrap_pvalues(spark):
@@ -115,7 +143,7 @@ def test_full_bootstrap_queries(spark, sf_dir, monkeypatch):
     group = labelled.collect()
     assert len({r.var_label for r in group}) > 1
     x = np.array([v for _, v in sorted((r.variant_id, abs(r.effect)) for r in group if r.var_label == "background")])
-    got = x[bootstrap.draw_numpy(np.arange(10_000)[:, None], np.arange(len(x))[None, :], context, locus) % len(x)]
+    got = x[bootstrap.draws(np.arange(10_000), len(x), context, locus)]
     crit = bootstrap.critical_values(labelled).filter(F.col("locus_id") == locus).first().critical
     limit = got.mean(axis=1) + crit * np.maximum(got.std(axis=1), 0.01)
     want = sorted((r.variant_id, r.var_label, 1.0 if r.var_label == "background" else (int((abs(r.effect) <= limit).sum()) + 1) / 10_001) for r in group)
