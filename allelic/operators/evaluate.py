@@ -95,7 +95,9 @@ def background_ttest(labelled: DataFrame, n_tests: int | str | None = None) -> D
 
     df = background_t(labelled).withColumn("p", p_of("t", F.col("dof").cast("double")))
     if n_tests == "rows":
-        n_tests = max(labelled.filter(F.col("var_label") != "background").count(), 1)
+        # One row, so the join is a broadcast of a single number.
+        number = labelled.agg(F.greatest(F.count(F.when(F.col("var_label") != "background", 1)), F.lit(1)).alias("__tests"))
+        return df.crossJoin(number).withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * F.col("__tests"))).drop("__tests")
     return df.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * n_tests)) if n_tests else df
 
 

@@ -27,6 +27,19 @@ def score_effects(signals: DataFrame, mode: str = "signed_sum_abs", keys: tuple[
     return signals.groupBy(*keys).agg(effect.alias("effect"))
 
 
+def score_sums(sums: DataFrame, mode: str = "signed_sum_abs", keys: tuple[str, ...] = ("row_id", "context")) -> DataFrame:
+    """The same from sums over some of the bins: of the REF signals, the ALT signals, their differences and the sizes of these."""
+    if mode not in MODES:
+        raise ValueError(f"unknown scoring mode {mode!r}; one of {', '.join(MODES)}")
+    ref, alt = F.sum("ref"), F.sum("alt")
+    effect = {
+        "signed_sum_abs": F.sum("size") * F.signum(F.sum("diff")),
+        "sum_diff": alt - ref,
+        "log_ratio": F.log2(alt / F.nullif(ref, F.lit(0.0)) + 1),
+    }[MODES[mode]]
+    return sums.groupBy(*keys).agg(effect.alias("effect"))
+
+
 def to_matrix(effects: DataFrame, celltypes: list[str], assays: list[str]) -> DataFrame:
     """Rows are (row_id, celltype), columns the named assays; a missing pair is null."""
     return (

@@ -18,9 +18,9 @@ def align_tracks(ref: DataFrame, alt: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def restrict_to_region(signals: DataFrame, variants: DataFrame) -> DataFrame:
-    """Bins that overlap the row's effect region; without a region all bins stay."""
+    """Bins that overlap the row's effect region; without a region, or a line in ``variants``, all bins stay."""
     keep = F.col("effect_start").isNull() | ((F.col("bin_end") > F.col("effect_start")) & (F.col("bin_start") < F.col("effect_end")))
-    return signals.join(variants.select("row_id", "effect_start", "effect_end"), "row_id").filter(keep).drop("effect_start", "effect_end")
+    return signals.join(variants.select("row_id", "effect_start", "effect_end"), "row_id", "left").filter(keep).drop("effect_start", "effect_end")
 
 
 def empty_regions(restricted: DataFrame, variants: DataFrame) -> DataFrame:

@@ -406,3 +406,32 @@ def test_matrix_of_many_files_is_read_whole(spark, tmp_path):
     assert len(list((tmp_path / "m.x").glob("part-*"))) > 1
     assert spark.read.csv(path, sep="\t", header=True, quote="").count() == 200
     assert rows(readers.read_matrix(spark, path, "x").filter("context = 'a'"), "row_id", "x") == sorted(((i, i / 4) for i in range(200)), key=repr)
+
+
+def test_error_function():
+    import math
+
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [0.0, 0.46875, -0.46875, 4.0, np.inf, -np.inf, np.nan]])
+    want = np.array([math.erf(v) for v in x])
+    assert np.nanmax(np.abs(inference._erf(x) - want)) < 1e-14
+    assert np.isnan(inference._erf(x)[-1])
+
+
+def test_effects_summed_inside_the_task(spark):
+    """Sums over bins in the task equal scores of single signals, for any batches, blocks and parts of the catalogue."""
+    bins = [(r, "c", b, b * 10, b * 10 + 10, "ACGT" * (b % 3), "GGCC" * ((r + b) % 4)) for r in range(5) for b in range(7)]
+    df = spark.createDataFrame(bins, "row_id long, chrom string, bin_idx int, bin_start long, bin_end long, ref_bin string, alt_bin string").repartition(3)
+    ctx = spark.createDataFrame([(i, f"x{i}") for i in range(6)], "context_id long, context string")
+    keys = ("row_id", "context_id", "context")
+    for mode in ("signed_sum_abs", "sum_diff", "log_ratio"):
+        want = rows(scoring.score_effects(inference.predict(df, ctx, inference.gc_predictor), mode, keys).withColumn("effect", F.round("effect", 9)), *keys, "effect")
+        for block, held in ((1024, 65_536), (4, 65_536), (2, 4)):
+            got = inference.predict_effects(df, ctx, scoring_mode=mode, block=block, held=held).withColumn("effect", F.round("effect", 9))
+            assert rows(got, *keys, "effect") == want and len(want) == 30
+    assert inference.predict_effects(df, ctx.limit(0)).count() == 0 and inference.predict_effects(df.limit(0), ctx).count() == 0
+
+
+def test_rows_without_a_region_keep_their_bins(spark):
+    sig = spark.createDataFrame([(1, 0, 10), (1, 10, 20), (2, 0, 10), (3, 0, 10)], "row_id long, bin_start long, bin_end long")
+    regions = spark.createDataFrame([(1, 12, 15), (2, None, None)], "row_id long, effect_start long, effect_end long")
+    assert rows(tracks.restrict_to_region(sig, regions), "row_id", "bin_start") == [(1, 10), (2, 0), (3, 0)]
