@@ -303,14 +303,14 @@ def fn_bin_coord(gtf, windows):
     return met.select(F.col("win_id").alias("locus_id"), "start_pos", "end_pos", coord("start_pos").alias("bin_start"), coord("end_pos").alias("bin_end"))
 
 
-MATRIX = "m AS (SELECT variant_id AS row_id, split_part(context, '---', 1) AS celltype, split_part(context, '---', 2) AS assay, effect FROM fx_effects WHERE context_id <> 7)"
+MATRIX = "m AS (SELECT variant_id AS row_id, split_part(context, '---', 1) AS celltype, split_part(context, '---', 2) AS assay, effect FROM fx_effects)"
 ASSAYS = ["ATAC-seq", "DNase-seq", "H3K27ac ChIP-seq"]
 CELLS = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
 
 
 def matrix_rows(effects):
     parts = F.split("context", "---", 2)
-    return effects.filter("context_id <> 7").select(F.col("variant_id").alias("row_id"), F.get(parts, 0).alias("celltype"), F.get(parts, 1).alias("assay"), "effect")
+    return effects.select(F.col("variant_id").alias("row_id"), F.get(parts, 0).alias("celltype"), F.get(parts, 1).alias("assay"), "effect")
 
 
 @query("fx_effects", more=MATRIX, sql="SELECT row_id, celltype, " + ", ".join(f"max(CASE WHEN assay = '{a}' THEN effect END) AS \"{a}\"" for a in ASSAYS) + " FROM m WHERE celltype IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') GROUP BY row_id, celltype")
