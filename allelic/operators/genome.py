@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import splice
+from ..sources.reference import Reference
 
 CHUNK = 16_384
 
@@ -31,13 +32,22 @@ def _pieces(spans: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
     return parts.groupBy("row_id").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("text"))
 
 
-def validate_variants(variants: DataFrame, reference: DataFrame, index_base: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Adds ``found_ref`` and ``status`` (ok, mismatch, outside); reads only the bases of REF."""
+def validate_variants(variants: DataFrame, reference: DataFrame | Reference, index_base: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """Adds ``found_ref`` and ``status`` (ok, mismatch, outside); reads only the bases of REF, from
+    chunks or from the files of a ``Reference``."""
     at = F.col("position") - index_base
+    if isinstance(reference, Reference):
+        spans = variants.select(F.struct(*(F.col(f"`{c}`") for c in variants.columns)).alias("v"), F.col("chromosome").alias("contig"), at.alias("from"), (at + F.length("ref")).alias("to"))
+        found = reference.cut(spans).select("v.*", F.col("text").alias("found_ref"))
+        return found.withColumn("status", _status())
     spans = variants.select("row_id", F.col("chromosome").alias("contig"), F.greatest(at, F.lit(0)).alias("from"), (at + F.length("ref")).alias("to"))
     found = _pieces(spans, reference, chunk).withColumnRenamed("text", "found_ref")
-    status = F.when(F.col("found_ref").isNull() | (F.length("found_ref") < F.length("ref")), "outside").when(F.col("found_ref") == F.upper("ref"), "ok").otherwise("mismatch")
-    return variants.join(found, "row_id", "left").withColumn("status", status)
+    return variants.join(found, "row_id", "left").withColumn("status", _status())
+
+
+def _status() -> Column:
+    short = F.col("found_ref").isNull() | (F.length("found_ref") < F.length("ref"))
+    return F.when(short, "outside").when(F.col("found_ref") == F.upper("ref"), "ok").otherwise("mismatch")
 
 
 def validation_report(validated: DataFrame) -> DataFrame:
@@ -50,25 +60,30 @@ def _cut(seq: Column, window: int) -> Column:
     return F.when(over > 0, F.substring(seq, F.floor(over / 2).cast("int") + 1, F.lit(window))).otherwise(seq)
 
 
-def window_text(variants: DataFrame, reference: DataFrame, contigs: DataFrame, window: int = 196_608, index_base: int = 0, chunk: int = CHUNK) -> DataFrame:
+def window_text(variants: DataFrame, reference: DataFrame | Reference, contigs: DataFrame | None = None, window: int = 196_608, index_base: int = 0, chunk: int = CHUNK) -> DataFrame:
     """row_id, chrom, ref, alt, pos0, window_start (0-based) and ``seq``, the genome's text around each
     variant: centred on seq_pos where the table has it, else on the position, padded with N outside
-    the contig."""
+    the contig. ``reference`` is a ``Reference``, whose files are read where the windows are cut, or
+    a table of chunks with the table of ``contigs``."""
     center = F.coalesce("seq_pos", "position") if "seq_pos" in variants.columns else F.col("position")
     v = variants.select(
         "row_id", F.col("chromosome").alias("contig"), (F.col("position") - index_base).alias("pos0"), F.upper("ref").alias("ref"),
         F.upper("alt").alias("alt"), (center - index_base - window // 2).alias("window_start"),
-    ).join(contigs.select("contig", "length"), "contig", "left")
-    v = v.withColumn("from", F.greatest(F.col("window_start"), F.lit(0))).withColumn("to", F.least(F.col("window_start") + window, F.col("length")))
-    text = _pieces(v.select("row_id", "contig", "from", "to"), reference, chunk)
+    )
+    if isinstance(reference, Reference):
+        v = reference.cut(v.withColumn("from", F.col("window_start")).withColumn("to", F.col("window_start") + window))
+    else:
+        v = v.join(contigs.select("contig", "length"), "contig", "left")
+        v = v.withColumn("from", F.greatest(F.col("window_start"), F.lit(0))).withColumn("to", F.least(F.col("window_start") + window, F.col("length")))
+        v = v.join(_pieces(v.select("row_id", "contig", "from", "to"), reference, chunk), "row_id", "left")
     pad = lambda n: F.repeat(F.lit("N"), F.greatest(F.lit(0), F.least(n, F.lit(window))).cast("int"))
     body = F.coalesce("text", F.lit(""))
     left = F.least(F.greatest(-F.col("window_start"), F.lit(0)), F.lit(window))
     whole = F.concat(pad(left), body, pad(F.lit(window) - left - F.length(body)))
-    return v.join(text, "row_id", "left").select("row_id", F.col("contig").alias("chrom"), "ref", "alt", "pos0", "window_start", F.when(F.col("length").isNotNull(), whole).alias("seq"))
+    return v.select("row_id", F.col("contig").alias("chrom"), "ref", "alt", "pos0", "window_start", F.when(F.col("length").isNotNull(), whole).alias("seq"))
 
 
-def build_windows(variants: DataFrame, reference: DataFrame, contigs: DataFrame, window: int = 196_608, index_base: int = 0, correct_ref: bool = False, chunk: int = CHUNK) -> DataFrame:
+def build_windows(variants: DataFrame, reference: DataFrame | Reference, contigs: DataFrame | None = None, window: int = 196_608, index_base: int = 0, correct_ref: bool = False, chunk: int = CHUNK) -> DataFrame:
     """row_id, chrom, window_start (0-based), ref_seq, alt_seq and status of each variant.
 
     ``status`` is ok, mismatch (REF differs from the genome; with ``correct_ref`` REF is written in

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.reference import Reference
 from . import contexts as ctx, genome, scoring, tracks
 
 SIGNALS = "row_id long, chrom string, bin_idx int, bin_start long, bin_end long, context_id long, context string, ref_signal double, alt_signal double"
@@ -33,9 +34,12 @@ def predict(bins: DataFrame, contexts: DataFrame, predictor: Callable[[pd.DataFr
 def bin_sequences(windows: DataFrame, window: int, edge: int, width: int) -> DataFrame:
     """Bins of usable windows, each with its part of the REF and the ALT sequence."""
     usable = windows.filter("ref_seq IS NOT NULL")
-    bins = tracks.bins(usable, window, edge, width).join(usable.select("row_id", "window_start", "ref_seq", "alt_seq"), "row_id")
-    at = (F.col("bin_start") - F.col("window_start") + 1).cast("int")
-    return bins.withColumn("ref_bin", F.substring("ref_seq", at, F.lit(width))).withColumn("alt_bin", F.substring("alt_seq", at, F.lit(width))).drop("ref_seq", "alt_seq", "window_start")
+    n = (window - 2 * edge) // width
+    bins = usable.select("row_id", "chrom", "window_start", "ref_seq", "alt_seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin_idx"))
+    start = edge + F.col("bin_idx") * width
+    part = lambda c: F.substring(c, (start + 1).cast("int"), F.lit(width))
+    at = F.col("window_start") + start
+    return bins.select("row_id", "chrom", "bin_idx", at.alias("bin_start"), (at + width).alias("bin_end"), part("ref_seq").alias("ref_bin"), part("alt_seq").alias("alt_bin"))
 
 
 def gc_predictor(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ def predict_effects(bins: DataFrame, contexts: DataFrame, predictor=gc_block, sc
     return scoring.score_sums(sums, scoring_mode, ("row_id", "context_id", "context"))
 
 
-def infer_effects(variants: DataFrame, reference: DataFrame, contigs: DataFrame, contexts: DataFrame, predictor=gc_block, scoring_mode: str = "signed_sum_abs", window: int = 196_608, edge: int = tracks.EDGE, width: int = tracks.BIN, regions: DataFrame | None = None, **options) -> DataFrame:
+def infer_effects(variants: DataFrame, reference: DataFrame | Reference, contigs: DataFrame | None, contexts: DataFrame, predictor=gc_block, scoring_mode: str = "signed_sum_abs", window: int = 196_608, edge: int = tracks.EDGE, width: int = tracks.BIN, regions: DataFrame | None = None, **options) -> DataFrame:
     """One effect for each input row and context; ``regions`` (row_id, effect_start, effect_end) limits the bins.
     ``predictor`` is that of ``predict_effects``."""
     bins = bin_sequences(genome.build_windows(variants, reference, contigs, window, **options), window, edge, width)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..fixtures import ctes, load
 from ..functions import scalars as fn
 from ..operators import genome, inference
-from ..sources import readers, sinks
+from ..sources import readers, reference, sinks
 from ..sources.scratch import scratch
 from .registry import ORACLES, QUERIES, query
 
@@ -20,13 +20,26 @@ def pieces(ref: DataFrame):
     return genome.chunked(ref.select("contig", "seq"), CHUNK), contigs
 
 
-# Window of 64 around each variant, as text in both engines.
-SQL_WINDOWS = """
-v AS (SELECT s.row_id, s.chromosome AS chrom, s.position, s.ref, s.alt, s.position - 32 AS ws, r.length, r.seq FROM fx_seq_variants s JOIN fx_reference r ON r.contig = s.chromosome),
-w AS (SELECT *, repeat('N', CAST(greatest(0, -ws) AS INTEGER)) || substr(seq, CAST(greatest(ws, 0) + 1 AS INTEGER), CAST(least(ws + 64, length) - greatest(ws, 0) AS INTEGER)) || repeat('N', CAST(greatest(0, ws + 64 - length) AS INTEGER)) AS win FROM v),
-x AS (SELECT *, substr(win, 33, length(ref)) = ref AS same FROM w),
-y AS (SELECT *, substr(win, 1, 32) || ref || substr(win, 33 + length(ref)) AS fixed, substr(win, 1, 32) || alt || substr(win, 33 + length(ref)) AS spliced FROM x),
-z AS (SELECT *, CASE WHEN length(spliced) > 64 THEN substr(spliced, CAST(floor((length(spliced) - 64) / 2.0) + 1 AS INTEGER), 64) ELSE spliced END AS alt_full FROM y)"""
+def written(ref: DataFrame, segment: int = 1 << 14, chunk: int = 1 << 12) -> reference.Reference:
+    """The contigs as indexed FASTA files, in segments short enough that many contigs have several."""
+    path = scratch(ref.sparkSession, "genome")
+    reference.write_reference(genome.chunked(ref.select("contig", "seq"), chunk), path, segment)
+    return reference.open_reference(ref.sparkSession, path)
+
+
+# Windows around each variant, as text in both engines.
+def sql_windows(size: int) -> str:
+    half = size // 2
+    return f"""
+v AS (SELECT s.row_id, s.chromosome AS chrom, s.position, s.ref, s.alt, s.position - {half} AS ws, r.length, r.seq FROM fx_seq_variants s JOIN fx_reference r ON r.contig = s.chromosome),
+w AS (SELECT *, repeat('N', CAST(greatest(0, -ws) AS INTEGER)) || substr(seq, CAST(greatest(ws, 0) + 1 AS INTEGER), CAST(least(ws + {size}, length) - greatest(ws, 0) AS INTEGER)) || repeat('N', CAST(greatest(0, ws + {size} - length) AS INTEGER)) AS win FROM v),
+x AS (SELECT *, substr(win, {half + 1}, length(ref)) = ref AS same FROM w),
+y AS (SELECT *, substr(win, 1, {half}) || ref || substr(win, {half + 1} + length(ref)) AS fixed, substr(win, 1, {half}) || alt || substr(win, {half + 1} + length(ref)) AS spliced FROM x),
+z AS (SELECT *, CASE WHEN length(spliced) > {size} THEN substr(spliced, CAST(floor((length(spliced) - {size}) / 2.0) + 1 AS INTEGER), {size}) ELSE spliced END AS alt_full FROM y)"""
+
+
+SQL_WINDOWS = sql_windows(WINDOW)
+SQL_WHOLE = sql_windows(196_608)  # the published size
 
 
 @query("fx_reference", sql=f"SELECT contig, k AS chunk, k * {CHUNK} AS chunk_start, substr(seq, CAST(k * {CHUNK} + 1 AS INTEGER), {CHUNK}) AS seq FROM (SELECT *, unnest(range(CAST((length - 1) // {CHUNK} + 1 AS BIGINT))) AS k FROM fx_reference)")
@@ -70,10 +83,34 @@ def fn_tokens_full(ref):
     return ref.select("doc_id", F.md5(F.array_join(fn.dna_tokens("seq").cast("array<string>"), ",").cast("binary")).alias("tokens"))
 
 
+# The same operators over a genome in files: written by all tasks, read by ranges.
+
+
+@query("fx_reference", sql="SELECT contig, k AS chunk, k * 16384 AS chunk_start, substr(seq, CAST(k * 16384 + 1 AS INTEGER), 16384) AS seq FROM (SELECT *, unnest(range(CAST((length - 1) // 16384 + 1 AS BIGINT))) AS k FROM fx_reference)")
+def src_reference(ref):
+    return written(ref).chunks()
+
+
+@query("fx_reference", sql="SELECT contig, length FROM fx_reference")
+def src_reference_contigs(ref):
+    return written(ref).contigs()
+
+
+@query("fx_seq_variants", "fx_reference", sql="SELECT s.row_id, substr(r.seq, CAST(s.position + 1 AS INTEGER), length(s.ref)) AS found_ref, CASE WHEN substr(r.seq, CAST(s.position + 1 AS INTEGER), length(s.ref)) = s.ref THEN 'ok' ELSE 'mismatch' END AS status FROM fx_seq_variants s JOIN fx_reference r ON r.contig = s.chromosome")
+def val_ref_files(variants, ref):
+    return genome.validate_variants(variants, written(ref)).select("row_id", "found_ref", "status")
+
+
+@query("fx_seq_variants", "fx_reference", more=SQL_WHOLE, sql="SELECT row_id, chrom, ws AS window_start, CASE WHEN same THEN md5(win) END AS ref_md5, CASE WHEN same THEN md5(alt_full) END AS alt_md5, CASE WHEN same THEN 'ok' ELSE 'mismatch' END AS status FROM z")
+def seq_windows_files(variants, ref):
+    made = genome.build_windows(variants, written(ref))
+    return made.select("row_id", "chrom", "window_start", F.md5(F.col("ref_seq").cast("binary")).alias("ref_md5"), F.md5(F.col("alt_seq").cast("binary")).alias("alt_md5"), "status")
+
+
 @query("fx_seq_variants", "fx_reference", sql="SELECT s.row_id, md5(substr(r.seq, 1, CAST(s.position AS INTEGER)) || s.alt || substr(r.seq, CAST(s.position + 1 + length(s.ref) AS INTEGER))) AS spliced FROM fx_seq_variants s JOIN fx_reference r ON r.contig = s.chromosome")
 def fn_splice(variants, ref):
-    both = variants.join(ref.select(F.col("contig").alias("chromosome"), "seq"), "chromosome")
-    return both.select("row_id", F.md5(fn.splice("seq", "position", "ref", "alt").cast("binary")).alias("spliced"))
+    edits = variants.select("row_id", F.col("chromosome").alias("contig"), F.col("position").alias("at"), "ref", "alt")
+    return written(ref).edited_md5(edits).select("row_id", F.col("md5").alias("spliced"))
 
 
 # Bins of 16 over the middle 32 of the window; signals are G and C of a bin times (context + 1) / 10.

@@ -443,3 +443,63 @@ def test_matrix_of_missing_pairs(spark):
     matrix = scoring.to_matrix(effects, ["X", "Y"], ["a", "b"])
     assert sorted(map(tuple, matrix.collect())) == [(1, "X", 1.0, None), (1, "Y", None, 2.0), (2, "X", None, None)]
     assert sorted(map(tuple, scoring.from_matrix(matrix, ["a", "b"]).collect())) == [(1, "X", "a", 1.0), (1, "Y", "b", 2.0)]
+
+
+def test_reference_in_files(spark, tmp_path):
+    import hashlib
+
+    from allelic.sources import reference
+
+    contigs = {"c1": "ACGTNACGTTGCAAC", "c2": "GG", "c3": "TTGACA" * 20, "odd_name:1": "A"}
+    rows = spark.createDataFrame([*contigs.items(), ("none", None), ("empty", "")], "contig string, seq string")
+    reference.write_reference(genome.chunked(rows, 4), f"{tmp_path}/g", segment=8, line=3)
+    ref = reference.open_reference(spark, f"{tmp_path}/g")
+    assert {r.contig: r.length for r in ref.contigs().collect()} == {c: len(s) for c, s in contigs.items()}
+    got = {}
+    for r in sorted(ref.chunks(7).collect()):
+        got[r.contig] = got.get(r.contig, "") + r.seq
+        assert r.chunk_start == r.chunk * 7
+    assert got == contigs
+    # Ranges across segments, outside contigs, of unknown contigs and of null places; repeated rows stay.
+    asked = [("c3", 5, 100), ("c3", 5, 100), ("c3", -3, 2), ("c3", 118, 130), ("c3", 500, 510), ("c1", 7, 9), ("c2", 1, 1), ("x", 0, 3), (None, 0, 3), ("c1", None, 3), ("c1", 3, None)]
+    cut = ref.cut(spark.createDataFrame(asked, "contig string, from long, to long")).collect()
+    want = [(c, a, b, len(contigs[c]) if c in contigs else None, contigs[c][max(a, 0) : b] or None if c in contigs and a is not None and b is not None else None) for c, a, b in asked]
+    assert sorted(map(tuple, cut), key=repr) == sorted(want, key=repr)
+    edits = [(1, "c3", 20, "G", "TAC"), (2, "c3", 0, "T", ""), (3, "c3", 119, "A", "C"), (4, "c3", 120, "A", "C"), (5, "x", 0, "A", "C"), (6, "c2", 1, None, "C"), (7, "c1", 14, "C", "G"), (8, "c3", 20, "GACA", "T")]
+    for r in ref.edited_md5(spark.createDataFrame(edits, "row_id long, contig string, at long, ref string, alt string")).collect():
+        whole = contigs.get(r.contig)
+        inside = whole and None not in (r.at, r.ref) and r.at + len(r.ref) <= len(whole)
+        assert r.md5 == (hashlib.md5((whole[: r.at] + r.alt + whole[r.at + len(r.ref) :]).encode()).hexdigest() if inside else None)
+    none = spark.createDataFrame([], "contig string, from long, to long")
+    assert ref.cut(none).count() == 0 and ref.cut(none).columns == ["contig", "from", "to", "length", "text"]
+    with pytest.raises(Exception, match="does not follow"):
+        reference.write_reference(genome.chunked(rows, 4).filter("chunk <> 2"), f"{tmp_path}/h", segment=8)
+    reference.write_reference(genome.chunked(rows, 4).filter("chunk <> 1"), f"{tmp_path}/i", segment=8)
+    with pytest.raises(Exception, match="gap in contig c"):
+        reference.open_reference(spark, f"{tmp_path}/i").contigs().collect()
+
+
+def test_windows_from_files_equal_those_from_chunks(spark, tmp_path):
+    from allelic.sources import reference
+
+    contigs = spark.createDataFrame([("c1", "ACGTNACGTTGCAAC" * 9), ("c2", "GGTT")], "contig string, seq string")
+    chunks, lengths = genome.chunked(contigs, 4), contigs.select("contig", F.length("seq").cast("long").alias("length"))
+    reference.write_reference(chunks, f"{tmp_path}/g", segment=16)
+    ref = reference.open_reference(spark, f"{tmp_path}/g")
+    v = spark.createDataFrame(
+        [(i, "c1" if i % 3 else "c2", i * 7 - 3, "ACGT"[i % 4], "TG"[i % 2] * (1 + i % 3)) for i in range(24)] + [(90, "x", 3, "A", "C"), (91, "c1", None, "A", "C"), (92, None, 3, "A", "C")],
+        "row_id long, chromosome string, position long, ref string, alt string",
+    )
+    for correct in (False, True):
+        old = genome.build_windows(v, chunks, lengths, window=20, chunk=4, correct_ref=correct)
+        assert sorted(map(repr, genome.build_windows(v, ref, window=20, correct_ref=correct).collect())) == sorted(map(repr, old.collect()))
+    found = {r.row_id: (r.found_ref, r.status) for r in genome.validate_variants(v, ref).collect()}
+    assert found.pop(0)[1] == "outside"
+    old = {r.row_id: (r.found_ref, r.status) for r in genome.validate_variants(v.filter("position >= 0"), chunks, chunk=4).collect()}
+    assert {k: x for k, x in found.items() if k in old} == old
+    # One place that holds every row is dealt to many tasks, and no sequence is shuffled before it is cut.
+    hot = spark.range(4000).selectExpr("id AS row_id", "'c1' AS chromosome", "50L AS position", "'A' AS ref", "'C' AS alt")
+    made = genome.window_text(hot, ref, window=20)
+    tasks = {r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()}
+    assert len(tasks) > 1 and max(tasks) < 4000
+    assert made.select("seq").distinct().count() == 1
