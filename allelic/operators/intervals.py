@@ -5,25 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 BIN = 131_072
+LEVELS = 5  # bins of 2^17, 2^21, 2^25, 2^29 and 2^33 bases
+SALTS = 16
 
 
-def overlap_join(intervals: DataFrame, windows: DataFrame, width: int = BIN) -> DataFrame:
+def overlap_join(intervals: DataFrame, windows: DataFrame, width: int = BIN, levels: int = LEVELS) -> DataFrame:
     """Rows of ``intervals`` (chrom, start0, end0, ...) with the windows (win_id, chrom, win_start,
     win_end) that they overlap; both half-open and 0-based.
 
-    Both sides are dealt to position bins and meet by equality; a pair counts in the first bin
-    that both share, so each pair comes once and no pass removes duplicates.
+    Each row lies in bins of the finest of ``levels`` whose width, ``width`` times a power of 16, is at least its
+    length: in one or two, however long it is. Rows meet by equality of bins at the coarser level of the two, for
+    which a row also asks the bins of those coarser levels that the other side has; of two shared bins the first counts,
+    so each pair comes once and no pass removes duplicates. As many rows ask one coarse bin, those that lie
+    in it are copied ``SALTS`` times and those that ask are dealt among the copies. Rows with a null place meet nothing.
     """
 
-    def binned(df: DataFrame, start: str, end: str) -> DataFrame:
-        first = F.floor(F.col(start) / width)
-        return df.withColumn("__bin", F.explode(F.sequence(first, F.greatest(first, F.floor((F.col(end) - 1) / width)))))
+    def own(start: str, end: str):
+        length = F.greatest(F.col(end) - F.col(start), F.lit(1))
+        level = F.lit(levels - 1)
+        for n in reversed(range(levels - 1)):
+            level = F.when(length <= width * 16**n, n).otherwise(level)
+        return level
+
+    def keyed(df: DataFrame, start: str, end: str, present: DataFrame, asks: int) -> DataFrame:
+        def at(n: int, kind: int, salts):
+            size = width * 16**n
+            first = F.floor(F.col(start) / size)
+            bins = F.sequence(first, F.greatest(first, F.floor((F.col(end) - 1) / size)))
+            return F.flatten(F.transform(bins, lambda k: F.transform(salts, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("level"), k.alias("bin"), s.alias("salt")))))
+
+        one = F.array(F.lit(0))
+        every = F.array(*(F.lit(i) for i in range(SALTS)))
+        salt = F.array(F.pmod(F.xxhash64(start, end, *(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS)).cast("int"))
+        none = F.filter(at(0, 0, one), lambda x: F.lit(False))
+        # Kind 0: windows of a level at least that of the interval; kind 1: intervals of a higher one, so not of the finest.
+        keys = [F.when(F.col("__own") == n, at(n, 1 - asks, every if n else one)).otherwise(none) for n in range(1 - asks, levels)]
+        for n in range(asks, levels):
+            coarser = (F.col("__own") < n) if asks else (F.col("__own") <= n)
+            keys.append(F.when(coarser & F.array_contains("__present", n), at(n, asks, salt if n else one)).otherwise(none))
+        found = df.withColumn("__own", own(start, end)).crossJoin(F.broadcast(present))  # one row of at most ``levels`` numbers
+        return found.withColumn("__key", F.explode(F.concat(*keys))).drop("__own", "__present")
 
     win = windows.select("win_id", "chrom", "win_start", "win_end")
-    met = binned(intervals, "start0", "end0").join(binned(win, "win_start", "win_end"), ["chrom", "__bin"])
+    of_intervals = intervals.agg(F.collect_set(own("start0", "end0")).alias("__present"))
+    of_windows = win.agg(F.collect_set(own("win_start", "win_end")).alias("__present"))
+    met = keyed(intervals, "start0", "end0", of_windows, 0).join(keyed(win, "win_start", "win_end", of_intervals, 1), ["chrom", "__key"])
     overlaps = (F.col("start0") < F.col("win_end")) & (F.col("end0") > F.col("win_start"))
-    first = F.col("__bin") == F.floor(F.greatest("start0", "win_start") / width)
-    return met.filter(overlaps & first).drop("__bin")
+    size = F.lit(float(width)) * F.pow(F.lit(16.0), F.col("__key.level"))  # whole below 2^53
+    first = F.col("__key.bin") == F.floor(F.greatest("start0", "win_start") / size)
+    return met.filter(overlaps & first).drop("__key")
 
 
 def annotation_lanes(intervals: DataFrame, by: str = "win_id") -> DataFrame:

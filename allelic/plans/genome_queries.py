@@ -209,6 +209,15 @@ def src_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_variants(spark, path, seq_pos_col="SEQ_POS", id_col="row_id")
 
 
+@source("SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, chromosome, position, ref, alt FROM fx_seq_variants", "fx_seq_variants")
+def src_variants_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "variants")
+    df = load(spark, sf_dir, "fx_seq_variants").select(F.col("chromosome").alias("CHR"), F.col("position").alias("POS"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"), "row_id")
+    # Ranges in order of the id are files in order of their names.
+    sinks.write_table(df.repartitionByRange(7, "row_id").sortWithinPartitions("row_id"), path, "tsv")
+    return readers.read_variants(spark, path)
+
+
 @source("SELECT variant_id AS row_id, context, round(effect, 6) AS effect FROM fx_effects", "fx_effects")
 def src_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "fx_effects").withColumnRenamed("variant_id", "row_id")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalars import context_label, gtf_attribute
 
@@ -33,18 +33,31 @@ def read_gwas(spark: SparkSession, path: str, colmap: dict[str, str], locus_col:
     return df.filter(F.col("chromosome") == chromosome) if chromosome else df
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table with ``row_id``, from 0 in the order of the files' names and of the lines in them.
+
+    Rows are counted for each block of a file; the number of a row is that of the rows in blocks before
+    its own and its place in the block. Only the table of blocks, of one line for each, is ordered as a whole.
+    """
+    scan = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = scan.select("*", block.alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = rows.groupBy("__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
+    placed = blocks.select("__block", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    df = rows.join(placed, "__block").withColumn("row_id", F.col("__at") + F.col("__shift"))
+    return df.select(*(F.col(f"`{c}`") for c in scan.columns), "row_id")
+
+
 def read_variants(spark: SparkSession, path: str, seq_pos_col: str | None = None, region_cols: tuple[str, str] | None = None, id_col: str | None = None) -> DataFrame:
     """CHR, POS, REF, ALT and the optional window centre and effect region.
 
     ``row_id`` is the file's ``id_col``, or else the order of the file; equal rows are all kept.
     """
-    df = _tsv(spark, path)
     if id_col is None:
-        kept = df.columns
-        numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))  # the one operation that gives order a name
-        df = spark.createDataFrame(numbered, ", ".join(f"`{c}` string" for c in kept) + ", row_id long")
+        df = _numbered(spark, path)
     else:
-        df = df.withColumn("row_id", F.col(f"`{id_col}`").cast("long"))
+        df = _tsv(spark, path).withColumn("row_id", F.col(f"`{id_col}`").cast("long"))
     out = [
         F.col("row_id"), F.col("CHR").alias("chromosome"), F.col("POS").cast("long").alias("position"),
         F.upper("REF").alias("ref"), F.upper("ALT").alias("alt"),

@@ -503,3 +503,44 @@ def test_windows_from_files_equal_those_from_chunks(spark, tmp_path):
     tasks = {r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()}
     assert len(tasks) > 1 and max(tasks) < 4000
     assert made.select("seq").distinct().count() == 1
+
+
+def test_overlaps_of_any_length(spark):
+    import random
+
+    draw = random.Random(5)
+
+    def some(n):
+        made = []
+        for i in range(n):
+            start = draw.choice([0, 15, 16, 255, 256, 4095, draw.randrange(5000)])
+            made.append((i, draw.choice("ab"), start, start + draw.choice([0, 1, 15, 16, 17, 256, 300, 4096, 5000, 70_000])))
+        return made
+
+    a, b = some(150), some(60)
+    left = spark.createDataFrame(a + [(900, "a", None, 4), (901, None, 1, 4), (902, "a", 1, None)], "gene long, chrom string, start0 long, end0 long")
+    right = spark.createDataFrame(b + [(900, "a", None, 4), (901, None, 1, 4)], "win_id long, chrom string, win_start long, win_end long")
+    got = [(r.gene, r.win_id) for r in intervals.overlap_join(left, right, width=1, levels=4).collect()]
+    want = [(i, j) for i, c, s, e in a for j, d, t, u in b if c == d and s < u and e > t]
+    assert sorted(got) == sorted(want) and len(set(got)) == len(got)
+    # A contig-long interval has at most two bins of its own and of each coarser level.
+    long = spark.createDataFrame([(1, "a", 5, 3_000_000_000)], "gene long, chrom string, start0 long, end0 long")
+    one = spark.createDataFrame([(7, "a", 2_000_000_000, 2_000_000_100), (8, "a", 3_000_000_000, 3_000_000_001)], "win_id long, chrom string, win_start long, win_end long")
+    assert [(r.gene, r.win_id) for r in intervals.overlap_join(long, one).collect()] == [(1, 7)]
+
+
+def test_order_of_files(spark, tmp_path):
+    header = "CHR\tPOS\tREF\tALT\n"
+    lines = [f"c{i % 3}\t{i}\tA\tC\n" for i in range(5000)]
+    (tmp_path / "v").mkdir()
+    for k in range(5):
+        (tmp_path / "v" / f"part-{k}.tsv").write_text(header + "".join(lines[k * 1000 : (k + 1) * 1000]))
+    (tmp_path / "v" / "part-5.tsv").write_text(header)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2000b", "128m"):  # many blocks of a file, many files of a task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = readers.read_variants(spark, str(tmp_path / "v"))
+            assert [(r.row_id, r.position) for r in df.orderBy("row_id").collect()] == [(i, i) for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
