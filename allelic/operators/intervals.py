@@ -28,32 +28,26 @@ def overlap_join(intervals: DataFrame, windows: DataFrame, width: int = BIN, lev
         return level
 
     def keyed(df: DataFrame, start: str, end: str, present: DataFrame, asks: int) -> DataFrame:
-        def at(n: int, kind: int, salts):
-            size = width * 16**n
-            first = F.floor(F.col(start) / size)
-            bins = F.sequence(first, F.greatest(first, F.floor((F.col(end) - 1) / size)))
-            return F.flatten(F.transform(bins, lambda k: F.transform(salts, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("level"), k.alias("bin"), s.alias("salt")))))
-
-        one = F.array(F.lit(0))
-        every = F.array(*(F.lit(i) for i in range(SALTS)))
-        salt = F.array(F.pmod(F.xxhash64(start, end, *(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS)).cast("int"))
-        none = F.filter(at(0, 0, one), lambda x: F.lit(False))
         # Kind 0: windows of a level at least that of the interval; kind 1: intervals of a higher one, so not of the finest.
-        keys = [F.when(F.col("__own") == n, at(n, 1 - asks, every if n else one)).otherwise(none) for n in range(1 - asks, levels)]
-        for n in range(asks, levels):
-            coarser = (F.col("__own") < n) if asks else (F.col("__own") <= n)
-            keys.append(F.when(coarser & F.array_contains("__present", n), at(n, asks, salt if n else one)).otherwise(none))
+        pair = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("level"))
+        lies = F.filter(F.array(pair(1 - asks, F.col("__own"))), lambda x: x["level"] >= 1 - asks)
+        asked = F.transform(F.filter("__present", lambda n: n > F.col("__own") if asks else n >= F.col("__own")), lambda n: pair(asks, n))
+        size = F.lit(float(width)) * F.pow(F.lit(16.0), F.col("__at.level"))  # whole below 2^53
+        first = F.floor(F.col(start) / size)
+        dealt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS)).cast("int")
+        salt = F.when(F.col("__at.level") == 0, F.array(F.lit(0))).when(F.col("__at.kind") == asks, F.array(dealt)).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         found = df.withColumn("__own", own(start, end)).crossJoin(F.broadcast(present))  # one row of at most ``levels`` numbers
-        return found.withColumn("__key", F.explode(F.concat(*keys))).drop("__own", "__present")
+        found = found.withColumn("__at", F.explode(F.concat(lies, asked))).withColumn("__bin", F.explode(F.sequence(first, F.greatest(first, F.floor((F.col(end) - 1) / size)))))
+        return found.withColumn("__salt", F.explode(salt)).drop("__own", "__present")
 
     win = windows.select("win_id", "chrom", "win_start", "win_end")
     of_intervals = intervals.agg(F.collect_set(own("start0", "end0")).alias("__present"))
     of_windows = win.agg(F.collect_set(own("win_start", "win_end")).alias("__present"))
-    met = keyed(intervals, "start0", "end0", of_windows, 0).join(keyed(win, "win_start", "win_end", of_intervals, 1), ["chrom", "__key"])
+    met = keyed(intervals, "start0", "end0", of_windows, 0).join(keyed(win, "win_start", "win_end", of_intervals, 1), ["chrom", "__at", "__bin", "__salt"])
     overlaps = (F.col("start0") < F.col("win_end")) & (F.col("end0") > F.col("win_start"))
-    size = F.lit(float(width)) * F.pow(F.lit(16.0), F.col("__key.level"))  # whole below 2^53
-    first = F.col("__key.bin") == F.floor(F.greatest("start0", "win_start") / size)
-    return met.filter(overlaps & first).drop("__key")
+    size = F.lit(float(width)) * F.pow(F.lit(16.0), F.col("__at.level"))
+    first = F.col("__bin") == F.floor(F.greatest("start0", "win_start") / size)
+    return met.filter(overlaps & first).drop("__at", "__bin", "__salt")
 
 
 def annotation_lanes(intervals: DataFrame, by: str = "win_id") -> DataFrame:

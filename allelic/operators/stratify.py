@@ -2,14 +2,15 @@
 
 All loci are labelled in one job. Counts and ranges of a locus are aggregates with partial sums,
 joined back; only rows that may be ranked (loci without a significant variant, loci short of
-background) go through a sorted window.
+background) go through sorted windows: parts of a locus are ranked first, and only the n best of each part
+together, so that no locus is sorted whole.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 @dataclass(frozen=True)
@@ -21,14 +22,28 @@ class Cuts:
     min_bg: int = 100
 
 
+PARTS = 32  # of a locus, each ranked by itself
+
+
+def _among_first(df: DataFrame, wanted: Column, n: int, *order: Column) -> DataFrame:
+    """Adds ``__first``: the row is among the first n of the ``wanted`` rows of its locus by ``order``, then variant_id.
+
+    Of rows that are equal in these, any take the last places. Other rows are spread by their variant_id.
+    """
+    own = F.xxhash64("variant_id")
+    of_part = W.partitionBy("locus_id", "__wanted", F.when(F.col("__wanted"), F.pmod(own, F.lit(PARTS))).otherwise(own)).orderBy(*order, "variant_id")
+    df = df.withColumn("__wanted", F.coalesce(wanted, F.lit(False))).withColumn("__best", F.col("__wanted") & (F.row_number().over(of_part) <= n))
+    of_locus = W.partitionBy("locus_id", "__best", F.when(~F.col("__best"), own)).orderBy(*order, "variant_id")
+    return df.withColumn("__first", F.col("__best") & (F.row_number().over(of_locus) <= n)).drop("__wanted", "__best")
+
+
 def mark_candidates(gwas: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
-    """Adds ``is_candidate``: p below the cut, or the smallest p of a locus that has no such variant."""
+    """Adds ``is_candidate``: p below the cut, or the ``n_top`` smallest p of a locus that has no such variant (null p first)."""
     significant = F.coalesce(F.col("p_value") < cuts.p_cut, F.lit(False))
     loci = gwas.groupBy("locus_id").agg(F.max(significant).alias("__any_sig"))
     df = gwas.join(loci, "locus_id")
-    # Ranks are read only where nothing is significant; other loci sort by one constant key each row.
-    rank = F.row_number().over(W.partitionBy("locus_id", "__any_sig", F.when(F.col("__any_sig"), F.col("variant_id"))).orderBy("p_value", "variant_id"))
-    return df.withColumn("is_candidate", F.when(F.col("__any_sig"), significant).otherwise(rank <= cuts.n_top)).drop("__any_sig")
+    df = _among_first(df, ~F.col("__any_sig"), cuts.n_top, F.asc("p_value"))
+    return df.withColumn("is_candidate", F.when(F.col("__any_sig"), significant).otherwise(F.col("__first"))).drop("__any_sig", "__first")
 
 
 def signal_range(marked: DataFrame) -> DataFrame:
@@ -56,9 +71,10 @@ def mark_background(marked: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     common = open_ & (af > cuts.af_cut) & (af < 1 - cuts.af_cut)
     df = marked.withColumn("__open", open_).withColumn("__common", common)
     df = df.join(df.groupBy("locus_id").agg((F.sum(F.col("__common").cast("int")) < cuts.min_bg).alias("__short")), "locus_id")
-    ranked = W.partitionBy("locus_id", "__open", F.when(~(F.col("__short") & F.col("__open")), F.col("variant_id"))).orderBy(F.desc("allele_freq"), "variant_id")
-    fallback = F.col("__open") & (F.row_number().over(ranked) <= cuts.min_bg)
-    return df.withColumn("is_background", F.when(F.col("__short"), fallback).otherwise(F.col("__common"))).drop("__open", "__common", "__short")
+    df = _among_first(df, F.col("__short") & F.col("__open"), cuts.min_bg, F.desc("allele_freq"))
+    # Null where it is not known whether a variant is open.
+    fallback = F.when(F.col("__open").isNotNull(), F.col("__first"))
+    return df.withColumn("is_background", F.when(F.col("__short"), fallback).otherwise(F.col("__common"))).drop("__open", "__common", "__short", "__first")
 
 
 def stratify(gwas: DataFrame, cuts: Cuts = Cuts(), overlap: str = "keep") -> DataFrame:

@@ -544,3 +544,20 @@ def test_order_of_files(spark, tmp_path):
             assert [(r.row_id, r.position) for r in df.orderBy("row_id").collect()] == [(i, i) for i in range(5000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_first_of_a_hot_locus(spark):
+    import random
+
+    draw = random.Random(3)
+    data = [(i, i % 2, draw.choice([0.1, 0.2, 0.3, None]), draw.choice([0.1, 0.5, None])) for i in range(600)]
+    df = spark.createDataFrame([(v, locus, "chr1", v, "A", "C", af, p) for v, locus, p, af in data], GWAS)
+    got = {r.variant_id for r in stratify.mark_candidates(df, stratify.Cuts(n_top=40)).filter("is_candidate").collect()}
+    want = {v for k in (0, 1) for _, _, v in sorted((p is not None, p or 0.0, v) for v, locus, p, _ in data if locus == k)[:40]}
+    assert got == want
+    marked = df.withColumn("is_rare", F.lit(False))
+    got = {r.variant_id for r in stratify.mark_background(marked, stratify.Cuts(min_bg=250)).filter("is_background").collect()}
+    want = {v for k in (0, 1) for _, v in sorted((-af if af is not None else 9.0, v) for v, locus, p, af in data if locus == k and p is not None)[:250]}
+    assert got == want
+    twice = stratify.mark_candidates(df.union(df), stratify.Cuts(n_top=40)).filter("is_candidate")
+    assert twice.count() == 80
