@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import bin_key
+from ..sources import sinks
 from ..sources.reference import Reference
+from ..sources.scratch import stored
 from . import contexts as ctx, genome, scoring, tracks
 
 SIGNALS = "row_id long, chrom string, bin_idx int, bin_start long, bin_end long, context_id long, context string, ref_signal double, alt_signal double"
@@ -115,6 +118,35 @@ def infer_tracks(signals: DataFrame, scoring_mode: str = "signed_sum_abs", windo
     return made | {k: v for k, v in given.items() if v is not None}
 
 
+# The names of the written tables, with the table and the value of each.
+OUTPUTS = {
+    "context_effects": ("effects", "effect"),
+    "ref_signals": ("tracks", "ref_signal"),
+    "alt_signals": ("tracks", "alt_signal"),
+    "ref_signals_normed_and_ordered": ("normed", "ref_normed"),
+    "alt_signals_normed_and_ordered": ("normed", "alt_normed"),
+    "diff_signals": ("diff", "diff"),
+}
+
+
+def write_inference(made: dict[str, DataFrame], prefix: str) -> dict[str, str]:
+    """Writes the effects and signals of ``infer_tracks`` as wide matrices of one column for each context, and returns
+    the paths by name.
+
+    Signals have a line for each bin, named ``row:chrom_start_end``, as windows of several variants may share bins; effects
+    have one for each row. Contexts stand in order of their names. Each table is computed once, from the shared folder.
+    """
+    held = {k: stored(made[k], k) for k in ("tracks", "normed", "diff")}
+    paths = {}
+    for name, (table, value) in OUTPUTS.items():
+        if table == "effects":
+            paths[name] = sinks.write_matrix(made[table], prefix, name, value)
+        else:
+            key = F.concat_ws(":", F.col("row_id").cast("string"), bin_key())
+            paths[name] = sinks.write_matrix(held[table].withColumn("bin", key), prefix, name, value, row="bin")
+    return paths
+
+
 # Cody's rational approximations of the error function, by range of |x|.
 ERF_SMALL = ((3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1), (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03))
 ERF_MIDDLE = (

@@ -9,6 +9,7 @@ from ..functions import scalars as fn
 from ..operators import genome, inference
 from ..sources import readers, reference, sinks
 from ..sources.scratch import scratch
+from .core import NORMED
 from .registry import ORACLES, QUERIES, query
 
 CHUNK = 128  # small, so that short contigs span several chunks
@@ -183,6 +184,29 @@ def src_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_signals(spark, path).withColumn("signal", F.round("signal", 6))
 
 
+# Every table of an inference, written under its name and read back.
+def _tracks_sql() -> str:
+    signals = {"ref_signals": "ref_signal", "alt_signals": "alt_signal", "ref_signals_normed_and_ordered": "ref_normed", "alt_signals_normed_and_ordered": "alt_normed", "diff_signals": "diff"}
+    parts = [f"SELECT '{name}' AS output, row_id, chrom, bin_start, bin_end, context, round({value}, 6) AS value FROM df" for name, value in signals.items()]
+    effect = "round(sum(abs(alt_signal - ref_signal)) * CASE WHEN sum(alt_signal - ref_signal) > 0 THEN 1 WHEN sum(alt_signal - ref_signal) < 0 THEN -1 ELSE 0 END, 6)"
+    parts.append(f"SELECT 'context_effects' AS output, row_id, NULL AS chrom, NULL AS bin_start, NULL AS bin_end, context, {effect} AS value FROM fx_signals GROUP BY row_id, context")
+    return " UNION ALL ".join(parts)
+
+
+@query("fx_signals", more=NORMED, sql=_tracks_sql())
+def inf_tracks(signals):
+    spark = signals.sparkSession
+    paths = inference.write_inference(inference.infer_tracks(signals), scratch(spark, "inference"))
+    effects = readers.read_matrix(spark, paths.pop("context_effects"), "value")
+    no = F.lit(None)
+    made = effects.select(F.lit("context_effects").alias("output"), "row_id", no.cast("string").alias("chrom"), no.cast("long").alias("bin_start"), no.cast("long").alias("bin_end"), "context", "value")
+    for name, path in paths.items():
+        named = F.split("chrom", ":", 2)
+        rows = readers.read_signals(spark, path)
+        made = made.unionByName(rows.select(F.lit(name).alias("output"), named[0].cast("long").alias("row_id"), named[1].alias("chrom"), "bin_start", "bin_end", "context", F.col("signal").alias("value")))
+    return made.withColumn("value", F.round("value", 6))
+
+
 @source("SELECT chrom, start_pos - 1 AS start0, end_pos AS end0, feature AS c3, strand AS c4 FROM fx_gtf", "fx_gtf")
 def src_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "bed")
