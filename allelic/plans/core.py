@@ -475,6 +475,26 @@ def agg_ttest(gwas, effects):
     return t.select("locus_id", "variant_id", "context_id", "var_label", F.round("t", 5).alias("t"), "dof", F.round("ratio", 10).alias("ratio"))
 
 
+# The distribution of t for whole degrees of freedom, as a finite series in the squared cosine of atan(t / sqrt(dof)).
+TESTED = STATS + """,
+tt AS (SELECT le.locus_id, variant_id, context_id, var_label, (abs(effect) - m) / nullif(ss / sqrt(n), 0) AS t, n - 1 AS dof, count(*) OVER () AS tests
+FROM le JOIN (SELECT locus_id, context_id, avg(abs(effect)) AS m, stddev_samp(abs(effect)) AS ss, count(effect) AS n FROM le WHERE var_label = 'background' GROUP BY locus_id, context_id) USING (locus_id, context_id) WHERE var_label <> 'background'),
+ta AS (SELECT *, abs(t) / sqrt(dof + t * t) AS s, dof / (dof + t * t) AS c2 FROM tt),
+tp AS (SELECT *, CASE WHEN dof % 2 = 0 THEN 1 - s * list_sum(list_transform(range(0, dof // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(k + 1e0)) / sqrt(pi()) * pow(c2, k)))
+ELSE 1 - 2 / pi() * (asin(s) + s * sqrt(c2) * coalesce(list_sum(list_transform(range(0, (dof - 1) // 2), lambda k: exp(lgamma(k + 1e0) - lgamma(k + 1.5e0)) * sqrt(pi()) / 2 * pow(c2, k))), 0)) END AS p FROM ta)"""
+
+
+@query("fx_gwas", "fx_effects", more=TESTED, sql="SELECT locus_id, variant_id, context_id, var_label, round(greatest(p, 0), 6) AS p, round(least(1, greatest(p, 0) * tests), 4) AS p_adj FROM tp")
+def agg_ttest_p(gwas, effects):
+    tested = evaluate.background_ttest(joined(gwas, effects), "rows")
+    return tested.select("locus_id", "variant_id", "context_id", "var_label", F.round("p", 6).alias("p"), F.round("p_adj", 4).alias("p_adj"))
+
+
+@query("fx_gwas", "fx_effects", more=TESTED, sql="SELECT locus_id, variant_id, CAST(sum(CASE WHEN p * tests < 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS n_below FROM tp GROUP BY locus_id, variant_id")
+def agg_ttest_below(gwas, effects):
+    return evaluate.effects_below(evaluate.background_ttest(joined(gwas, effects), "rows"))
+
+
 BOOTS = 120  # the least p-value is 1 / 121
 # The draws' key of a locus and context, for seed 0: both halves of three numbers are mixed in.
 _PARTS = ["0", "0", "context_id & 4294967295", "context_id >> 32", "locus_id & 4294967295", "locus_id >> 32"]
