@@ -24,6 +24,13 @@ YIELD = 1 << 25  # bytes of text in one batch of results
 INDEX = "contig string, length long, offset long, bases long, width long, start long, segment long, file string"
 
 
+def _uri(path: str) -> str:
+    """``path`` with a scheme, in the form that Arrow's file systems read."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return f"file://{path.removeprefix('file:')}"
+    return path if "://" in path else f"file://{path}"
+
+
 def write_reference(chunks: DataFrame, path: str, segment: int = SEGMENT, line: int = 60) -> None:
     """Writes chunks (contig, chunk_start, seq) as FASTA files and an index below ``path``.
 
@@ -31,7 +38,7 @@ def write_reference(chunks: DataFrame, path: str, segment: int = SEGMENT, line:
     lines of the attempt that ended, so a repeated task leaves an unread file and no double record.
     Null or empty sequences write nothing. A chunk that comes twice raises an error; a gap does here or when it is read.
     """
-    uri = path if "://" in path else f"file://{path}"
+    uri = _uri(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -229,7 +236,7 @@ def open_reference(spark: SparkSession, path: str) -> Reference:
 
 def open_fasta(spark: SparkSession, fasta: str, fai: str) -> Reference:
     """One FASTA file with the usual index; a contig is one segment."""
-    uri = fasta if "://" in fasta else f"file://{fasta}"
+    uri = _uri(fasta)
     lines = spark.read.csv(fai, sep="\t", schema="contig string, length long, offset long, bases long, width long").filter("length > 0")
     part = F.struct(F.lit(0).cast("long").alias("start"), F.lit(uri).alias("file"), "offset", "bases", "width")
     return Reference(lines.select("contig", "length", F.col("length").alias("segment"), F.array(part).alias("segments")))

@@ -479,6 +479,17 @@ def test_reference_in_files(spark, tmp_path):
         reference.open_reference(spark, f"{tmp_path}/i").contigs().collect()
 
 
+def test_one_fasta_file_as_reference(spark, tmp_path):
+    from allelic.sources import reference
+
+    (tmp_path / "r.fa").write_text(">c1\nACGTa\ncgtNN\nGT\n>c2\nGG\n")
+    (tmp_path / "r.fa.fai").write_text("c1\t12\t4\t5\t6\nc2\t2\t23\t2\t3\n")
+    for path in (f"{tmp_path}/r.fa", f"file:{tmp_path}/r.fa", f"file://{tmp_path}/r.fa"):
+        ref = reference.open_fasta(spark, path, f"{tmp_path}/r.fa.fai")
+        asked = spark.createDataFrame([("c1", 3, 11), ("c2", 0, 9), ("c1", 0, 12)], "contig string, from long, to long")
+        assert rows(ref.cut(asked), "contig", "text") == [("c1", "ACGTACGTNNGT"), ("c1", "TACGTNNG"), ("c2", "GG")]
+
+
 def test_windows_from_files_equal_those_from_chunks(spark, tmp_path):
     from allelic.sources import reference
 
