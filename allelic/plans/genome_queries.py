@@ -73,9 +73,9 @@ def join_ref_window(variants, ref):
     return genome.window_text(variants, *pieces(ref), window=WINDOW, chunk=CHUNK).select("row_id", F.col("seq").alias("text"))
 
 
-@query("fx_reference", sql="SELECT doc_id, array_to_string(string_split(translate(substr(seq, 1, 200), 'ACGTN', '01234'), ''), ',') AS tokens FROM fx_reference")
+@query("fx_reference", sql="SELECT doc_id, array_to_string(string_split(translate(seq, 'ACGTN', '01234'), ''), ',') AS tokens FROM fx_reference")
 def fn_tokens(ref):
-    return ref.select("doc_id", F.array_join(fn.dna_tokens(F.substring("seq", 1, 200)).cast("array<string>"), ",").alias("tokens"))
+    return ref.select("doc_id", F.array_join(fn.dna_tokens("seq").cast("array<string>"), ",").alias("tokens"))
 
 
 # The tokens of the whole sequence, as a digest.
