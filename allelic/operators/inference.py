@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,26 +13,55 @@ from ..functions.scalars import bin_key
 from ..sources import sinks
 from ..sources.reference import Reference
 from ..sources.scratch import stored
-from . import contexts as ctx, genome, scoring, tracks
+from . import blocks, genome, scoring, tracks
 
 SIGNALS = "row_id long, chrom string, bin_idx int, bin_start long, bin_end long, context_id long, context string, ref_signal double, alt_signal double"
 
 
-def predict(bins: DataFrame, contexts: DataFrame, predictor: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+KEYS = ["row_id", "chrom", "bin_idx", "bin_start", "bin_end"]
+
+
+def _in_blocks(bins: DataFrame, contexts: DataFrame, run: Callable, schema: str, block: int, held: int) -> DataFrame:
+    """What ``run`` makes of each batch of bins with each block of contexts (a table and the number of its first
+    line in the catalogue), inside the tasks: no bin is copied for a context on its way there. The catalogue is of
+    parameter size and travels with the task, at most ``held`` lines of it; a longer one is dealt in such parts."""
+    first = ["context_id", "context"]
+    catalogue = contexts.select(*first, *(c for c in contexts.columns if c not in first)).orderBy("context_id").toPandas()
+
+    def over(start: int) -> DataFrame:
+        part = catalogue.iloc[start : start + held]
+
+        def task(batches):
+            for pdf in batches:
+                for at in range(0, len(part) if len(pdf) else 0, block):
+                    yield from run(pdf, part.iloc[at : at + block], start + at)
+
+        return bins.mapInPandas(task, schema)
+
+    made = [over(start) for start in range(0, max(len(catalogue), 1), held)]
+    return reduce(DataFrame.unionByName, made)
+
+
+def predict(bins: DataFrame, contexts: DataFrame, predictor: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], block: int = 64, held: int = 65_536, lines: int = 65_536) -> DataFrame:
     """SIGNALS of every bin in every context.
 
     ``bins`` has row_id, chrom, bin_idx, bin_start, bin_end and what the predictor reads; restrict
     it to the effect region first, since Spark moves no filter through Python. ``predictor`` gets
-    a batch with the context columns and returns arrays of REF and ALT signals. It is pickled
-    once and may keep its weights in a closure.
+    at most about ``lines`` pairs of a bin and a context as a table, with the columns of both, and returns arrays
+    of REF and ALT signals. Pairs are made inside the task; ``predict_effects`` makes none. It is pickled
+    once and may keep its weights in a closure. No bins or no contexts give no rows.
     """
 
-    def run(batches):
-        for pdf in batches:
-            ref, alt = predictor(pdf)
-            yield pdf[["row_id", "chrom", "bin_idx", "bin_start", "bin_end", "context_id", "context"]].assign(ref_signal=np.asarray(ref, float), alt_signal=np.asarray(alt, float))
+    def run(pdf: pd.DataFrame, some: pd.DataFrame, _: int):
+        step = max(1, lines // len(some))
+        for at in range(0, len(pdf), step):
+            chunk = pdf.iloc[at : at + step]
+            pairs = chunk.iloc[np.repeat(np.arange(len(chunk)), len(some))].reset_index(drop=True)
+            pairs = pairs.assign(**{c: some[c].to_numpy()[np.tile(np.arange(len(some)), len(chunk))] for c in some.columns})
+            ref, alt = predictor(pairs)
+            yield pairs[[*KEYS, "context_id", "context"]].assign(ref_signal=np.asarray(ref, float), alt_signal=np.asarray(alt, float))
 
-    return ctx.query_grid(bins, contexts).mapInPandas(run, SIGNALS)
+    return _in_blocks(bins, contexts, run, SIGNALS, block, held)
 
 
 def bin_sequences(windows: DataFrame, window: int, edge: int, width: int) -> DataFrame:
@@ -59,6 +89,15 @@ def gc_block(bins: pd.DataFrame, contexts: pd.DataFrame) -> tuple[np.ndarray, np
     return np.multiply.outer(count(bins.ref_bin), scale), np.multiply.outer(count(bins.alt_bin), scale)
 
 
+def _row_sums(pdf: pd.DataFrame, some: pd.DataFrame, predictor) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The rows of a batch of bins and, as arrays of rows x contexts, the sums over their bins."""
+    pdf = pdf.sort_values("row_id", kind="stable")
+    rows, firsts = np.unique(pdf["row_id"].to_numpy(), return_index=True)
+    ref, alt = (np.asarray(x, float) for x in predictor(pdf, some))
+    of_bins = {"ref": ref, "alt": alt, "diff": alt - ref, "size": np.abs(alt - ref)}
+    return rows, {k: np.add.reduceat(x, firsts, axis=0) for k, x in of_bins.items()}
+
+
 SUMS = "row_id long, context_id long, context string, ref double, alt double, diff double, size double"
 
 
@@ -71,31 +110,44 @@ def predict_effects(bins: DataFrame, contexts: DataFrame, predictor=gc_block, sc
     catalogue of contexts travels with the task, at most ``held`` of them; a longer one is dealt in
     parts of that size. A null signal makes the sums of its row null; no contexts or no bins give no rows.
     """
-    catalogue = contexts.select("context_id", "context", *(c for c in contexts.columns if c not in ("context_id", "context"))).toPandas()
+    def run(pdf: pd.DataFrame, some: pd.DataFrame, _: int):
+        rows, sums = _row_sums(pdf, some, predictor)
+        names = {c: np.tile(some[c].to_numpy(), len(rows)) for c in ("context_id", "context")}
+        yield pd.DataFrame({"row_id": np.repeat(rows, len(some)), **names, **{k: x.ravel() for k, x in sums.items()}})
 
-    def over(part: pd.DataFrame) -> DataFrame:
-        def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                pdf = pdf.sort_values("row_id", kind="stable")
-                rows, firsts = np.unique(pdf["row_id"].to_numpy(), return_index=True)
-                for at in range(0, len(part), block):
-                    some = part.iloc[at : at + block]
-                    ref, alt = (np.asarray(x, float) for x in predictor(pdf, some))
-                    sums = [np.add.reduceat(x, firsts, axis=0).ravel() for x in (ref, alt, alt - ref, np.abs(alt - ref))]
-                    names = {c: np.tile(some[c].to_numpy(), len(rows)) for c in ("context_id", "context")}
-                    yield pd.DataFrame({"row_id": np.repeat(rows, len(some)), **names, "ref": sums[0], "alt": sums[1], "diff": sums[2], "size": sums[3]})
-
-        return bins.mapInPandas(run, SUMS)
-
-    parts = [over(catalogue.iloc[at : at + held]) for at in range(0, max(len(catalogue), 1), held)]
-    sums = parts[0]
-    for more in parts[1:]:
-        sums = sums.unionByName(more)
+    sums = _in_blocks(bins, contexts, run, SUMS, block, held)
     return scoring.score_sums(sums, scoring_mode, ("row_id", "context_id", "context"))
 
 
+BLOCK_SUMS = "row_id long, block int, ref array<double>, alt array<double>, diff array<double>, size array<double>"
+
+
+def predict_blocks(bins: DataFrame, contexts: DataFrame, predictor=None, scoring_mode: str = "signed_sum_abs", width: int = blocks.WIDTH, held: int = 65_536) -> DataFrame:
+    """The effects of ``predict_effects`` as blocks (row_id, block, values) of ``width`` contexts in the order of
+    ``blocks.positions``: no line for each row and context on the way. Parts of a row, of which there are at most as many
+    as it has bins, are added place by place."""
+    if held % width:
+        raise ValueError("held must be a multiple of width")
+
+    def run(pdf: pd.DataFrame, some: pd.DataFrame, start: int):
+        rows, sums = _row_sums(pdf, some, predictor or gc_block)
+        padded = {k: np.pad(x, ((0, 0), (0, width - len(some))), constant_values=np.nan) for k, x in sums.items()}
+        yield pd.DataFrame({"row_id": rows, "block": np.int32(start // width), **{k: list(x) for k, x in padded.items()}})
+
+    sums = _in_blocks(bins, contexts, run, BLOCK_SUMS, width, held)
+    names = ("ref", "alt", "diff", "size")
+    parts = sums.groupBy("row_id", "block").agg(F.collect_list(F.struct(*names)).alias("parts"))
+
+    def add(a, b):
+        return F.struct(*(F.zip_with(a[n], b[n], lambda x, y: x + y).alias(n) for n in names))
+
+    total = F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0], add)
+    place = F.arrays_zip(*(F.col(f"total.{n}").alias(n) for n in names))
+    effect = scoring.effect_of_sums(scoring_mode)
+    whole = parts.select("row_id", "block", total.alias("total")).select("row_id", "block", F.transform(place, effect).alias("values"))
+    return whole.withColumn("values", blocks.without_nan("values"))
+
+
 def infer_effects(variants: DataFrame, reference: DataFrame | Reference, contigs: DataFrame | None, contexts: DataFrame, predictor=gc_block, scoring_mode: str = "signed_sum_abs", window: int = 196_608, edge: int = tracks.EDGE, width: int = tracks.BIN, regions: DataFrame | None = None, **options) -> DataFrame:
     """One effect for each input row and context; ``regions`` (row_id, effect_start, effect_end) limits the bins.
     ``predictor`` is that of ``predict_effects``."""
@@ -185,21 +237,62 @@ def head_predictor(weights: dict, activation: str = "gelu", layer_norm: bool = F
     }
     act = acts[activation]
 
-    def forward(features: np.ndarray, vector: np.ndarray) -> np.ndarray:
-        genome_part = act(features @ weights["genome_w"].T + weights["genome_b"])
-        if stage == "genome":
-            return genome_part
-        x = None
-        for n, (w, b) in enumerate(weights["layers"]):
-            # The first layer meets the context and the genome part one after the other.
-            x = x @ w.T + b if n else vector @ w[:, : vector.shape[1]].T + genome_part @ w[:, vector.shape[1] :].T + b
+    # Dense layers; the last one is linear. The first meets the context and the genome part one after the other.
+    dense = [*weights["layers"], (weights["out_w"], weights["out_b"])]
+    width = weights["genome_w"].shape[0]
+    first_w, first_b = dense[0]
+
+    def genome_part(features: np.ndarray) -> np.ndarray:
+        return act(features @ weights["genome_w"].T + weights["genome_b"])
+
+    def of_genome(part: np.ndarray) -> np.ndarray:
+        return part @ first_w[:, -width:].T
+
+    def of_context(vector: np.ndarray) -> np.ndarray:
+        return vector @ first_w[:, :-width].T + first_b
+
+    def finish(x: np.ndarray) -> np.ndarray:
+        for n, (w, b) in enumerate(dense):
+            x = x @ w.T + b if n else x
+            if n == len(dense) - 1:
+                return np.maximum(x, 0) if relu_out else x
             if layer_norm:
-                x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)
+                x = (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + 1e-5)
             x = act(x)
             if stage == n:
                 return x
-        x = np.concatenate([vector, genome_part], axis=1) if x is None else x
-        x = x @ weights["out_w"].T + weights["out_b"]
-        return np.maximum(x, 0) if relu_out else x
 
+    def forward(features: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        part = genome_part(features)
+        return part if stage == "genome" else finish(of_context(vector) + of_genome(part))
+
+    def pairs(features: np.ndarray, vectors: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
+        """Bins x contexts of the output: the first layer's products are made once for a bin and once for a context."""
+        left, right = of_genome(genome_part(features)), of_context(vectors)
+        step = max(1, cells // max(1, right.shape[0] * max(w.shape[0] for w, _ in dense)))
+        made = [finish(left[at : at + step, None, :] + right[None, :, :])[..., 0] for at in range(0, len(left), step)]
+        return np.concatenate(made) if made else np.zeros((0, len(right)))
+
+    forward.pairs = pairs
     return forward
+
+
+def head_block(weights: dict, **options):
+    """A predictor for ``predict_effects`` and ``predict_blocks`` from the weights of a context head.
+
+    Bins have the arrays ref_features and alt_features, contexts the array ``vector`` (``with_context_vectors``);
+    a null array gives null signals.
+    """
+    forward = head_predictor(weights, **options)
+
+    def arrays(column: pd.Series, size: int) -> np.ndarray:
+        made = [np.full(size, np.nan) if x is None else np.asarray(x, float) for x in column]
+        return np.stack(made) if made else np.zeros((0, size))
+
+    def block(bins: pd.DataFrame, contexts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        n = weights["genome_w"].shape[1]
+        first_w = weights["layers"][0][0] if weights["layers"] else weights["out_w"]
+        vectors = arrays(contexts["vector"], first_w.shape[1] - weights["genome_w"].shape[0])
+        return forward.pairs(arrays(bins["ref_features"], n), vectors), forward.pairs(arrays(bins["alt_features"], n), vectors)
+
+    return block

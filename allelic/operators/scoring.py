@@ -27,16 +27,20 @@ def score_effects(signals: DataFrame, mode: str = "signed_sum_abs", keys: tuple[
     return signals.groupBy(*keys).agg(effect.alias("effect"))
 
 
-def score_sums(sums: DataFrame, mode: str = "signed_sum_abs", keys: tuple[str, ...] = ("row_id", "context")) -> DataFrame:
-    """The same from sums over some of the bins: of the REF signals, the ALT signals, their differences and the sizes of these."""
+def effect_of_sums(mode: str = "signed_sum_abs"):
+    """The effect from a struct of sums: ref, alt, diff and size."""
     if mode not in MODES:
         raise ValueError(f"unknown scoring mode {mode!r}; one of {', '.join(MODES)}")
-    ref, alt = F.sum("ref"), F.sum("alt")
-    effect = {
-        "signed_sum_abs": F.sum("size") * F.signum(F.sum("diff")),
-        "sum_diff": alt - ref,
-        "log_ratio": F.log2(alt / F.nullif(ref, F.lit(0.0)) + 1),
+    return {
+        "signed_sum_abs": lambda s: s["size"] * F.signum(s["diff"]),
+        "sum_diff": lambda s: s["alt"] - s["ref"],
+        "log_ratio": lambda s: F.log2(s["alt"] / F.nullif(s["ref"], F.lit(0.0)) + 1),
     }[MODES[mode]]
+
+
+def score_sums(sums: DataFrame, mode: str = "signed_sum_abs", keys: tuple[str, ...] = ("row_id", "context")) -> DataFrame:
+    """The same from sums over some of the bins: of the REF signals, the ALT signals, their differences and the sizes of these."""
+    effect = effect_of_sums(mode)({c: F.sum(c) for c in ("ref", "alt", "diff", "size")})
     return sums.groupBy(*keys).agg(effect.alias("effect"))
 
 

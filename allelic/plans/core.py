@@ -28,7 +28,8 @@ STATS = JOINED + ", st AS (SELECT locus_id, context_id, avg(abs(effect)) AS m, s
 
 def rounded(c):
     """To nine places, and never a negative zero: both engines then agree."""
-    return F.when(F.abs(c) < 1e-9, F.lit(0.0)).otherwise(F.round(c, 9)).alias(c)
+    made = F.when(F.abs(c) < 1e-9, F.lit(0.0)).otherwise(F.round(c, 9))
+    return made.alias(c) if isinstance(c, str) else made
 
 
 def label(gwas):
@@ -343,10 +344,11 @@ def agg_matrix_unpivot_full(effects, ctx):
     return scoring.from_matrix(scoring.to_matrix(matrix_rows(effects), cells, assays), assays)
 
 
-@query(
-    "fx_effects", more=MATRIX + ", t AS (SELECT *, max(effect) OVER (PARTITION BY row_id, assay) AS top FROM m), s AS (SELECT *, effect / CASE WHEN top < 0.6 THEN 1e0 ELSE top END AS sc FROM t)",
-    sql="SELECT row_id, celltype, assay, round(CASE WHEN contains(assay, 'RNA-seq') THEN sc * sc ELSE sc END, 10) AS normed FROM s",
-)
+MATRIX_TOPS = MATRIX + ", t AS (SELECT *, max(effect) OVER (PARTITION BY row_id, assay) AS top FROM m), s AS (SELECT *, effect / CASE WHEN top < 0.6 THEN 1e0 ELSE top END AS sc FROM t)"
+MATRIX_NORMED = "SELECT row_id, celltype, assay, round(CASE WHEN contains(assay, 'RNA-seq') THEN sc * sc ELSE sc END, 10) AS normed FROM s"
+
+
+@query("fx_effects", more=MATRIX_TOPS, sql=MATRIX_NORMED)
 def win_norm_effects(effects):
     return scoring.normalise_effects(matrix_rows(effects)).select("row_id", "celltype", "assay", F.round("normed", 10).alias("normed"))
 
@@ -424,6 +426,11 @@ def win_point_order(gwas):
     return intervals.order_points(label(gwas)).select("variant_id", "locus_id", "var_label", "point_order")
 
 
+@query("fx_gwas", more=LABELLED, sql="SELECT variant_id, locus_id, var_label, CAST(row_number() OVER (PARTITION BY locus_id ORDER BY p_value DESC NULLS LAST, variant_id, var_label) AS INTEGER) AS point_order FROM labels")
+def win_point_order_value(gwas):
+    return intervals.order_points(label(gwas), "value", reverse=True).select("variant_id", "locus_id", "var_label", "point_order")
+
+
 @query(
     "fx_gtf", "fx_windows",
     more="""i AS (SELECT w.locus_id AS win_id, g.start_pos - 1 AS start0, g.end_pos AS end0, g.feature, regexp_extract(attribute, 'gene_name "([^"]+)"', 1) AS gene_name, regexp_extract(attribute, 'gene_id "([^"]+)"', 1) AS gene_id

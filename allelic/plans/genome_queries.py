@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixtures import ctes, load
 from ..functions import scalars as fn
-from ..operators import genome, inference
+from ..operators import blocks, contexts, filters, genome, inference, stratify
 from ..sources import readers, reference, sinks
 from ..sources.scratch import scratch
-from .core import NORMED
+from .core import MATRIX_NORMED, MATRIX_TOPS, NORMED, STATS, rounded
 from .registry import ORACLES, QUERIES, query
 
 CHUNK = 128  # small, so that short contigs span several chunks
@@ -135,6 +136,91 @@ def pipe_infer_effects(variants, ref, ctx):
     return got.withColumn("effect", F.round("effect", 6))
 
 
+# A head of whole weights, given by rule: features in 64ths, three genome outputs, four hidden ones, one output.
+HEAD = {
+    "genome_w": np.array([[(i * 7 + j * 3) % 5 - 2.0 for j in range(64)] for i in range(3)]),
+    "genome_b": np.array([i - 1.0 for i in range(3)]),
+    "layers": [(np.array([[(i * 5 + j * 2) % 7 - 3.0 for j in range(6)] for i in range(4)]), np.array([float(i) for i in range(4)]))],
+    "out_w": np.array([[j % 3 - 1.0 + j // 2 for j in range(4)]]),
+    "out_b": np.array([2.0]),
+}
+
+
+def _sql_row(weights, terms, bias) -> str:
+    return " + ".join([f"{float(w)}e0 * {t}" for w, t in zip(weights, terms)] + [f"{float(bias)}e0"])
+
+
+def sql_head() -> str:
+    """The same head in SQL, unit by unit."""
+    genome_units = ", ".join(f"greatest(0e0, list_sum(list_transform(range(64), lambda j: x[j + 1] * (({i} * 7 + j * 3) % 5 - 2))) + {b}) AS g{i}" for i, b in enumerate(HEAD["genome_b"]))
+    w, b = HEAD["layers"][0]
+    terms = ["length(celltype)", "1", "length(assay)", "g0", "g1", "g2"]
+    hidden = ", ".join(f"greatest(0e0, {_sql_row(w[i], terms, b[i])}) AS h{i}" for i in range(4))
+    out = _sql_row(HEAD["out_w"][0], ["h0", "h1", "h2", "h3"], HEAD["out_b"][0])
+    return f"""
+f AS (SELECT row_id, bin_idx, list_transform(features, lambda v: floor(CAST(v AS DOUBLE) * 64)) AS r FROM fx_features),
+side AS (SELECT row_id, bin_idx, 'ref' AS side, r AS x FROM f UNION ALL SELECT row_id, bin_idx, 'alt', list_reverse(r) FROM f),
+gen AS (SELECT row_id, bin_idx, side, {genome_units} FROM side),
+hid AS (SELECT row_id, bin_idx, side, context_id, context, {hidden} FROM gen CROSS JOIN fx_contexts),
+outs AS (SELECT *, greatest(0e0, {out}) AS y FROM hid),
+sums AS (SELECT row_id, bin_idx, context_id, context, sum(CASE WHEN side = 'alt' THEN y ELSE -y END) AS d FROM outs GROUP BY row_id, bin_idx, context_id, context)"""
+
+
+HEAD_EFFECTS = "SELECT row_id, context_id, context, sum(abs(d)) * sign(sum(d)) AS effect FROM sums GROUP BY row_id, context_id, context"
+
+
+def head_inputs(features, ctx):
+    ref = F.transform("features", lambda v: F.floor(v.cast("double") * 64).cast("double"))
+    bins = features.select("row_id", "bin_idx", ref.alias("ref_features"), F.reverse(ref).alias("alt_features"))
+    cells = ctx.select(F.col("celltype").alias("name")).distinct().withColumn("vector", F.array(F.length("name").cast("double"), F.lit(1.0)))
+    assays = ctx.select(F.col("assay").alias("name")).distinct().withColumn("vector", F.array(F.length("name").cast("double")))
+    return bins, contexts.with_context_vectors(ctx, cells, assays)
+
+
+@query("fx_features", "fx_contexts", more=sql_head(), sql=HEAD_EFFECTS)
+def inf_head(features, ctx):
+    return inference.predict_effects(*head_inputs(features, ctx), inference.head_block(HEAD, activation="relu"))
+
+
+# The same effects as blocks of seven contexts, made long again.
+@query("fx_features", "fx_contexts", more=sql_head(), sql=HEAD_EFFECTS)
+def inf_head_blocks(features, ctx):
+    bins, catalogue = head_inputs(features, ctx)
+    made = inference.predict_blocks(bins, catalogue, inference.head_block(HEAD, activation="relu"), width=7, held=14)
+    return blocks.from_blocks(made, ctx, width=7)
+
+
+# --- effect matrices in blocks ---------------------------------------------------------------------
+
+
+def in_blocks(effects, ctx, *keys, width=8):
+    return blocks.to_blocks(effects.withColumnRenamed("variant_id", "row_id"), ctx, ("row_id", *keys), width=width)
+
+
+@query("fx_effects", "fx_contexts", more=MATRIX_TOPS, sql=MATRIX_NORMED)
+def blk_norm_effects(effects, ctx):
+    normed = blocks.from_blocks(blocks.normalise_blocks(in_blocks(effects, ctx), ctx, width=8), ctx, value="normed", width=8)
+    return normed.join(ctx.select("context_id", "celltype", "assay"), "context_id").select("row_id", "celltype", "assay", F.round("normed", 10).alias("normed"))
+
+
+@query("fx_gwas", "fx_effects", "fx_contexts", more=STATS, sql="SELECT locus_id, context_id, round(m, 9) AS bg_mean, round(sd, 6) AS bg_std, n AS bg_n, CASE WHEN abs(ms) < 1e-9 THEN 0e0 ELSE round(ms, 9) END AS bg_signed FROM st")
+def blk_background(gwas, effects, ctx):
+    background = filters.selected(stratify.stratify(gwas)).filter("var_label = 'background'").select(F.col("variant_id").alias("row_id"))
+    table = in_blocks(effects, ctx, "locus_id").join(background, "row_id")
+    made = blocks.background_blocks(table)
+    cells = made.select("locus_id", "block", F.arrays_zip("bg_n", "bg_mean", "bg_std", "bg_signed").alias("cells")).select("locus_id", "block", F.posexplode("cells").alias("at", "c"))
+    met = cells.withColumn("pos", F.col("block") * 8 + F.col("at")).filter("c.bg_n > 0").join(blocks.positions(ctx), "pos")
+    return met.select("locus_id", "context_id", F.round("c.bg_mean", 9).alias("bg_mean"), F.round("c.bg_std", 6).alias("bg_std"), "c.bg_n", rounded(F.col("c.bg_signed")).alias("bg_signed"))
+
+
+@query("fx_effects", "fx_contexts", sql="SELECT variant_id AS row_id, context_id, context, round(effect, 6) AS effect FROM fx_effects")
+def src_matrix_blocks(effects, ctx):
+    """Written wide from blocks, read as blocks of another width."""
+    spark = effects.sparkSession
+    path = blocks.write_blocks(in_blocks(effects, ctx), ctx, scratch(spark, "blocks"), "context_effects", width=8)
+    return blocks.from_blocks(blocks.read_blocks(spark, path, ctx, width=6), ctx, width=6).withColumn("effect", F.round("effect", 6))
+
+
 # --- sources: written as text from the tables, then read ------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from allelic.fixtures import load
 from allelic.functions import scalars as fn
-from allelic.operators import bootstrap, contexts, evaluate, filters, genome, impact, inference, intervals, scoring, stratify, tracks
+from allelic.operators import blocks, bootstrap, contexts, evaluate, filters, genome, impact, inference, intervals, scoring, stratify, tracks
 from allelic.plans import core, genome_queries, registry
 from allelic.plans.queries import full_queries
 from allelic.sources import readers, sinks
@@ -572,3 +572,137 @@ def test_first_of_a_hot_locus(spark):
     assert got == want
     twice = stratify.mark_candidates(df.union(df), stratify.Cuts(n_top=40)).filter("is_candidate")
     assert twice.count() == 80
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges as small as these tables stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_points_and_lanes_of_a_hot_locus(spark, small_ranges):
+    """One locus with most rows is numbered in ranges, and equals a plain scan; ties and nulls too."""
+    data = [(i, 0 if i % 10 else None, ["a", "b", None][i * i % 3], None if i % 17 == 0 else (i * 7919 % 101) / 101) for i in range(4000)]
+    df = spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, p_value double")
+    for by, reverse in (("frequency", False), ("frequency", True), ("value", False), ("value", True)):
+        got = {r.variant_id: r.point_order for r in intervals.order_points(df, by, reverse=reverse).collect()}
+        want = {}
+        for locus in (0, None):
+            own = [r for r in data if r[1] == locus]
+            freq = {x: sum(r[2] == x for r in own) for x in ("a", "b", None)}
+            low = lambda x: (x is not None, x or "")
+            if by == "frequency":
+                own.sort(key=lambda r: (freq[r[2]] * (1 if reverse else -1), low(r[2]), r[0]))
+            elif reverse:
+                own.sort(key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+            else:
+                own.sort(key=lambda r: (r[3] is not None, r[3] or 0, r[0]))
+            want |= {r[0]: n for n, r in enumerate(own, 1)}
+        assert got == want
+    ranges = intervals._in_ranges(df, "locus_id", F.asc("variant_id"))
+    assert ranges.filter("locus_id = 0").select("__part").distinct().count() > 1
+    assert intervals.order_points(df.limit(0)).count() == 0
+
+    genes = [(0 if i % 10 else 1, i // 3, i // 3 + 5, ["gene", "exon", None][i % 7 % 3], ["A", "B", None, "C"][i // 5 % 4], f"g{i:05}") for i in range(3000)]
+    df = spark.createDataFrame(genes, "win_id long, start0 long, end0 long, feature string, gene_name string, gene_id string")
+    got = {(r.win_id, r.gene_id): r.lane for r in intervals.annotation_lanes(df).collect()}
+    for win in (0, 1):
+        own = sorted((r for r in genes if r[0] == win), key=lambda r: (r[1], r[2], r[4] is not None, r[4] or "", r[5]))
+        last, lane = None, 0
+        for r in own:
+            lane += last is None or r[3] == "gene" or (r[4] is not None and last != r[4])
+            last = r[4]
+            assert got[win, r[5]] == lane
+    assert intervals.annotation_lanes(df.limit(0)).count() == 0
+
+
+def test_tracks_are_aligned_by_one_join(spark):
+    schema = "row_id long, bin_idx int, context string, ref_signal double, extra string"
+    ref = spark.createDataFrame([(1, 0, "a", 1.0, "r"), (1, 1, "a", None, "r"), (1, 1, None, 5.0, "r"), (2, 0, "a", 3.0, "r")], schema)
+    alt = spark.createDataFrame([(1, 0, "a", 2.0, "q"), (1, 1, "a", 4.0, None), (1, 1, None, 5.0, "q"), (3, 0, "b", 3.0, "q")], schema.replace("ref_signal", "alt_signal"))
+    both, lone = tracks.align_tracks(ref, alt)
+    assert rows(both, "row_id", "bin_idx", "ref_signal", "alt_signal", "extra", "alt_extra") == [(1, 0, 1.0, 2.0, "r", "q"), (1, 1, None, 4.0, "r", None)]
+    assert lone.first()[0] == 4
+    assert tracks.align_tracks(ref.limit(0), alt)[1].first()[0] == 4
+
+
+def test_head_meets_contexts_once(spark):
+    """Pairs of bins and contexts through the split first layer equal the head on each pair; nulls give null."""
+    rng = np.random.default_rng(5)
+    w = {"genome_w": rng.normal(size=(3, 4)), "genome_b": rng.normal(size=3), "layers": [(rng.normal(size=(5, 5)), rng.normal(size=5)), (rng.normal(size=(2, 5)), rng.normal(size=2))], "out_w": rng.normal(size=(1, 2)), "out_b": np.ones(1)}
+    x, v = rng.normal(size=(7, 4)), rng.normal(size=(3, 2))
+    for options in ({}, {"layer_norm": True}, {"activation": "relu", "relu_out": False}):
+        for weights in (w, w | {"layers": [], "out_w": rng.normal(size=(1, 5))}):
+            head = inference.head_predictor(weights, **options)
+            want = head(np.repeat(x, 3, axis=0), np.tile(v, (7, 1))).reshape(7, 3)
+            for cells in (1, 20, 1 << 20):
+                assert np.allclose(head.pairs(x, v, cells), want)
+    bins = spark.createDataFrame([(r, b, [float(z) for z in x[r]], None if r == 2 else [float(z) for z in x[b]]) for r in range(4) for b in range(3)], "row_id long, bin_idx int, ref_features array<double>, alt_features array<double>")
+    ctx = spark.createDataFrame([(i, f"c{i}", [float(z) for z in v[i]]) for i in range(3)], "context_id long, context string, vector array<double>")
+    made = {(r.row_id, r.context_id): r.effect for r in inference.predict_effects(bins.repartition(3), ctx, inference.head_block(w), "sum_diff").collect()}
+    head = inference.head_predictor(w)
+    for r in range(4):
+        for c in range(3):
+            want = None if r == 2 else sum(float(head(x[b : b + 1], v[c : c + 1])[0, 0] - head(x[r : r + 1], v[c : c + 1])[0, 0]) for b in range(3))
+            assert (made[r, c] is None) == (want is None) and (want is None or abs(made[r, c] - want) < 1e-9)
+    for width, held in ((2, 2), (2, 4), (8, 8)):
+        table = inference.predict_blocks(bins.repartition(5), ctx, inference.head_block(w), "sum_diff", width, held)
+        long = blocks.from_blocks(table, ctx, width=width)
+        assert {(r.row_id, r.context_id): round(r.effect, 9) for r in long.collect()} == {k: round(e, 9) for k, e in made.items() if e is not None}
+
+
+def test_predict_makes_no_cross_join(spark):
+    bins = spark.createDataFrame([(1, "c", 0, 0, 4, "GGCC", "AAAA")] * 3, "row_id long, chrom string, bin_idx int, bin_start long, bin_end long, ref_bin string, alt_bin string")
+    ctx = spark.createDataFrame([(i, f"x{i}") for i in range(5)], "context_id long, context string")
+    made = inference.predict(bins, ctx, inference.gc_predictor, block=2, held=4, lines=3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert made.count() == 15 and inference.predict(bins.limit(0), ctx, inference.gc_predictor).count() == 0
+    assert inference.predict(bins, ctx.limit(0), inference.gc_predictor).count() == 0
+
+
+def test_blocks(spark, tmp_path):
+    """Blocks hold what long rows hold: nulls, repeated cells, unknown contexts, gaps; kernels equal the long ones."""
+    ctx = spark.createDataFrame([(i * 3, f"k{i % 4}---a{i // 4} RNA-seq" if i // 4 else f"k{i % 4}---b", f"k{i % 4}", f"a{i // 4} RNA-seq" if i // 4 else "b") for i in range(11)], "context_id long, context string, celltype string, assay string")
+    names = [(r.context_id, r.context) for r in ctx.orderBy("context_id").collect()]
+    data = [(row, name, ((row * 31 + i * 7) % 19 - 9) / 8 if (row + i) % 5 else None) for row in range(60) for i, (_, name) in enumerate(names) if (row * i) % 7 != 3]
+    long = spark.createDataFrame(data + [(0, names[0][1], -99.0), (0, "unknown", 1.0), (7, None, 1.0)], "row_id long, context string, effect double")
+    kept = sorted((r, n, e) for r, n, e in data if e is not None)
+    if not any(d[:2] == (0, names[0][1]) and d[2] is not None for d in data):
+        kept = sorted([*kept, (0, names[0][1], -99.0)])
+    for width in (1, 4, 64):
+        table = blocks.to_blocks(long, ctx, width=width)
+        assert sorted(map(tuple, blocks.from_blocks(table, ctx, width=width).select("row_id", "context", "effect").collect())) == kept
+        path = blocks.write_blocks(table, ctx, str(tmp_path / f"m{width}"), "x", width)
+        again = blocks.read_blocks(spark, path, ctx, 3)
+        assert sorted(map(tuple, blocks.from_blocks(again, ctx, width=3).select("row_id", "context", "effect").collect())) == kept
+        plain = spark.createDataFrame(kept, "row_id long, context string, effect double").join(ctx, "context")
+        want = {(r.row_id, r.context): round(r.normed, 9) for r in scoring.normalise_effects(plain).collect()}
+        got = blocks.from_blocks(blocks.normalise_blocks(table, ctx, width=width), ctx, value="normed", width=width)
+        assert {(r.row_id, r.context): round(r.normed, 9) for r in got.collect()} == want
+        assert blocks.to_blocks(long.limit(0), ctx, width=width).count() == 0
+    narrow = ctx.filter("context_id < 9")  # a catalogue without some of the file's columns, and one with more
+    assert blocks.from_blocks(blocks.read_blocks(spark, path, narrow, 2), narrow, width=2).count() == sum(n in {c for i, c in names if i < 9} for _, n, _ in kept)
+    wide = ctx.unionByName(spark.createDataFrame([(1, "new", "n", "e")], ctx.schema))
+    assert sorted(map(tuple, blocks.from_blocks(blocks.read_blocks(spark, path, wide, 4), wide, width=4).select("row_id", "context", "effect").collect())) == kept
+
+
+def test_background_of_a_hot_locus_in_blocks(spark):
+    """Merged moments equal those of long rows, for any parts, also far from zero; places without values are null."""
+    ctx = spark.createDataFrame([(i, f"c{i}") for i in range(5)], "context_id long, context string")
+    data = [(r, 0 if r % 9 else r, f"c{c}", 1e6 + (r * 37 + c) % 11 / 7 * (-1) ** (r % 2 * c)) for r in range(900) for c in range(4) if (r + c) % 6]
+    long = spark.createDataFrame(data, "row_id long, locus_id long, context string, effect double").repartition(6)
+    table = blocks.to_blocks(long, ctx, ("row_id", "locus_id"), width=2)
+    made = blocks.background_blocks(table, parts=3, groups=2)
+    got = {(r.locus_id, r.block * 2 + i): (n, m, s, e) for r in made.collect() for i, (n, m, s, e) in enumerate(zip(r.bg_n, r.bg_mean, r.bg_std, r.bg_signed))}
+    groups: dict = {}
+    for _, locus, c, e in data:
+        groups.setdefault((locus, int(c[1:])), []).append(e)
+    assert {k for k, v in got.items() if v[0]} == set(groups)
+    for k, xs in groups.items():
+        n, mean, std, signed = got[k]
+        assert n == len(xs) and abs(mean - np.mean(np.abs(xs))) < 1e-6 and abs(std - np.std(np.abs(xs))) < 1e-7 and abs(signed - np.mean(xs)) < 1e-6
+    assert all(v == (0, None, None, None) for k, v in got.items() if k not in groups)
+    assert blocks.background_blocks(table.limit(0)).count() == 0
