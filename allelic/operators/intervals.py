@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..sources.scratch import stored
 
 BIN = 131_072
 LEVELS = 5  # bins of 2^17, 2^21, 2^25, 2^29 and 2^33 bases
@@ -50,20 +52,54 @@ def overlap_join(intervals: DataFrame, windows: DataFrame, width: int = BIN, lev
     return met.filter(overlaps & first).drop("__at", "__bin", "__salt")
 
 
+def _in_ranges(df: DataFrame, by: str, *order: Column) -> DataFrame:
+    """``df`` with ``__part``: numbers that rise with ``order`` within ``by``. A group of any size lies in as many parts as its
+    share of all rows asks for; the table is written, as a second run of the sort might draw other bounds."""
+    ranged = df.repartitionByRange(F.asc(by), *order).withColumn("__part", F.spark_partition_id())
+    return stored(ranged, "ranges")
+
+
 def annotation_lanes(intervals: DataFrame, by: str = "win_id") -> DataFrame:
-    """Adds ``lane``: each gene takes the next lane, rows of one gene name in succession share one."""
-    order = W.partitionBy(by).orderBy("start0", "end0", "gene_name", "gene_id")
-    last = F.lag("gene_name").over(order)
-    new = (last.isNull() | (last != F.col("gene_name")) | (F.col("feature") == "gene")).cast("int")
-    return intervals.withColumn("__new", new).withColumn("lane", F.sum("__new").over(order).cast("long")).drop("__new")
+    """Adds ``lane``: each gene takes the next lane, rows of one gene name in succession share one.
+
+    A window's rows are dealt in ranges; each is scanned by itself, and what a range takes over from those before it, their
+    number of lanes and the last gene's name, comes from one line for each range. A null window is one of its own.
+    """
+    order = [F.asc(c) for c in ("start0", "end0", "gene_name", "gene_id")]
+    parts = _in_ranges(intervals, by, *order)
+    within = W.partitionBy(by, "__part").orderBy(*order)
+    starts = lambda last: (last.isNull() | (last != F.col("gene_name")) | (F.col("feature") == "gene")).cast("int")
+    scanned = parts.withColumn("__at", F.row_number().over(within))
+    # The first row of a range waits for the range before it.
+    scanned = scanned.withColumn("__sum", F.sum(F.when(F.col("__at") > 1, starts(F.lag("gene_name").over(within)))).over(within.rowsBetween(W.unboundedPreceding, 0)))
+    ends = scanned.groupBy(by, "__part").agg(
+        F.max("__sum").alias("__own"), F.max_by("gene_name", "__at").alias("__last"), F.min_by("gene_name", "__at").alias("gene_name"), F.min_by("feature", "__at").alias("feature")
+    )
+    ranges = W.partitionBy(by).orderBy("__part")
+    ends = ends.withColumn("__first", F.coalesce(starts(F.lag("__last").over(ranges)), F.lit(0)))
+    ends = ends.withColumn("__total", F.sum(F.col("__first") + F.coalesce("__own", F.lit(0))).over(ranges.rowsBetween(W.unboundedPreceding, 0)))
+    ends = ends.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), (F.col("__total") - F.coalesce("__own", F.lit(0))).alias("__carried"))
+    met = scanned.join(ends, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    lane = F.col("__carried") + F.coalesce("__sum", F.lit(0))
+    return met.withColumn("lane", lane.cast("long")).drop("__part", "__at", "__sum", "__by", "__p", "__carried")
 
 
 def order_points(df: DataFrame, by: str = "frequency", label: str = "var_label", value: str = "p_value", reverse: bool = False) -> DataFrame:
-    """Adds ``point_order`` within each locus: by frequency of the label, or by the value."""
+    """Adds ``point_order`` within each locus: by frequency of the label, or by the value.
+
+    A locus is dealt in ranges, which are numbered by themselves and begin after the count of those before them. By frequency, rows
+    with a null label stand with their own count.
+    """
     if by == "frequency":
-        counts = df.groupBy("locus_id", label).agg(F.count("*").alias("__freq"))
-        df = df.join(counts, ["locus_id", label])
+        counts = df.groupBy(F.col("locus_id").alias("__locus"), F.col(label).alias("__label")).agg(F.count("*").alias("__freq"))
+        df = df.join(counts, F.col("locus_id").eqNullSafe(F.col("__locus")) & F.col(label).eqNullSafe(F.col("__label"))).drop("__locus", "__label")
         keys = [F.asc("__freq") if reverse else F.desc("__freq"), F.asc(label), F.asc("variant_id")]
     else:
         keys = [F.desc(value) if reverse else F.asc(value), F.asc("variant_id"), F.asc(label)]
-    return df.withColumn("point_order", F.row_number().over(W.partitionBy("locus_id").orderBy(*keys))).drop("__freq")
+    parts = _in_ranges(df, "locus_id", *keys)
+    sizes = parts.groupBy(F.col("locus_id").alias("__locus"), F.col("__part").alias("__p")).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(W.partitionBy("__locus").orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0)))
+    met = parts.join(sizes, F.col("locus_id").eqNullSafe(F.col("__locus")) & (F.col("__part") == F.col("__p")))
+    own = F.row_number().over(W.partitionBy("locus_id", "__part").orderBy(*keys))
+    return met.withColumn("point_order", (F.col("__before") + own).cast("int")).drop("__freq", "__part", "__locus", "__p", "__size", "__before")

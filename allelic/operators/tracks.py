@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..sources.scratch import stored
+
 BIN = 128
 EDGE = 40_960
 MIDDLE = 114_688
 
 
 def align_tracks(ref: DataFrame, alt: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of both tracks on equal (row_id, bin_idx, context), and the count of rows on one side only."""
+    """Rows of both tracks on equal (row_id, bin_idx, context), and the count of rows on one side only.
+
+    The tracks are joined once, into a table in the shared folder that both results read. A column of ``alt`` whose name
+    ``ref`` has too is renamed to ``alt_NAME``. Rows with a null key are on one side only.
+    """
     keys = ["row_id", "bin_idx", "context"]
-    both = ref.withColumn("in_ref", F.lit(1)).join(alt.withColumn("in_alt", F.lit(1)), keys, "full")
-    lone = both.agg(F.coalesce(F.sum((F.col("in_ref").isNull() | F.col("in_alt").isNull()).cast("long")), F.lit(0)).alias("n_unaligned"))
-    return ref.join(alt, keys), lone
+    alt = alt.withColumnsRenamed({c: f"alt_{c}" for c in alt.columns if c in ref.columns and c not in keys})
+    both = stored(ref.withColumn("__in_ref", F.lit(True)).join(alt.withColumn("__in_alt", F.lit(True)), keys, "full"), "aligned")
+    aligned = F.col("__in_ref").isNotNull() & F.col("__in_alt").isNotNull()
+    lone = both.agg(F.count(F.when(~aligned, 1)).alias("n_unaligned"))
+    return both.filter(aligned).drop("__in_ref", "__in_alt"), lone
 
 
 def restrict_to_region(signals: DataFrame, variants: DataFrame) -> DataFrame:
