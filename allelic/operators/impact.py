@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import gtf_attribute, neg_log10, tss
+from ..sources import sinks
 from ..sources.scratch import stored
 from . import bootstrap, intervals, scoring, stratify
 from .filters import selected
@@ -83,6 +84,29 @@ def impact_map(gwas: DataFrame, effects: DataFrame, params: Params = Params()) -
     return impact_calls(test_calls(labelled, params))
 
 
+# The names of the written matrices, with the value of each.
+OUTPUTS = {"boot_pvals": "p_value", "boot_counts": "n_nonsig", "sig_effects": "is_sig", "fold_changes": "fold_change"}
+
+
+def write_impact(gwas: DataFrame, effects: DataFrame, prefix: str, params: Params = Params()) -> dict[str, str]:
+    """Writes every table of an impact map as TSV under its name and returns the paths by name.
+
+    ``stratified_gwas_stats`` and ``impact_calls`` are tables, ``var_context_effects`` has a row for each variant of ``effects``, and the
+    matrices of ``OUTPUTS`` have one for each labelled variant, named ``locus:variant:label``, as a variant may have two
+    labels; all have a column for each context. Labels and calls are made once, in the shared folder.
+    """
+    labels = stored(stratify.stratify(gwas, params.cuts), "labels")
+    calls = stored(test_calls(scoring.label_effects(selected(labels), effects), params), "calls")
+    paths = {name: f"{prefix}.{name}" for name in ("stratified_gwas_stats", "impact_calls")}
+    sinks.write_table(labels, paths["stratified_gwas_stats"], "tsv")
+    sinks.write_table(impact_calls(calls), paths["impact_calls"], "tsv")
+    paths["var_context_effects"] = sinks.write_matrix(effects, prefix, "var_context_effects", "effect", row="variant_id")
+    rows = calls.withColumn("variant", F.concat_ws(":", F.col("locus_id").cast("string"), F.col("variant_id").cast("string"), "var_label"))
+    for name, value in OUTPUTS.items():
+        paths[name] = sinks.write_matrix(rows, prefix, name, value, row="variant")
+    return paths
+
+
 def volcano_table(calls: DataFrame, label: str, p_cut: float = 0.05, fc_cut: float = 0.0) -> DataFrame:
     """Effects of one label with -log10 p and the class up, down or none."""
     sig = F.coalesce((F.col("p_value") < p_cut) & (F.abs("fold_change") > fc_cut), F.lit(False))

@@ -570,6 +570,35 @@ def call_volcano(gwas, effects, params=PARAMS):
     return t.withColumn("fold_change", rounded("fold_change")).withColumn("neg_log10_p", F.round("neg_log10_p", 9))
 
 
+# Every table of an impact map, written under its name and read back.
+_WRITTEN = {"boot_pvals": "p_value", "boot_counts": "CAST(n_nonsig AS DOUBLE)", "sig_effects": "CASE WHEN is_sig THEN 1e0 ELSE 0e0 END", "fold_changes": "CASE WHEN abs(fold_change) < 1e-9 THEN 0e0 ELSE round(fold_change, 9) END"}
+_WRITTEN_SQL = [f"SELECT '{name}' AS output, concat_ws(':', locus_id, variant_id, var_label) AS name, context, {value} AS value FROM sg" for name, value in _WRITTEN.items()]
+_WRITTEN_SQL += [
+    "SELECT 'var_context_effects', CAST(variant_id AS VARCHAR), context, round(effect, 9) FROM fx_effects",
+    "SELECT 'impact_calls', concat_ws(':', locus_id, variant_id, var_label), CAST(n_sig_effects > 0 AS VARCHAR), CAST(n_sig_effects AS DOUBLE) FROM ic",
+    "SELECT 'stratified_gwas_stats', concat_ws(':', locus_id, variant_id, var_label), chromosome, p_value FROM labels",
+]
+
+
+@query("fx_gwas", "fx_effects", more=BOOT, sql=" UNION ALL ".join(_WRITTEN_SQL))
+def imp_outputs(gwas, effects):
+    from ..sources import readers, scratch
+
+    spark = gwas.sparkSession
+    paths = impact.write_impact(gwas, effects, scratch.scratch(spark, "impact"), PARAMS)
+    columns = lambda output, name, context, value: (F.lit(output).alias("output"), F.col(name).cast("string").alias("name"), F.col(context).cast("string").alias("context"), value.cast("double").alias("value"))
+    key = F.concat_ws(":", "locus_id", "variant_id", "var_label")
+    tables = {name: spark.read.csv(paths[name], sep="\t", header=True).withColumn("name", key) for name in ("impact_calls", "stratified_gwas_stats")}
+    made = tables["impact_calls"].select(*columns("impact_calls", "name", "impact_variant", F.col("n_sig_effects")))
+    made = made.unionByName(tables["stratified_gwas_stats"].select(*columns("stratified_gwas_stats", "name", "chromosome", F.col("p_value"))))
+    made = made.unionByName(readers.read_matrix(spark, paths["var_context_effects"], "value", "variant_id").select(*columns("var_context_effects", "variant_id", "context", F.round("value", 9))))
+    for name in impact.OUTPUTS:
+        kind = "boolean" if name == "sig_effects" else "double"
+        rows = readers.read_matrix(spark, paths[name], "value", "variant", "string", kind).withColumn("value", F.col("value").cast("double"))
+        made = made.unionByName(rows.filter("value IS NOT NULL").select(*columns(name, "variant", "context", rounded("value") if name == "fold_changes" else F.col("value"))))
+    return made
+
+
 # The same jobs at the operators' own number of boots. DuckDB can't follow, so they have no SQL.
 for _query in (boot_null, boot_counts, boot_pvals, call_sig, agg_impact_calls, agg_call_summary, pipe_impact_map, call_volcano):
     full(_query, "fx_gwas", "fx_effects", params=impact.Params(fc_cut=PARAMS.fc_cut))

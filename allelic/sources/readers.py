@@ -80,11 +80,11 @@ def read_name_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"[\r\n]+$", ""), ",,")).alias("pos", "name"))
 
 
-def read_matrix(spark: SparkSession, path: str, value_name: str, key: str = "row_id") -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, value_name: str, key: str = "row_id", key_type: str = "long", value_type: str = "double") -> DataFrame:
     """A wide matrix with a key column as long rows (key, context, value)."""
     df = _tsv(spark, path)
     values = [c for c in df.columns if c != key]
-    typed = df.select(F.col(key).cast("long"), *(F.col(f"`{c}`").cast("double").alias(c) for c in values))
+    typed = df.select(F.col(key).cast(key_type), *(F.col(f"`{c}`").cast(value_type).alias(c) for c in values))
     return typed.unpivot([key], [F.col(f"`{c}`") for c in values], "context", value_name)
 
 
