@@ -1,10 +1,12 @@
 """Hand-computed cases, quirks and invariants of the reference operators."""
 
 import hashlib
+import tracemalloc
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,87 @@ def test_full_matrix_returns_every_effect(spark):
     assert core.agg_matrix_pivot_full(effects, ctx).count() == 12
 
 
+def test_draws_are_added_in_order_in_little_memory():
+    """Means equal a sum that takes one draw after another, and no array grows with draws times boots."""
+    xs = np.random.default_rng(2).integers(0, 1001, 30_000) / 500
+    tracemalloc.start()
+    made = [(mean, std) for _, mean, std in bootstrap.moments(xs, 300, 7, 3)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
+    got = xs[bootstrap.draws(np.arange(300), len(xs), 7, 3)]
+    assert np.concatenate([m for m, _ in made]).tolist() == (np.add.accumulate(got, axis=1)[:, -1] / len(xs)).tolist()
+    assert np.allclose(np.concatenate([s for _, s in made]), got.std(axis=1), rtol=1e-12)
+    odd = list(bootstrap.moments(np.array([1e9, 1e9 + 1, np.inf]), 40, 0, 0))[0]
+    kept = [set(d) for d in bootstrap.draws(np.arange(40), 3, 0, 0).tolist()]
+    assert [bool(np.isfinite(m)) for m in odd[1]] == [2 not in k for k in kept]
+    assert all(abs(s - 0.4714) < 1e-3 for s, k in zip(odd[2], kept) if k == {0, 1})
+
+
+@pytest.mark.parametrize("step", [1, 1 << 40])
+def test_packed_groups_hold_every_effect(step):
+    rng = np.random.default_rng(5)
+    locus, context, ids = rng.integers(-3, 4, 500) * step, rng.integers(0, 5, 500) * step, rng.permutation(500)
+    batch = pa.RecordBatch.from_arrays([pa.array(a) for a in (locus, context, ids, ids * 0.5)], names=["locus_id", "context_id", "variant_id", "x"])
+    made = [b for b in bootstrap.pack([batch.slice(0, 200), batch.slice(200)])]
+    got = {(locus, context): xs.tolist() for locus, context, _, xs in bootstrap.groups(made)}
+    want = {}
+    for a, b, i in sorted(zip(locus.tolist(), context.tolist(), ids.tolist())):
+        want.setdefault((a, b), []).append(i * 0.5)
+    assert got == want
+
+
+def test_boot_null_rounds_half_places(spark, monkeypatch):
+    # 160 draws of steps of 0.002: some means lie halfway between six places.
+    df = labelled(spark, [0.002 * (i % 7) for i in range(160)], [1.0])
+    monkeypatch.setattr(core, "joined", lambda *_: df)
+    got = {r.boot: r.boot_mean for r in core.boot_null(None, None).collect()}
+    xs = np.array([0.002 * (i % 7) for i in range(160)])
+    drawn = xs[bootstrap.draws(np.arange(120), 160, 0, 1)]
+    means = np.add.accumulate(drawn, axis=1)[:, -1] / 160
+    assert got == {b: np.floor(m * 1e6 + 0.5) / 1e6 for b, m in enumerate(means)}
+
+
+def test_thresholds_are_drawn_once_and_background_is_not_dealt(spark):
+    """A hot group's tasks share its thresholds, and rows of the background keep their partitions."""
+    rng = np.random.default_rng(3)
+    df = labelled(spark, rng.normal(0, 1, 50).tolist(), rng.normal(0, 3, 40).tolist()).coalesce(1)
+    found = bootstrap.count_nonsig(df, 20, group_rows=5)
+    placed = found.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in placed if r.var_label == "background"}) == 1
+    assert len({r.task for r in placed if r.var_label != "background"}) > 1
+    limits = bootstrap.thresholds(df, bootstrap.critical_values(df), 20).collect()
+    assert len(limits) == 1 and len(limits[0].limits) == 20
+    assert all(r.n_nonsig == sum(abs(r.effect) <= x for x in limits[0].limits) for r in placed if r.var_label != "background")
+
+
+def test_calls_of_one_label(spark):
+    rng = np.random.default_rng(4)
+    df = labelled(spark, rng.normal(0, 1, 50).tolist(), rng.normal(0, 3, 40).tolist()).withColumn("var_label", F.expr("CASE WHEN variant_id < 50 THEN var_label WHEN variant_id % 2 = 0 THEN 'rare' ELSE 'candidate' END"))
+    params = impact.Params(n_boots=50)
+    names = ("variant_id", "n_nonsig", "p_value", "fold_change", "is_sig")
+    whole = impact.test_calls(df, params).filter("var_label = 'candidate'")
+    assert rows(impact.test_calls(df, params, only="candidate"), *names) == rows(whole, *names)
+
+
+def test_effects_meet_labels_and_rows_without_being_dealt(spark, sf_dir):
+    effects = load(spark, sf_dir, "fx_effects")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = plan(core.joined(load(spark, sf_dir, "fx_gwas"), effects))
+    assert "ShuffledHashJoin" in joined
+    made = plan(core.agg_matrix_unpivot(effects))
+    assert made.count("Exchange hashpartitioning(row_id") == 0 and made.count("REPARTITION_BY_NUM") == 1
+
+
+def test_matrices_gathered_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x", 0.5, True), (1, "a", "y", None, False), (1, "b", "x", 2.0, None)], "id long, kind string, context string, v double, s boolean")
+    paths = sinks.write_matrices(df, f"file://{tmp_path}/m", {"vs": "v", "ss": "s"}, ("id", "kind"), "name")
+    got = readers.read_matrix(spark, paths["vs"], "v", "name", "string")
+    assert rows(got) == sorted([("1:a", "x", 0.5), ("1:a", "y", None), ("1:b", "x", 2.0), ("1:b", "y", None)], key=repr)
+    got = readers.read_matrix(spark, paths["ss"], "s", "name", "string", "boolean")
+    assert rows(got) == sorted([("1:a", "x", True), ("1:a", "y", False), ("1:b", "x", None), ("1:b", "y", None)], key=repr)
+
+
 def test_std_floor(spark):
     null = bootstrap.bootstrap_null(labelled(spark, [1.0] * 10, [1.0]), 5).collect()
     assert all(r.boot_std == 0.01 and r.boot_mean == 1.0 for r in null)
