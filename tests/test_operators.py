@@ -188,6 +188,27 @@ def test_draws_are_added_in_order_in_little_memory():
     assert all(abs(s - 0.4714) < 1e-3 for s, k in zip(odd[2], kept) if k == {0, 1})
 
 
+def test_long_boots_share_windows_of_one_circle(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = [3000, 3000, 2000, 3000, 1]
+    groups = [(7, c, 2.0, np.abs(rng.normal(size=n))) for c, n in enumerate(sizes)] + [(8, 0, 3.0, np.full(3000, np.inf))]
+    plain = list(bootstrap.boot_moments(groups, 200, 3))
+    monkeypatch.setattr(bootstrap, "SHARED", 1)
+    shared = list(bootstrap.boot_moments(groups, 200, 3))
+    assert [g[:3] for g in shared] == [g[:3] for g in groups] == [g[:3] for g in plain]
+    for (_, _, _, mean, std), (*_, mean_1, std_1) in zip(plain, shared):
+        assert np.allclose(mean, mean_1, rtol=1e-12, equal_nan=True) and np.allclose(std, std_1, rtol=1e-12, equal_nan=True)
+    drawn = groups[1][3][bootstrap.draws(np.arange(200), 3000, 1, 7, 3).astype(np.int64)]
+    assert np.allclose(shared[1][3], drawn.mean(axis=1), rtol=1e-12) and np.allclose(shared[1][4], drawn.std(axis=1), rtol=1e-12)
+    # Windows that cover the circle more than once, and one that passes its end.
+    w = bootstrap._Windows(rng.normal(size=1 << 16), 1 << 17, bootstrap.group_key(0, 7))
+    assert (w.end > w.first).all() and w.drawn.mean() > 0.8 and (w.end >= len(w.cuts)).any()
+    # 1 GB: 50 loci of 25 contexts with 126,000 effects each; with few boots, or short ones, groups go anywhere.
+    assert bootstrap.locus_parts(1250 * 126_000, 50, 1250, 10_000, 12) == 1
+    assert bootstrap.locus_parts(1250 * 126_000, 50, 1250, 120, 12) is None
+    assert bootstrap.locus_parts(0, 0, 0, 10_000, 12) is None
+
+
 @pytest.mark.parametrize("step", [1, 1 << 40])
 def test_packed_groups_hold_every_effect(step):
     rng = np.random.default_rng(5)
