@@ -99,6 +99,19 @@ def labelled(spark, background, others):
     return spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, context string, effect double")
 
 
+def test_tasks_of_labels_follow_the_rows(spark, monkeypatch):
+    data = load(spark, "/root/testdata/sf0.001", "fx_gwas")
+    expected = rows(stratify.stratify(data), "variant_id", "var_label")
+    assert stratify.row_tasks(data) is None
+    monkeypatch.setattr(stratify, "ROWS", 20)
+    tasks = stratify.row_tasks(data)
+    assert tasks == -(-data.count() // 20) > spark.sparkContext.defaultParallelism
+    assert rows(stratify.stratify(data), "variant_id", "var_label") == expected
+    # No window of the plan takes more rows in a task than the limit allows on average.
+    plan = stratify.stratify(data)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count(f", {tasks})") + plan.count(f", {tasks}, ") >= 4
+
+
 def test_partitions_and_hot_groups_agree(spark):
     """Results do not depend on partitions, and a group dealt to several tasks counts as a whole one."""
     rng = np.random.default_rng(0)
