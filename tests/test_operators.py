@@ -201,6 +201,18 @@ def test_draws_are_added_in_order_in_little_memory():
     assert all(abs(s - 0.4714) < 1e-3 for s, k in zip(odd[2], kept) if k == {0, 1})
 
 
+def test_null_is_the_same_however_contexts_are_dealt(spark, monkeypatch):
+    data = [(locus, c, v, "background", (v * 37 + c * 11 + locus) % 101 / 10) for locus in (1, 2) for c in range(5) for v in range(40)]
+    df = spark.createDataFrame(data, "locus_id long, context_id long, variant_id long, var_label string, effect double")
+    expected = rows(bootstrap.bootstrap_null(df, 30))
+    assert len(expected) == 2 * 5 * 30
+    for parts in (1, 2):
+        monkeypatch.setattr(bootstrap, "locus_parts", lambda *_, parts=parts: parts)
+        assert rows(bootstrap.bootstrap_null(df, 30)) == expected
+        got = bootstrap.background_arrays(df, 30).withColumn("task", F.spark_partition_id())
+        assert got.groupBy("locus_id").agg(F.countDistinct("task").alias("n")).filter(F.col("n") > parts).count() == 0
+
+
 def test_long_boots_share_windows_of_one_circle(monkeypatch):
     rng = np.random.default_rng(5)
     sizes = [3000, 3000, 2000, 3000, 1]
