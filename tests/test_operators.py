@@ -234,6 +234,30 @@ def test_long_boots_share_windows_of_one_circle(monkeypatch):
     assert bootstrap.locus_parts(0, 0, 0, 10_000, 12) is None
 
 
+def test_boots_by_counts_of_blocks_are_the_plain_draws(monkeypatch):
+    rng = np.random.default_rng(5)
+    distinct = np.abs(rng.normal(size=(50, 3)))
+    keys = [bootstrap.group_key(c, 7, 3) for c in range(3)]
+    for table in (distinct[rng.integers(0, 50, 40_000)], np.abs(rng.normal(size=(40_000, 3)))):
+        rows, code = bootstrap._coded(table)
+        assert (rows[code] == table).all() and len(rows) == len(np.unique(table, axis=0))
+        for length in (1 << 14, 1 << 16):  # boots of several blocks, and of none whole
+            got = list(bootstrap.counted_moments(rows, code, 40, keys, length))
+            for c, (mean, std) in enumerate(got):
+                drawn = table[:, c][bootstrap.draws(np.arange(40), 40_000, c, 7, 3)]
+                assert np.allclose(mean, drawn.mean(axis=1), rtol=1e-12) and np.allclose(std, drawn.std(axis=1), rtol=1e-11)
+    # A boot that passes the end of the circle.
+    late = int(np.argmax((bootstrap.mix(keys[0] ^ np.arange(1 << 17, dtype=np.uint32)) * np.uint32(bootstrap.STEP_INVERSE))))
+    monkeypatch.setattr(bootstrap, "group_key", lambda *_, plain=bootstrap.group_key: plain(0, 7, 3) ^ np.uint32(late))
+    key = bootstrap.group_key(0, 7)
+    (mean, std), *_ = bootstrap.counted_moments(rows[:, :1], code, 1, [key], 1 << 14)
+    drawn = table[:, 0][bootstrap.draws(np.arange(1), 40_000, 0, 7)]
+    assert np.allclose(mean, drawn.mean(axis=1), rtol=1e-12) and np.allclose(std, drawn.std(axis=1), rtol=1e-11)
+    # Many draws of few distinct rows are counted; draws of rows that all differ are gathered.
+    assert bootstrap._block_length(126_000, 10_000, 2003, 25) == 1 << 14
+    assert bootstrap._block_length(126_000, 10_000, 126_000, 25) is None
+
+
 @pytest.mark.parametrize("step", [1, 1 << 40])
 def test_packed_groups_hold_every_effect(step):
     rng = np.random.default_rng(5)
