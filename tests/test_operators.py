@@ -124,6 +124,23 @@ def test_partitions_and_hot_groups_agree(spark):
     assert dealt.select("task").distinct().count() > 1
 
 
+def test_only_effects_among_the_thresholds_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bg = rng.normal(0, 1, 60).tolist()
+    df = labelled(spark, bg, [0.0, None, 100.0, float("nan"), float("inf"), *np.linspace(1.5, 4.5, 31).tolist()])
+    crit = bootstrap.critical_values(df).first().critical
+    limits = sorted(r.boot_mean + crit * r.boot_std for r in bootstrap.bootstrap_null(df, 80).collect())
+    held, plain = {}, bootstrap.stored
+    monkeypatch.setattr(bootstrap, "stored", lambda made, name: held.setdefault(name, plain(made, name)))
+    got = {r.variant_id: (r.effect, r.n_nonsig) for r in bootstrap.count_nonsig(df, 80).collect()}
+    tested = {i: v for i, v in got.items() if i >= 60}
+    assert len(got) == len(bg) + 36 and all(got[i][1] == 80 for i in range(60))
+    for effect, n in tested.values():
+        assert n == (None if effect is None else 80 - int(np.searchsorted(limits, abs(effect), "left")))
+    among = sum(1 for e, _ in tested.values() if e is not None and limits[0] < abs(e) <= limits[-1])
+    assert held["between"].count() == among and 0 < among < 31
+
+
 def test_groups_without_background_or_keys(spark):
     data = [(1, 1, "candidate", 0, 5.0), (2, None, "candidate", 0, 1.0), (3, None, "background", 0, 1.0), (4, 1, "rare", None, None), (5, 1, None, 0, 1.0)]
     df = spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, effect double").withColumn("n", F.lit("clash")).withColumn("xs", F.lit("clash"))
