@@ -141,6 +141,14 @@ def test_only_effects_among_the_thresholds_are_dealt(spark, monkeypatch):
     assert held["between"].count() == among and 0 < among < 31
 
 
+def test_long_boots_of_two_loci_share_no_task(spark, monkeypatch):
+    df = spark.range(40 * 30).selectExpr("id AS variant_id", "id % 40 AS locus_id", "'background' AS var_label", "id % 3 AS context_id", "id / 7.0 AS effect")
+    monkeypatch.setattr(bootstrap, "locus_parts", lambda *_: 1)
+    monkeypatch.setattr(bootstrap, "TASK_ROWS", 10)
+    got = bootstrap.background_arrays(df, 30).withColumn("task", F.spark_partition_id())
+    assert got.groupBy("task").agg(F.countDistinct("locus_id").alias("n")).filter("n > 1").count() == 0 and got.agg(F.sum("n")).first()[0] == 1200
+
+
 def test_groups_without_background_or_keys(spark):
     data = [(1, 1, "candidate", 0, 5.0), (2, None, "candidate", 0, 1.0), (3, None, "background", 0, 1.0), (4, 1, "rare", None, None), (5, 1, None, 0, 1.0)]
     df = spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, effect double").withColumn("n", F.lit("clash")).withColumn("xs", F.lit("clash"))
