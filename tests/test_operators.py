@@ -149,6 +149,14 @@ def test_long_boots_of_two_loci_share_no_task(spark, monkeypatch):
     assert got.groupBy("task").agg(F.countDistinct("locus_id").alias("n")).filter("n > 1").count() == 0 and got.agg(F.sum("n")).first()[0] == 1200
 
 
+def test_wide_lines_make_one_map_a_row(spark):
+    from allelic.sources import sinks
+
+    lines = sinks.matrix_lines(spark.createDataFrame([(1, "a", 1.5), (1, "c", None), (2, "b", 2.0)], "row_id long, context string, v double"), "v", columns=["c", "b", "a"])
+    assert rows(lines, "row_id", "line") == [(1, "1\t\t\t1.5"), (2, "2\t\t2.0\t")]
+    assert "lambdafunction(coalesce(map_from_entries" not in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_groups_without_background_or_keys(spark):
     data = [(1, 1, "candidate", 0, 5.0), (2, None, "candidate", 0, 1.0), (3, None, "background", 0, 1.0), (4, 1, "rare", None, None), (5, 1, None, 0, 1.0)]
     df = spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, effect double").withColumn("n", F.lit("clash")).withColumn("xs", F.lit("clash"))
