@@ -54,9 +54,8 @@ def validation_report(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count("*").alias("n_checked"), F.coalesce(F.sum((F.col("status") != "ok").cast("long")), F.lit(0)).alias("n_incorrect"))
 
 
-def _cut(seq: Column, window: int) -> Column:
-    """Longer text loses floor(d/2) on the left and ceil(d/2) on the right."""
-    over = F.length(seq) - window
+def _cut(seq: Column, over: Column, window: int) -> Column:
+    """Text that is longer than the window by ``over`` loses floor(over/2) on the left and ceil(over/2) on the right."""
     return F.when(over > 0, F.substring(seq, F.floor(over / 2).cast("int") + 1, F.lit(window))).otherwise(seq)
 
 
@@ -65,6 +64,12 @@ def window_text(variants: DataFrame, reference: DataFrame | Reference, contigs:
     variant: centred on seq_pos where the table has it, else on the position, padded with N outside
     the contig. ``reference`` is a ``Reference``, whose files are read where the windows are cut, or
     a table of chunks with the table of ``contigs``."""
+    return _windows(variants, reference, contigs, window, index_base, chunk).withColumn("seq", F.col("seq").cast("string"))
+
+
+def _windows(variants: DataFrame, reference: DataFrame | Reference, contigs: DataFrame | None, window: int, index_base: int, chunk: int) -> DataFrame:
+    """``window_text`` with ``seq`` as the type that cuts it fastest: bases of files are bytes, where a place
+    is found without a walk over all characters before it; chunks are text."""
     center = F.coalesce("seq_pos", "position") if "seq_pos" in variants.columns else F.col("position")
     v = variants.select(
         "row_id", F.col("chromosome").alias("contig"), (F.col("position") - index_base).alias("pos0"), F.upper("ref").alias("ref"),
@@ -72,12 +77,14 @@ def window_text(variants: DataFrame, reference: DataFrame | Reference, contigs:
     )
     if isinstance(reference, Reference):
         v = reference.cut(v.withColumn("from", F.col("window_start")).withColumn("to", F.col("window_start") + window))
+        v = v.withColumn("text", F.col("text").cast("binary"))
     else:
         v = v.join(contigs.select("contig", "length"), "contig", "left")
         v = v.withColumn("from", F.greatest(F.col("window_start"), F.lit(0))).withColumn("to", F.least(F.col("window_start") + window, F.col("length")))
         v = v.join(_pieces(v.select("row_id", "contig", "from", "to"), reference, chunk), "row_id", "left")
-    pad = lambda n: F.repeat(F.lit("N"), F.greatest(F.lit(0), F.least(n, F.lit(window))).cast("int"))
-    body = F.coalesce("text", F.lit(""))
+    kind = v.schema["text"].dataType
+    pad = lambda n: F.substring(F.lit("N" * window).cast(kind), F.lit(1), F.greatest(F.lit(0), F.least(n, F.lit(window))).cast("int"))
+    body = F.coalesce("text", F.lit("").cast(kind))
     left = F.least(F.greatest(-F.col("window_start"), F.lit(0)), F.lit(window))
     whole = F.concat(pad(left), body, pad(F.lit(window) - left - F.length(body)))
     return v.select("row_id", F.col("contig").alias("chrom"), "ref", "alt", "pos0", "window_start", F.when(F.col("length").isNotNull(), whole).alias("seq"))
@@ -90,11 +97,13 @@ def build_windows(variants: DataFrame, reference: DataFrame | Reference, contigs
     and the status is corrected) or outside (REF does not lie in the window, or the contig is unknown). The sequences are
     null unless the status is ok or corrected.
     """
-    v = window_text(variants, reference, contigs, window, index_base, chunk).withColumn("at", F.col("pos0") - F.col("window_start"))
+    v = _windows(variants, reference, contigs, window, index_base, chunk).withColumn("at", F.col("pos0") - F.col("window_start"))
+    ref, alt = (F.col(c).cast(v.schema["seq"].dataType) for c in ("ref", "alt"))
     inside = F.coalesce(F.col("seq").isNotNull() & (F.col("at") >= 0) & (F.col("at") + F.length("ref") <= window), F.lit(False))
-    same = F.substring("seq", (F.col("at") + 1).cast("int"), F.length("ref")) == F.col("ref")
+    same = F.substring("seq", (F.col("at") + 1).cast("int"), F.length(ref)) == ref
     status = F.when(~inside, "outside").when(same, "ok").otherwise("corrected" if correct_ref else "mismatch")
     usable = inside & (same | F.lit(correct_ref))
-    ref_seq = F.when(usable, F.when(same, F.col("seq")).otherwise(splice("seq", "at", "ref", "ref")))
-    alt_seq = F.when(usable, _cut(splice("seq", "at", "ref", "alt"), window))
-    return v.select("row_id", "chrom", "window_start", ref_seq.alias("ref_seq"), alt_seq.alias("alt_seq"), status.alias("status"))
+    ref_seq = F.when(usable, F.when(same, F.col("seq")).otherwise(splice("seq", "at", ref, ref)))
+    # A window is as long as it should be, so the two alleles say how much longer the other one is.
+    alt_seq = F.when(usable, _cut(splice("seq", "at", ref, alt), F.length(alt) - F.length(ref), window))
+    return v.select("row_id", "chrom", "window_start", ref_seq.cast("string").alias("ref_seq"), alt_seq.cast("string").alias("alt_seq"), status.alias("status"))

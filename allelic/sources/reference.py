@@ -17,6 +17,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .scratch import stored
+
 SEGMENT = 1 << 26  # bases in one record; a multiple of the chunk
 SALTS = 16  # copies of an index line, as one contig may hold most rows
 READ = 1 << 22  # bases held at once; a longer single range is read as it is
@@ -108,6 +110,8 @@ class Reference:
         return self.index.select("contig", "length")
 
     def _located(self, spans: DataFrame) -> DataFrame:
+        # Stored, as ranging rows samples them first: what makes them, which may read whole contigs, runs once.
+        spans = stored(spans, "spans")
         salted = self.index.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"segment": "__segment", "segments": "__segments"})
         keyed = spans.withColumn("__key", F.xxhash64(*(F.col(f"`{c}`") for c in spans.columns)))
         return keyed.withColumn("__salt", F.pmod("__key", F.lit(SALTS)).cast("int")).join(salted, ["contig", "__salt"], "left")
