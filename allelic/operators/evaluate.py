@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import stored
+
 
 def evaluate(pred: DataFrame, by: str = "stratified") -> DataFrame:
     """Mean squared error of ``pred`` (celltype, assay, pred, truth).
@@ -37,16 +39,32 @@ def evaluate_weighted(pred: DataFrame, weights: DataFrame, huber_delta: float |
     return sums.join(weights, ["celltype", "assay"]).agg((F.avg(F.col("s") * F.col("weight")) * scale).alias("loss"))
 
 
-def background_t(labelled: DataFrame) -> DataFrame:
-    """t of each absolute effect against its background, degrees of freedom, ratio to the background mean."""
+def _background_moments(labelled: DataFrame) -> DataFrame:
+    """Of each locus and context: mean of the absolute background effects, its standard error, degrees of freedom, and the
+    numbers of background and tested rows. One row each, stored so that its size is known: effects need not be dealt to meet it."""
+    bg = F.col("var_label") == "background"
+    x = F.when(bg, F.abs("effect"))
+    return stored(
+        labelled.groupBy("locus_id", "context_id").agg(
+            F.avg(x).alias("__m"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("__sem"), (F.count(x) - 1).alias("dof"),
+            F.count(F.when(bg, 1)).alias("__bg"), F.count(F.when(~bg, 1)).alias("__tests"),
+        ),
+        "moments",
+    )
+
+
+def _tested(labelled: DataFrame, moments: DataFrame) -> DataFrame:
     x = F.abs("effect")
-    bg = labelled.filter(F.col("var_label") == "background").groupBy("locus_id", "context_id").agg(
-        F.avg(x).alias("__m"), (F.stddev_samp(x) / F.sqrt(F.count("effect"))).alias("__sem"), (F.count("effect") - 1).alias("dof")
-    )
+    bg = moments.filter("__bg > 0").drop("__bg", "__tests")
     rest = labelled.filter(F.col("var_label") != "background").join(bg, ["locus_id", "context_id"])
     return rest.withColumn("t", (x - F.col("__m")) / F.nullif(F.col("__sem"), F.lit(0.0))).withColumn("ratio", x / F.nullif(F.col("__m"), F.lit(0.0))).drop("__m", "__sem")
 
 
+def background_t(labelled: DataFrame) -> DataFrame:
+    """t of each absolute effect against its background, degrees of freedom, ratio to the background mean."""
+    return _tested(labelled, _background_moments(labelled))
+
+
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The continued fraction of the incomplete beta function, by Lentz's method."""
     tiny = 1e-300
@@ -60,6 +78,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
+        if not (np.abs(d * c - 1) > 1e-15).any():  # the factors that follow are 1
+            break
     return h
 
 
@@ -93,10 +113,11 @@ def background_ttest(labelled: DataFrame, n_tests: int | str | None = None) -> D
     def p_of(t: pd.Series, dof: pd.Series) -> pd.Series:
         return pd.Series(two_sided_t(t.to_numpy(), dof.to_numpy()))
 
-    df = background_t(labelled).withColumn("p", p_of("t", F.col("dof").cast("double")))
+    moments = _background_moments(labelled)
+    df = _tested(labelled, moments).withColumn("p", p_of("t", F.col("dof").cast("double")))
     if n_tests == "rows":
         # One row, so the join is a broadcast of a single number.
-        number = labelled.agg(F.greatest(F.count(F.when(F.col("var_label") != "background", 1)), F.lit(1)).alias("__tests"))
+        number = moments.agg(F.greatest(F.coalesce(F.sum("__tests"), F.lit(0)), F.lit(1)).alias("__tests"))
         return df.crossJoin(number).withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * F.col("__tests"))).drop("__tests")
     return df.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * n_tests)) if n_tests else df
 

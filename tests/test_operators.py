@@ -112,6 +112,40 @@ def test_tasks_of_labels_follow_the_rows(spark, monkeypatch):
     assert plan.count(f", {tasks})") + plan.count(f", {tasks}, ") >= 4
 
 
+def test_only_loci_that_lack_something_are_ranked(spark):
+    """Where every locus has a significant variant and enough background, no row is sorted or dealt by locus."""
+    schema = "variant_id long, locus_id long, position long, ref string, alt string, allele_freq double, p_value double"
+    data = [(i, i % 3, i, "A", "C", 0.3, 1e-9 if i < 3 else 0.5) for i in range(60)]
+    cuts = stratify.Cuts(min_bg=10)
+    plain, lacking = (spark.createDataFrame(d, schema) for d in (data, [*data, *((100 + i, 9, i, "A", "C", 0.3, 0.01 * i) for i in range(1, 16))]))
+    found, want = stratify.stratify(plain, cuts), [(i, "candidate" if i < 3 else "background") for i in range(60)]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "Aggregate" not in text and set(rows(found, "variant_id", "var_label")) == set(want)
+    found = stratify.stratify(lacking, cuts)
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()
+    more = rows(found, "variant_id", "var_label")
+    # Candidates by rank, and background short of ten by frequency and then id.
+    assert len(more) == 85 and set(more) == {*want, *((101 + i, label) for i in range(10) for label in ("candidate", "background")), *((111 + i, "other") for i in range(5))}
+
+
+def test_background_is_read_from_stored_files(spark):
+    from allelic.sources.scratch import stored
+
+    data = [(v, v % 4, ("background", "rare", None)[v % 3], c, None if v % 7 == 0 else (v * 13 + c) % 11 - 5.0) for v in range(300) for c in (0, 1)]
+    data += [(1000, None, "background", 0, 1.0), (1001, 1, "background", None, 1.0)]
+    table = stored(spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, effect double").repartition(5), "t")
+    packed = bootstrap.packed_background(table)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Range" in plan and "parquet" not in plan.lower()  # no row of effects goes to Python
+    made = list(bootstrap.groups(packed.orderBy("locus_id", "context_id").toArrow().to_batches()))
+    want = {}
+    for v, locus, label, c, effect in data:
+        if label == "background" and None not in (locus, c, effect):
+            want.setdefault((locus, c), []).append(abs(effect))
+    assert {(a, b): xs.tolist() for a, b, _, xs in made} == want
+    assert rows(bootstrap.background_arrays(table, 5).groupBy("locus_id", "context_id").agg(F.sum("n").alias("n"))) == rows(bootstrap.background_arrays(table, 5, is_stored=True).groupBy("locus_id", "context_id").agg(F.sum("n").alias("n")))
+
+
 def test_partitions_and_hot_groups_agree(spark):
     """Results do not depend on partitions, and a group dealt to several tasks counts as a whole one."""
     rng = np.random.default_rng(0)
@@ -460,6 +494,20 @@ def test_student_t():
     assert evaluate.two_sided_t(np.array([40.0]), np.array([30.0]))[0] < 1e-20
 
 
+def test_tested_effects_are_not_dealt_to_meet_their_background(spark):
+    data = [(v, v % 2, "background" if v < 20 else "rare", c, float((v * 7 + c) % 13)) for v in range(40) for c in (0, 1)] + [(90, 5, "rare", 0, 1.0)]
+    df = spark.createDataFrame(data, "variant_id long, locus_id long, var_label string, context_id long, effect double")
+    found = evaluate.background_ttest(df, "rows")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    got = found.collect()
+    assert len(got) == 40 and {r.locus_id for r in got} == {0, 1}  # a locus without background is not tested, but counts
+    assert all(abs(r.p_adj - min(1.0, r.p * 41)) < 1e-12 for r in got)
+    bg = [float((v * 7) % 13) for v in range(0, 20, 2)]
+    one = next(r for r in got if (r.variant_id, r.context_id) == (20, 0))
+    assert one.dof == 9 and abs(one.t - (10.0 - np.mean(bg)) / (np.std(bg, ddof=1) / 10**0.5)) < 1e-9
+
+
 def test_ttest_p(spark):
     df = labelled(spark, [1.0, 2.0, 3.0, 4.0], [10.0])
     r = evaluate.background_ttest(df, n_tests=5).first()
@@ -726,6 +774,38 @@ def test_overlaps_of_any_length(spark):
     assert [(r.gene, r.win_id) for r in intervals.overlap_join(long, one).collect()] == [(1, 7)]
 
 
+def test_windows_from_files_are_bytes_and_their_variants_are_made_once(spark, tmp_path):
+    """No cut walks over the characters of a window, and ranging the rows does not run again what makes them."""
+    from allelic.sources import reference
+
+    contigs = spark.createDataFrame([("a", "ACGTACGTACGTACG" * 4), ("b", "GG")], "contig string, seq string")
+    reference.write_reference(genome.chunked(contigs, 4), f"{tmp_path}/bytes", 8)
+    ref = reference.open_reference(spark, f"{tmp_path}/bytes")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    data = [(i, "a", i, "ACGT"[i % 4], ("T", "GGA", "")[i % 3]) for i in range(45)] + [(100, "b", 1, "G", "TTTT"), (101, "b", 0, "A", "C"), (102, "c", 0, "A", "C")]
+    v = spark.createDataFrame(data, "row_id long, chromosome string, position long, ref string, alt string")
+    got = {r.row_id: r for r in genome.build_windows(v.mapInArrow(seen, v.schema), ref, window=12).collect()}
+    assert made.value == len(data) == len(got)
+    whole = {r.contig: r.seq for r in contigs.collect()}
+    for i, contig, at, short, alt in data:
+        if contig == "c":
+            assert got[i].status == "outside" and got[i].ref_seq is None
+            continue
+        padded = "N" * 6 + whole[contig] + "N" * 12
+        ok = whole[contig][at : at + 1] == short
+        spliced = padded[at : at + 6] + alt + padded[at + 7 : at + 12]
+        over = max(len(spliced) - 12, 0)
+        assert (got[i].status, got[i].ref_seq) == (("ok", padded[at : at + 12]) if ok else ("mismatch", None))
+        assert got[i].alt_seq == (spliced[over // 2 : over // 2 + 12] if ok else None)
+    assert "binary" in genome.build_windows(v, ref, window=12)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_order_of_files(spark, tmp_path):
     header = "CHR\tPOS\tREF\tALT\n"
     lines = [f"c{i % 3}\t{i}\tA\tC\n" for i in range(5000)]
