@@ -251,6 +251,14 @@ def test_full_matrix_returns_every_effect(spark):
     assert core.agg_matrix_pivot_full(effects, ctx).count() == 12
 
 
+def test_matrix_query_takes_every_cell_type_and_assay(spark):
+    names = [(c, a) for c in ("BUILDING", "HOUSEHOLD", "MACHINERY") for a in ("ATAC-seq", "minus strand polyA plus RNA-seq")]
+    ctx = spark.createDataFrame([(i, f"{c}---{a}", c, a) for i, (c, a) in enumerate(names)], "context_id long, context string, celltype string, assay string")
+    effects = spark.createDataFrame([(v, i, f"{c}---{a}", v + i / 10) for v in range(2) for i, (c, a) in enumerate(names)], "variant_id long, context_id long, context string, effect double")
+    got = core.agg_matrix_pivot(effects, ctx)
+    assert rows(got, "row_id", "celltype", "ATAC-seq", "minus strand polyA plus RNA-seq") == [(v, names[i][0], v + i / 10, v + (i + 1) / 10) for v in range(2) for i in (0, 2, 4)]
+
+
 def test_draws_are_added_in_order_in_little_memory():
     """Means equal a sum that takes one draw after another, and no array grows with draws times boots."""
     xs = np.random.default_rng(2).integers(0, 1001, 30_000) / 500
