@@ -388,6 +388,21 @@ def test_effects_meet_labels_and_rows_without_being_dealt(spark, sf_dir):
     assert made.count("Exchange hashpartitioning(row_id") == 0 and made.count("REPARTITION_BY_NUM") == 1
 
 
+def test_effects_are_ordered_without_being_dealt(spark):
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("celltype"), F.lit(a).alias("assay")) for c in ("c1", "c2") for a in ("a", "b"))))
+    lying = spark.range(40).toDF("row_id").repartition(3, "row_id").select("row_id", cells.alias("at")).select("row_id", "at.*", (F.hash("row_id", "at") % 9 / 4).alias("effect"))
+    made = scoring.order_effects(lying)
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(row_id" in text and text.count("REPARTITION_BY_NUM") == text.count("Exchange ") and "SortMergeJoin" not in text
+    assert made.count() == 160
+    data = [("c1", "a", 1.0), ("c1", "b", -3.0), ("c2", "b", 3.0), ("c2", "c", float("nan")), ("c3", "d", None), ("c4", "a", 0.5), (None, "b", 3.0), ("c5", None, 9.0)]
+    effects = spark.createDataFrame([(7, *r) for r in data] + [(None, "c1", "a", 1.0), (8, "c1", "z", 2.0), (8, "c2", "y", 2.0)], "row_id long, celltype string, assay string, effect double")
+    got = scoring.order_effects(effects, 2)
+    want = [(7, "c1", "a", 3, 2), (7, "c1", "b", 2, 2), (7, "c2", "b", 2, 1), (7, "c2", "c", 1, 1), (7, "c3", "d", 4, None), (7, "c4", "a", 3, None), (7, None, "b", 2, None)]
+    want += [(8, "c1", "z", 2, 1), (8, "c2", "y", 1, 2)]
+    assert rows(got, "row_id", "celltype", "assay", "assay_rank", "celltype_rank") == sorted(want, key=repr)
+
+
 def test_matrices_gathered_once(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "x", 0.5, True), (1, "a", "y", None, False), (1, "b", "x", 2.0, None)], "id long, kind string, context string, v double, s boolean")
     paths = sinks.write_matrices(df, f"file://{tmp_path}/m", {"vs": "v", "ss": "s"}, ("id", "kind"), "name")
