@@ -357,6 +357,14 @@ def test_boot_null_rounds_half_places(spark, monkeypatch):
     assert got == {b: np.floor(m * 1e6 + 0.5) / 1e6 for b, m in enumerate(means)}
 
 
+def test_boot_null_query_draws_as_often_as_its_operator(spark, monkeypatch):
+    df = labelled(spark, [0.5 * (i % 7) for i in range(12)], [1.0])
+    monkeypatch.setattr(core, "joined", lambda *_: df)
+    monkeypatch.setattr(registry, "load", lambda *_: None)
+    assert registry.QUERIES["boot_null"](spark, "").count() == impact.Params().n_boots == 10_000
+    assert "range(10000)" in registry.ORACLES["boot_null"]
+
+
 def test_thresholds_are_drawn_once_and_background_is_not_dealt(spark):
     """A hot group's tasks share its thresholds, and rows of the background keep their partitions."""
     rng = np.random.default_rng(3)
