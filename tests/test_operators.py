@@ -365,6 +365,17 @@ def test_boot_null_query_draws_as_often_as_its_operator(spark, monkeypatch):
     assert "range(10000)" in registry.ORACLES["boot_null"]
 
 
+def test_counts_cover_variants_labelled_other(spark, sf_dir):
+    locus = stratify.stratify(load(spark, sf_dir, "fx_gwas")).filter("var_label = 'other'").agg(F.min("locus_id")).first()[0]
+    of, effects = (load(spark, sf_dir, name).filter(F.col("locus_id") == locus) for name in ("fx_gwas", "fx_effects"))
+    want = rows(stratify.stratify(of).crossJoin(spark.range(25)), "variant_id", "id", "var_label")
+    got = core.boot_counts(of, effects).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want) and {r.var_label for r in got} >= {"other", "background"}
+    # Their tests count for the critical value.
+    n_tests = sum(r.var_label != "background" for r in got)
+    assert bootstrap.critical_values(core.tested(of, effects, every=True)).first().n_tests == n_tests
+
+
 def test_thresholds_are_drawn_once_and_background_is_not_dealt(spark):
     """A hot group's tasks share its thresholds, and rows of the background keep their partitions."""
     rng = np.random.default_rng(3)
