@@ -15,7 +15,7 @@ from allelic.functions import scalars as fn
 from allelic.operators import blocks, bootstrap, contexts, evaluate, filters, genome, impact, inference, intervals, scoring, stratify, tracks
 from allelic.plans import core, genome_queries, registry
 from allelic.plans.queries import full_queries
-from allelic.sources import readers, sinks
+from allelic.sources import readers, scratch, sinks
 
 
 def rows(df, *columns):
@@ -431,6 +431,22 @@ def test_matrices_gathered_once(spark, tmp_path):
     assert rows(got) == sorted([("1:a", "x", True), ("1:a", "y", False), ("1:b", "x", None), ("1:b", "y", None)], key=repr)
 
 
+def test_written_impact_leaves_only_compressed_outputs(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    locus = load(spark, sf_dir, "fx_gwas").agg(F.min("locus_id")).first()[0]
+    of, effects = (load(spark, sf_dir, name).filter(F.col("locus_id") == locus) for name in ("fx_gwas", "fx_effects"))
+    params = impact.Params(n_boots=20)
+    want = rows(impact.test_calls(core.tested(of, effects, "context"), params), "locus_id", "variant_id", "var_label", "context", "n_nonsig")
+    before = {p.name for p in tmp_path.iterdir()}
+    paths = impact.write_impact(of, effects, f"file://{tmp_path}/made", params)
+    left = {p.name.split("-")[0].split(".")[0] for p in tmp_path.iterdir() if p.name not in before}
+    assert left <= {"made", "loci", "ranges", "short"}
+    parts = [p for name in paths for p in (tmp_path / f"made.{name}").glob("part-*")]
+    assert parts and all(p.name.endswith(".gz") for p in parts)
+    got = readers.read_matrix(spark, paths["boot_counts"], "n", "variant", "string").filter("n IS NOT NULL")
+    assert rows(got.select(*(F.split("variant", ":")[i].alias(c) for i, c in enumerate(("a", "b", "c"))), "context", F.col("n").cast("long"))) == sorted(((str(a), str(b), c, d, n) for a, b, c, d, n in want), key=repr)
+
+
 def test_std_floor(spark):
     null = bootstrap.bootstrap_null(labelled(spark, [1.0] * 10, [1.0]), 5).collect()
     assert all(r.boot_std == 0.01 and r.boot_mean == 1.0 for r in null)
