@@ -528,6 +528,17 @@ def test_search_ties_and_copies(spark):
     assert [r.doc_id for r in got] == list(range(10)) and len({r.score for r in got}) == 1
 
 
+def test_search_of_copies_is_made_once(spark, monkeypatch):
+    """Queries of equal texts are searched once, and shards are as many as different texts need."""
+    held, plain = {}, bm25.stored
+    monkeypatch.setattr(bm25, "stored", lambda df, name, *more: held.setdefault(name, plain(df, name, *more)))
+    data = [(i, f"one two rest{i % 8} rest{i % 8 + 1}") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, bm25.search(docs, docs.filter("doc_id < 24"), bm25.Settings(k=3, shard_docs=8)).collect()))
+    assert held["bm25-queries"].count() == 8 and [r[1] for r in got] == [1, 2, 3] * 24
+    assert [r[2] for r in got] == [i % 8 + 8 * j for i in range(24) for j in range(3)]
+
+
 def test_search_odd_rows(odd):
     got = bm25.search(odd, odd.filter("doc_id IN (1, 5, 6)")).collect()
     assert {r.query_id for r in got} == {5, 6} and all(r.score > 0 for r in got)
